@@ -1,11 +1,73 @@
-"""Corpus pipeline: language ID, near-dedup, secrets, mixing, packing (stages are added as they are built)."""
+"""Corpus pipeline over `documents`: language ID, near-dedup, secrets, mixing, packing.
 
-STAGES: list = []
+Every stage works on all rows that the one before it kept. The first four return the columns of documents; the last
+returns the pieces of the packed sequences.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from lodestone.llm.common import settle
+from lodestone.llm.op2_packing import pack_documents, tokenizer_path
+from lodestone.llm.op5_secrets import redact_secrets
+from lodestone.llm.op6_mixing import mix
+from lodestone.llm.op7_minhash import near_duplicates
+from lodestone.llm.op8_language_id import UNDECIDED, identify, train
+
+#: Factors on the tokens of each domain. Documents whose rate comes out at KEEP_FROM or more are all kept.
+FACTORS = {"good": 1.0, "poor": 0.5, "toxic": 0.0}
+KEEP_FROM = 0.75
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a letter (or text) go; a missing language is filled in."""
+    columns = docs.columns
+    named = identify(docs, train(docs))
+    return named.where(F.col("lang_pred") != UNDECIDED).withColumn("lang", F.coalesce("lang", "lang_pred")).select(columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays: the one with the smallest id. Rows without an id all stay."""
+    gone = settle(near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct(), "pipeline-copies")
+    kept = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    again = settle(docs.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select("doc_id"), "pipeline-repeated")
+    if again.isEmpty():
+        return kept
+    first = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))
+    one = kept.join(again, "doc_id", "left_semi").withColumn("n__", first).where("n__ = 1").select(docs.columns)
+    return kept.join(again, "doc_id", "left_anti").select(docs.columns).unionByName(one)
+
+
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets are replaced by their kind in brackets; every document stays."""
+    return redact_secrets(docs).withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars"))).select(docs.columns)
+
+
+def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents are kept by their rate: all from KEEP_FROM on, below that by a hash of the id."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    rated, _ = mix(docs, labels, FACTORS, relative=True)
+    draw = F.pmod(F.xxhash64(F.lit("mix"), "doc_id"), F.lit(1_000_000)) / 1_000_000
+    gone = rated.where((F.col("rate") < KEEP_FROM) & (draw >= F.col("rate"))).select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return pack_documents(docs, tokenizer_path())
+
+
+STAGES = [("language_id", language_id), ("near_dedup", near_dedup), ("secret_scan", secret_scan), ("source_mixing", source_mixing), ("packing", packing)]
+
+#: A trained network, signatures and a tokenizer are not SQL; tests/llm holds the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = settle(docs, f"pipeline-{name}")
     return docs
