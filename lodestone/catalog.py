@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from lodestone.plans import parse_queries, rule_queries, search_queries, store_queries  # noqa: F401  (they register their queries)
+from lodestone.plans.registry import ORACLES, QUERIES  # noqa: F401
 
 FLAGSHIP = "retrieve_e2e"
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
