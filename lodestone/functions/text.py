@@ -81,10 +81,9 @@ def clean(text: Column, limit: int) -> Column:
 
 def distinct_ignoring_case(items: Column, most: int) -> Column:
     """The first of each spelling, in order, at most `most`."""
-    trimmed = F.filter(F.transform(items, F.trim), lambda x: F.length(x) > 0)
-    low = F.transform(trimmed, F.lower)
-    first = F.filter(F.sequence(F.lit(1), F.size(trimmed)), lambda i: F.array_position(low, F.element_at(low, i.cast("int"))) == i)
-    return F.when(F.size(trimmed) == 0, F.array().cast("array<string>")).otherwise(F.slice(F.transform(first, lambda i: F.element_at(trimmed, i.cast("int"))), 1, most))
+    trimmed = F.filter(F.transform(items, lambda x: F.trim(x)), lambda x: F.length(x) > 0)
+    low = F.transform(trimmed, lambda x: F.lower(x))
+    return F.transform(F.slice(F.array_distinct(low), 1, most), lambda x: F.element_at(trimmed, F.array_position(low, x).cast("int")))
 
 
 def name_similarity_udf():

@@ -52,7 +52,7 @@ def fabrications(answer: Column, ctx: Column) -> Column:
 def sentence_grounding(answer: Column, ctx: Column) -> Column:
     """The share of sentences (over 15 characters) of which 40 % of the terms, if any, are in the context; 1 without sentences."""
     low = F.lower(F.coalesce(ctx, F.lit("")))
-    sentences = F.filter(F.transform(F.split(F.coalesce(answer, F.lit("")), r"[.!?\n]"), F.trim), lambda s: F.length(s) > 15)
+    sentences = F.filter(F.transform(F.split(F.coalesce(answer, F.lit("")), r"[.!?\n]"), lambda s: F.trim(s)), lambda s: F.length(s) > 15)
 
     def held(s: Column) -> Column:
         t = terms(s, STOP_SENTENCE, 3)
