@@ -5,7 +5,6 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark import StorageLevel  # noqa: F401  (re-exported for operators that persist)
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -78,3 +77,24 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     if labels is None:
         return edges.sparkSession.createDataFrame([], "node long, component long")
     return labels
+
+
+class Forest:
+    """Union-find over the pairs of one task; keeps the pairs that joined two trees."""
+
+    def __init__(self) -> None:
+        self.up: dict[int, int] = {}
+        self.pairs: list[tuple[int, int]] = []
+
+    def root(self, x: int) -> int:
+        up = self.up
+        while (p := up.setdefault(x, x)) != x:
+            up[x] = up.get(p, p)
+            x = up[x]
+        return x
+
+    def join(self, a: int, b: int) -> None:
+        x, y = self.root(a), self.root(b)
+        if x != y:
+            self.up[max(x, y)] = min(x, y)
+            self.pairs.append((a, b))

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, settle, spread
+from .common import Forest, components, settle, spread
 from .op4_ann import usable
 
 
@@ -48,27 +48,6 @@ def passes_for(rows: int, cosine: float, window: int, miss: float = 1e-6) -> int
     return max(4, math.ceil(math.log(miss) / math.log(1 - hit)))
 
 
-class Forest:
-    """Union-find over the pairs of one task; keeps the pairs that joined two trees."""
-
-    def __init__(self) -> None:
-        self.up: dict[int, int] = {}
-        self.pairs: list[tuple[int, int]] = []
-
-    def root(self, x: int) -> int:
-        up = self.up
-        while (p := up.setdefault(x, x)) != x:
-            up[x] = up[p] if p in up else p
-            x = up[x]
-        return x
-
-    def join(self, a: int, b: int) -> None:
-        x, y = self.root(a), self.root(b)
-        if x != y:
-            self.up[max(x, y)] = min(x, y)
-            self.pairs.append((a, b))
-
-
 def _window_pairs(ordered: DataFrame, window: int, near: float) -> DataFrame:
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tail: tuple | None = None

@@ -10,11 +10,14 @@ pooled over fewer partitions and packed again.
 from __future__ import annotations
 
 import functools
+import sys
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -123,40 +126,59 @@ def pack(items: DataFrame, capacity: int = CAPACITY, group_rows: int = 20_000, r
     return done
 
 
+def _byte_letters() -> dict[int, str]:
+    """The printable stand-in for each byte that byte-level vocabularies use."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
 class WordIds:
     """Token ids of a text by the library, one white-space word at a time, each distinct word encoded once (bounded memo).
 
-    The tokenizer drops white space before it merges, so a text's ids are its words' ids in turn. Texts with control
-    characters that only Python takes for white space are encoded whole.
+    The tokenizer drops white space before it merges, so a text's ids are its words' ids in turn. Words of printable
+    Latin-1 characters need no normalization but lower case; their letter runs, digits and symbol runs go straight to
+    the library's merge model. All other words take its whole encode, and texts with control characters that only
+    Python takes for white space are encoded whole.
     """
 
     ODD = tuple("\x1c\x1d\x1e\x1f")
+    SAFE = regex.compile(r"[\x21-\x7e\xa1-\xff]+")
+    PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 
-    def __init__(self, path: str, memo_size: int = 350_000):
+    def __init__(self, path: str, memo_size: int = 600_000):
         from tokenizers import Tokenizer
 
         self.tok, self.memo, self.memo_size = Tokenizer.from_file(path), {}, memo_size
         self.old: dict[str, bytes] = {}
-        specials = [(t.content, i) for i, t in self.tok.get_added_tokens_decoder().items()]
-        self.split, self.split_id = specials[0] if specials else (None, None)
+        self.parts: dict[str, bytes] = {}
+        self.model, self.specials = self.tok.model, [t.content for t in self.tok.get_added_tokens_decoder().values()]
+        letters = _byte_letters()
+        self.letters = {c: "".join(letters[b] for b in chr(c).encode()) for c in range(0x80, 0x100)}
 
     def _encode(self, text: str) -> bytes:
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def learn(self, words: set[str]) -> None:
-        """Encode new words in one call, kept apart by a special token that none of them holds."""
-        plain = [w for w in words if self.split is not None and self.split not in w and len(w) < 200]
-        if plain:
-            for i in range(0, len(plain), 4096):
-                some = plain[i : i + 4096]
-                ids = np.array(self.tok.encode(self.split.join(some), add_special_tokens=False).ids, "<u4")
-                cuts = np.flatnonzero(ids == self.split_id)
-                raw, a = ids.tobytes(), 0
-                for w, z in zip(some, [*cuts.tolist(), len(ids)]):
-                    self.memo[w] = raw[4 * a : 4 * z]
-                    a = z + 1
-        for w in words.difference(plain):
-            self.memo[w] = self._encode(w)
+    def _part(self, part: str) -> bytes:
+        got = self.parts.get(part)
+        if got is None:
+            if len(self.parts) >= self.memo_size:
+                self.parts.clear()
+            ids = array("I", [t.id for t in self.model.tokenize(part.translate(self.letters))])
+            if sys.byteorder == "big":
+                ids.byteswap()
+            got = self.parts[part] = ids.tobytes()
+        return got
+
+    def learn(self, words: set[str] | list[str]) -> None:
+        memo, part, safe, find = self.memo, self._part, self.SAFE.fullmatch, self.PARTS.findall
+        for w in words:
+            if not safe(w) or any(s in w for s in self.specials):
+                memo[w] = self._encode(w)
+            elif w.isalpha():
+                memo[w] = part(w.lower())
+            else:
+                memo[w] = b"".join(map(part, find(w.lower())))
 
     def ids(self, texts: list[str]) -> Iterator[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
@@ -171,7 +193,7 @@ class WordIds:
                     self.memo, self.old = {}, self.memo
                     missing = set(words)
                 if self.old:
-                    kept = missing.intersection(self.old)
+                    kept = [w for w in missing if w in self.old]
                     self.memo.update(zip(kept, map(self.old.__getitem__, kept)))
                     missing = missing.difference(kept)
                 self.learn(missing)

@@ -17,24 +17,24 @@ from pyspark.sql import functions as F
 
 from .common import settle
 
-SYMBOLS = "#%&*$|<>{}[]=_~^@"
+SYMBOLS = r"[#%&*$|<>{}\[\]=_~^@]"
 
 
 def with_features(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """df with `tokens` (white-space words) and `feats` (distinct lower-case words, and bins of three shares)."""
+    """df with `tokens` (words between blanks and line ends) and `feats` (lower-case words, and bins of three shares).
+
+    Columns that are used twice are columns of their own, so that the plan works them out once.
+    """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    words = F.split(F.trim(F.lower(text)), r"\s+")
-    out = df.withColumn("words__", words)
-    n = F.when(F.length(F.trim(text)) == 0, 0).otherwise(F.size("words__"))
-    out = out.withColumn("tokens", n.cast("long")).withColumn("distinct__", F.array_distinct("words__"))
+    words = F.array_remove(F.split(F.replace(F.lower(text), F.lit("\n"), F.lit(" ")), " "), "")
+    out = df.withColumn("words__", words).withColumn("tokens", F.size("words__").cast("long"))
     share = lambda part, whole: F.floor(F.least(F.lit(1.0), part / F.greatest(whole, F.lit(1))) * 10).cast("int").cast("string")
-    symbols = F.length(text) - F.length(F.translate(text, SYMBOLS, ""))
     bins = F.array(
-        F.concat(F.lit("#symbols"), share(symbols * 4, F.length(text))),
-        F.concat(F.lit("#varied"), share(F.size("distinct__"), F.col("tokens"))),
+        F.concat(F.lit("#symbols"), share(F.regexp_count(text, F.lit(SYMBOLS)) * 4, F.length(text))),
+        F.concat(F.lit("#varied"), share(F.size(F.array_distinct("words__")), F.col("tokens"))),
         F.concat(F.lit("#length"), F.floor(F.log2(F.col("tokens") + 1)).cast("int").cast("string")),
     )
-    return out.withColumn("feats", F.concat("distinct__", bins)).drop("words__", "distinct__")
+    return out.withColumn("feats", F.concat("words__", bins)).drop("words__")
 
 
 def domain_of(quality: Column, toxic: Column) -> Column:
@@ -48,19 +48,17 @@ class NaiveBayes:
     def __init__(self, domains: list[str], prior: list[float], weights: dict[str, list[float]], base: list[float]):
         self.domains, self.prior, self.weights, self.base = domains, prior, weights, base
 
-    def posterior(self, feats: Column) -> Column:
-        """array<double> over the domains, adding up to 1."""
-        k = len(self.domains)
+    def with_posterior(self, df: DataFrame) -> DataFrame:
+        """df (feats) with p: array<double> over the domains, adding up to 1; feats is dropped."""
         if not self.weights:
-            return F.array(*[F.lit(p) for p in self.prior])
+            return df.withColumn("p", F.array(*[F.lit(p) for p in self.prior])).drop("feats")
         known = F.array(*[F.lit(f) for f in self.weights])
         table = F.create_map(*[x for f, w in self.weights.items() for x in (F.lit(f), F.array(*[F.lit(v) for v in w]))])
-        hits = F.transform(F.array_intersect(feats, known), lambda f: table[f])
         start = F.array(*[F.lit(math.log(p) + b) for p, b in zip(self.prior, self.base)])
-        logs = F.aggregate(hits, start, lambda a, w: F.zip_with(a, w, lambda x, y: x + y))
-        powers = F.transform(logs, lambda x: F.exp(x - F.array_max(logs)))
-        total = F.aggregate(powers, F.lit(0.0), lambda a, x: a + x)
-        return F.transform(powers, lambda x: x / total) if k > 1 else F.array(F.lit(1.0))
+        hits = F.array_intersect("feats", known)
+        df = df.withColumn("logs__", F.aggregate(hits, start, lambda a, f: F.zip_with(a, table[f], lambda x, y: x + y))).drop("feats")
+        df = df.withColumn("p", F.transform("logs__", lambda x: F.exp(x - F.array_max("logs__")))).drop("logs__")
+        return df.withColumn("sum__", F.aggregate("p", F.lit(0.0), lambda a, x: a + x)).withColumn("p", F.transform("p", lambda x: x / F.col("sum__"))).drop("sum__")
 
 
 def fit_domains(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = 6000, features: int = 200, smooth: float = 0.5) -> NaiveBayes:
@@ -78,7 +76,7 @@ def fit_domains(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     if not domains:
         return NaiveBayes(["all"], [1.0], {}, [0.0])
     total = sum(sizes.values())
-    counts = rows.select("domain", F.explode("feats").alias("f")).groupBy("f").agg(*[F.sum((F.col("domain") == d).cast("long")).alias(f"n{i}") for i, d in enumerate(domains)])
+    counts = rows.select("domain", F.explode(F.array_distinct("feats")).alias("f")).groupBy("f").agg(*[F.sum((F.col("domain") == d).cast("long")).alias(f"n{i}") for i, d in enumerate(domains)])
     seen = reduce(lambda a, b: a + b, [F.col(f"n{i}") for i in range(len(domains))])
     # Mutual information of the feature's presence and the domain.
     cell = lambda joint, row, col: F.when(joint > 0, joint / total * F.log(joint * total / (row * col))).otherwise(0.0)
@@ -119,7 +117,7 @@ def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float], relative:
     """
     net = fit_domains(docs, labels, id_col, text_col, sample)
     table = with_features(docs.select(F.col(id_col).alias("id__"), F.col(text_col).alias("text")))
-    table = settle(table.select("id__", "tokens", net.posterior(F.col("feats")).alias("p")), "mix-posteriors")
+    table = settle(net.with_posterior(table.select("id__", "tokens", "feats")), "mix-posteriors")
     k = range(len(net.domains))
     total, *have = table.agg(F.sum("tokens"), *[F.sum(F.col("tokens") * F.col("p")[i]) for i in k]).first()
     goals = {d: weights.get(d, 0.0) * ((have[i] if relative else total) or 0.0) for i, d in zip(k, net.domains)}

@@ -4,8 +4,8 @@ Every element of a document's shingle set draws a random permutation of the sign
 with a fresh rank at each level; a slot keeps its least level + rank. Ranks inside one element are correlated (no two
 land in one slot), which lowers the variance, and a document stops at the first level that cannot lower any slot.
 Bands of slots give buckets. Each bucket's members are compared with one of them, on full sets; links are united.
-Then only buckets that still hold several components are gone through until all their pairs across components are
-settled, so no bucket is capped and no link between components is left out.
+Then buckets that still hold several components are settled whole: their documents meet block by block, in matrix
+products over their sets, so no bucket is capped, no link between components is left out and no pair becomes a row.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import components, settle
+from .common import Forest, components, settle, spread
 
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 U = np.uint64
@@ -170,7 +170,88 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(each, "a long, b long, linked boolean")
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80, bands: int = 32, rows: int = 5, turn: int = 32) -> DataFrame:
+def set_intersections(left: list[np.ndarray], right: list[np.ndarray], width: int = 16_384) -> np.ndarray:
+    """Sizes of all intersections, by matrix products over the values that both sides hold."""
+    flat_l, flat_r = np.concatenate(left), np.concatenate(right)
+    common = np.intersect1d(flat_l, flat_r)
+
+    def cells(sets: list[np.ndarray], flat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        row, col = np.repeat(np.arange(len(sets)), [len(s) for s in sets]), np.searchsorted(common, flat)
+        ok = col < len(common)
+        ok[ok] = common[col[ok]] == flat[ok]
+        order = np.argsort(col[ok], kind="stable")
+        return row[ok][order], col[ok][order]
+
+    (rl, cl), (rr, cr) = cells(left, flat_l), cells(right, flat_r)
+    out = np.zeros((len(left), len(right)), np.float32)
+    for a in range(0, len(common), width):
+        x, y = np.zeros((len(left), width), np.float32), np.zeros((len(right), width), np.float32)
+        for m, r, c in ((x, rl, cl), (y, rr, cr)):
+            i, j = np.searchsorted(c, [a, a + width])
+            m[r[i:j], c[i:j] - a] = 1.0
+        out += x @ y.T
+    return out.astype(np.int64)
+
+
+def _settle_groups(members: DataFrame, percent: int) -> DataFrame:
+    """members (task, grp, side, node, c, set) -> links (a, b) that join different components c, a forest per task.
+
+    side 0 and 1 are the two blocks of a pair of blocks; 2 marks a block met with itself.
+    """
+
+    def task(t: pa.Table) -> pa.Table:
+        grp, side, c, raw = t["grp"].to_numpy(), t["side"].to_numpy(), t["c"].to_numpy(), t["set"]
+        order = np.lexsort((t["node"].to_numpy(), side, grp))
+        cuts = [0, *(np.flatnonzero(np.diff(grp[order])) + 1).tolist(), len(order)]
+        forest = Forest()
+        for a, z in zip(cuts, cuts[1:]):
+            at = order[a:z]
+            left = at[side[at] != 1]
+            right = left if side[at[0]] == 2 else at[side[at] == 1]
+            if len(left) == 0 or len(right) == 0 or len(np.unique(c[at])) == 1:
+                continue
+            sl = [unpacked(raw[int(i)].as_py()) for i in left]
+            sr = sl if right is left else [unpacked(raw[int(i)].as_py()) for i in right]
+            nl, nr = np.array([len(s) for s in sl]), np.array([len(s) for s in sr])
+            both = set_intersections(sl, sr)
+            hit = (100 * both >= percent * (nl[:, None] + nr[None, :] - both)) & (c[left][:, None] != c[right][None, :])
+            for i, j in zip(*np.nonzero(hit)):
+                forest.join(int(c[left[i]]), int(c[right[j]]))
+        p, q = zip(*forest.pairs) if forest.pairs else ((), ())
+        return pa.table({"a": pa.array(p, pa.int64()), "b": pa.array(q, pa.int64())})
+
+    return members.groupBy("task").applyInArrow(task, "a long, b long")
+
+
+def _merge_buckets(members: DataFrame, labels: DataFrame, sets: DataFrame, percent: int, block: int, name: str) -> DataFrame:
+    """Links between components that meet in a bucket: every pair of documents that shares one is compared, without pair rows.
+
+    Buckets that hold one component only are settled. The others fall into groups (buckets that share a document); in
+    a group, documents outside its largest component meet all others, block by block. One block pair is one task.
+    """
+    spark = members.sparkSession
+    known = members.join(labels, "node", "left").select("key", "node", "leader", F.coalesce("component", "node").alias("c"))
+    mixed = known.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo != hi").select("key")
+    known = settle(known.join(mixed, "key").select("node", "leader", "c").distinct(), f"{name}-mixed")
+    group = components(known.select(F.col("node").alias("a"), F.col("leader").alias("b")), f"{name}-groups").withColumnRenamed("component", "grp")
+    rows = settle(known.select("node", "c").distinct().join(group, "node"), f"{name}-members")
+    per = rows.groupBy("grp", "c").agg(F.count("*").alias("here"))
+    per = per.groupBy("grp").agg(F.sum("here").alias("size"), F.max(F.struct("here", "c")).alias("top")).where("size > top.here")
+    per = per.select("grp", "size", F.col("top.c").alias("main"), F.ceil((F.col("size") - F.col("top.here")) / block).cast("int").alias("nb"), F.ceil(F.col("top.here") / block).cast("int").alias("mb"))
+    rows = rows.join(per, "grp").join(sets, "node")
+    tasks = spread(spark, rows.count(), block)
+    whole = F.col("size") <= block
+    small = rows.where(whole).select(F.concat(F.lit("s"), F.pmod(F.xxhash64("grp"), F.lit(tasks)).cast("string")).alias("task"), "grp", F.lit(2).alias("side"), "node", "c", "set")
+    minor = F.col("c") != F.col("main")
+    place = lambda n: F.pmod(F.xxhash64("node"), F.col(n).cast("long")).cast("int")
+    big = rows.where(~whole).withColumn("own", F.when(minor, place("nb")).otherwise(F.col("nb") + place("mb")))
+    big = big.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(minor, F.col("nb") + F.col("mb")).otherwise(F.col("nb")) - 1)))
+    side = F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1)
+    large = big.select(F.concat_ws("-", F.lit("b"), "grp", F.least("own", "other"), F.greatest("own", "other")).alias("task"), "grp", side.alias("side"), "node", "c", "set")
+    return settle(_settle_groups(small.unionByName(large), percent).distinct(), f"{name}-links")
+
+
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80, bands: int = 32, rows: int = 5, block: int = 512) -> DataFrame:
     """Per row: the id, n_shingles, component_id (smallest id reachable over links, itself included), kept.
 
     Two documents are linked when 100 * |A and B| >= percent * |A or B| over their full sets of k-word shingles.
@@ -191,31 +272,19 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     near = lambda p, q: F.least(p, q) * 100 >= F.greatest(p, q) * percent  # noqa: E731  sizes further apart can't reach it
     pair = lambda p, q: (F.least(p, q).alias("a"), F.greatest(p, q).alias("b"))
     pairs = settle(members.where("node != leader").where(near(F.col("n"), F.col("ln"))).select(*pair(F.col("node"), F.col("leader"))).distinct(), "minhash-pairs")
-    members = members.where("size > 2").select("key", "node", "n")
+    members = members.where("size > 2").select("key", "node", "leader")
     # Full sets of all documents that any bucket compares.
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(members.select("node")).distinct()
     wanted = nodes.join(wanted, "node").select("node", F.col("node").alias("id"), "th")
     sets = settle(_sets(docs.join(wanted, ["id", "th"]).select("node", "text"), k).groupBy("node").agg(F.first("set").alias("set")), "minhash-sets")
     seen = settle(_verify(pairs, sets, percent), "minhash-verified")
-    links = seen.where("linked")
-    while True:
-        labels = components(links, "minhash")
-        known = members.join(labels, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("c"))
-        inside = known.groupBy("key", "c").agg(F.count("*").alias("here"))
-        mixed = inside.groupBy("key").agg(F.count("*").alias("cs"), F.max(F.struct("here", "c")).alias("top")).where("cs > 1").select("key", F.col("top.c").alias("main"))
-        mixed = settle(known.join(mixed, "key"), "minhash-mixed")
-        # Members outside their bucket's largest component face all others, some of them each turn.
-        minor = mixed.where("c != main").select("key", F.col("node").alias("x"), F.col("n").alias("xn"), F.col("c").alias("xc"))
-        facing = minor.join(mixed.select("key", "node", "n", "c"), "key").where("c != xc").where(near(F.col("n"), F.col("xn"))).select(*pair(F.col("x"), F.col("node")), "x")
-        open_pairs = facing.join(seen.select("a", "b"), ["a", "b"], "left_anti")
-        # A node meets at most `turn` others a turn: once one of them links, the rest of its pairs may fall away.
-        salted = open_pairs.distinct().withColumn("slot", F.pmod(F.xxhash64("a", "b"), F.lit(turn)))
-        todo = settle(salted.groupBy("x", "slot").agg(F.min(F.struct("a", "b")).alias("p")).select("p.a", "p.b").distinct(), "minhash-pairs")
-        if todo.isEmpty():
-            break
-        now = settle(_verify(todo, sets, percent), "minhash-verified")
-        seen = seen.unionByName(now)
-        links = links.unionByName(now.where("linked"))
+    labels = components(seen.where("linked"), "minhash")
+    more = _merge_buckets(members, labels, sets, percent, block, "minhash")
+    if not more.isEmpty():  # links between components: their labels move on
+        joined = components(more, "minhash").select(F.col("node").alias("component"), F.col("component").alias("top"))
+        old = labels.join(joined, "component", "left").select("node", F.coalesce("top", "component").alias("component"))
+        fresh = joined.select(F.col("component").alias("node"), F.col("top").alias("component")).join(labels, "node", "left_anti")
+        labels = settle(old.unionByName(fresh), "minhash-labels")
     named = nodes.join(labels, "node", "left").select("fp1", "fp2", F.coalesce("component", "node").alias("c"))
     out = sig.select("id", "n_shingles", "fp1", "fp2").join(named, ["fp1", "fp2"], "left")
     own = F.when((F.col("n_shingles") > 0) & F.col("id").isNotNull(), F.coalesce("c", "id")).otherwise(F.col("id"))
@@ -223,4 +292,4 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), k=3, percent=85)
+    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), k=3, percent=85, rows=6)

@@ -16,9 +16,10 @@ def pack_context(ranked: DataFrame, budget: int = S.context_chars) -> DataFrame:
     Entries are "[Source: s]" and the chunk, cut at the chunk limit. The first one over the budget is cut to what
     remains if that is enough, and everything after it is left out. Blank chunks are passed over.
     """
-    body = truncate(F.trim("content"), F.lit(S.chunk_chars), S.truncation_share)
+    text = F.regexp_replace("content", r"^\s+|\s+$", "")
+    body = truncate(text, F.lit(S.chunk_chars), S.truncation_share)
     head = F.concat(F.lit("[Source: "), F.coalesce("source", F.lit("unknown")), F.lit("]\n"))
-    rows = ranked.where(F.length(F.trim("content")) > 0).withColumn("head", head).withColumn("body", body).withColumn("chars", (F.length("head") + F.length("body")).cast("long"))
+    rows = ranked.where(F.length(text) > 0).withColumn("head", head).withColumn("body", body).withColumn("chars", (F.length("head") + F.length("body")).cast("long"))
     w = Window.partitionBy("query_id").orderBy("rank")
     upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = rows.withColumn("total", F.sum("chars").over(upto)).withColumn("over", (F.col("total") > budget).cast("int"))

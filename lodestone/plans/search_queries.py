@@ -257,7 +257,7 @@ def _with_text(ranked: DataFrame, ch: DataFrame) -> DataFrame:
 
 CUT = "CASE WHEN length({t}) <= {n} THEN {t} WHEN contains(left({t}, {n}), chr(10)) AND length(left({t}, {n})) - strpos(reverse(left({t}, {n})), chr(10)) > {n} * 0.7 THEN left({t}, length(left({t}, {n})) - strpos(reverse(left({t}, {n})), chr(10))) || chr(10) || '[... truncated ...]' ELSE left({t}, {n}) || chr(10) || '[... truncated ...]' END"
 PACK = f"""
-pk AS (SELECT query_id, rank, chunk_id, coalesce(source, 'unknown') AS source, score, '[Source: ' || coalesce(source, 'unknown') || ']' || chr(10) AS head, trim(text, ' ') AS body0 FROM bm25 JOIN documents d ON d.doc_id = bm25.chunk_id WHERE length(trim(text, ' ')) > 0),
+pk AS (SELECT query_id, rank, chunk_id, coalesce(source, 'unknown') AS source, score, '[Source: ' || coalesce(source, 'unknown') || ']' || chr(10) AS head, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS body0 FROM bm25 JOIN documents d ON d.doc_id = bm25.chunk_id WHERE length(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) > 0),
 pb AS (SELECT *, {CUT.format(t="body0", n="6000")} AS body FROM pk),
 pc AS (SELECT *, sum(length(head) + length(body)) OVER (PARTITION BY query_id ORDER BY rank) AS total, length(head) + length(body) AS c FROM pb),
 pd AS (SELECT *, sum(CASE WHEN total > 12000 THEN 1 ELSE 0 END) OVER (PARTITION BY query_id ORDER BY rank) AS overs, 12000 - (total - c) AS remaining FROM pc),
