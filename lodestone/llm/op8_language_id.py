@@ -175,7 +175,7 @@ class Labeller:
         return langs, scores
 
 
-@functools.lru_cache(maxsize=2)
+@functools.lru_cache(maxsize=1)  # a worker that meets a new network lets the old memo go
 def _labeller(raw: bytes) -> Labeller:
     return Labeller(pickle.loads(raw))
 
@@ -227,17 +227,19 @@ def identify(df: DataFrame, net: ByteGru | None, text_col: str = "text", keep: l
     of df called lang_pred or score are replaced.
     """
     keep = [c for c in (df.columns if keep is None else keep) if c not in ("lang_pred", "score")]
-    src = df.select(*keep, df[text_col].alias("text__"))
-    schema = T.StructType([*src.schema.fields[:-1], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    own = text_col not in keep  # a text that is kept goes to Python once
+    src = df.select(*keep, df[text_col].alias("text__")) if own else df.select(*keep)
+    at = len(keep) if own else keep.index(text_col)
+    schema = T.StructType([*src.schema.fields[: len(keep)], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     raw = pickle.dumps(net)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a in range(0, batch.num_rows, 1000):
                 b = batch.slice(a, 1000)
-                texts = b.column(b.num_columns - 1).to_pylist()
+                texts = b.column(at).to_pylist()
                 langs, scores = _labeller(raw).predict(texts) if net is not None else ([UNDECIDED] * len(texts), [0.0] * len(texts))
-                yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=schema.names)
+                yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=schema.names)
 
     return src.mapInArrow(each, schema)
 
