@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Hashable
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,6 +34,20 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+_HELD: dict[Hashable, Any] = {}
+
+
+def held(key: Hashable, make: Callable[[], Any]) -> Any:
+    """The object of `key`, kept between the tasks of a Python worker.
+
+    A worker keeps one such object: the next operator's takes its place, so that memos of several do not add up.
+    """
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
 def spread(spark: SparkSession, rows: int, rows_each: int) -> int:
     """How many groups hold `rows` at `rows_each` a group, and at least as many as the session shuffles into."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // rows_each))

@@ -9,7 +9,6 @@ pooled over fewer partitions and packed again.
 
 from __future__ import annotations
 
-import functools
 import sys
 import zlib
 from array import array
@@ -22,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import settle, spread
+from .common import held, settle, spread
 
 CAPACITY = 2048
 #: Thresholds of the dual feasible functions: u_k rounds sizes to multiples of capacity/k; f_t drops sizes below t.
@@ -200,10 +199,9 @@ class WordIds:
             yield b"".join(map(self.memo.__getitem__, words))
 
 
-@functools.lru_cache(maxsize=1)
 def shared_words(path: str) -> WordIds:
     """One memo for each Python worker, kept between its tasks."""
-    return WordIds(path)
+    return held(("words", path), lambda: WordIds(path))
 
 
 def token_pieces(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = 0) -> DataFrame:

@@ -13,7 +13,6 @@ is cut into chunks and their maps are combined pairwise, as in a parallel prefix
 
 from __future__ import annotations
 
-import functools
 import re
 from collections.abc import Iterator
 
@@ -21,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from .common import held
+
 MARK = "▁"
 _RESET = re.compile(f"(?<=[^{MARK}])(?={MARK})")
 
@@ -153,10 +154,9 @@ class Transducer:
         return self.word(head) + inner + (0 if tail is None else self.word(tail))
 
 
-@functools.lru_cache(maxsize=1)
 def shared_transducer(model_file: str) -> Transducer:
     """One transducer for each Python worker: what it has compiled stays for its later tasks."""
-    return Transducer(model_file)
+    return held(("transducer", model_file), lambda: Transducer(model_file))
 
 
 def token_counts(df: DataFrame, model_file: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 4096) -> DataFrame:

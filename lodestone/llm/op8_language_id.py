@@ -8,7 +8,6 @@ position sums are the same wherever it stands; they are computed once per distin
 
 from __future__ import annotations
 
-import functools
 import pickle
 from collections.abc import Iterator
 
@@ -19,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fold
+from .common import fold, held
 
 UNDECIDED = "und"
 SEGMENT = 32
@@ -175,9 +174,8 @@ class Labeller:
         return langs, scores
 
 
-@functools.lru_cache(maxsize=1)  # a worker that meets a new network lets the old memo go
 def _labeller(raw: bytes) -> Labeller:
-    return Labeller(pickle.loads(raw))
+    return held(("network", raw), lambda: Labeller(pickle.loads(raw)))
 
 
 def training_words(df: DataFrame, id_col: str, text_col: str, lang_col: str, held_out: int, docs_a_lang: int, words_a_doc: int) -> list:
