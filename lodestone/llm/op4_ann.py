@@ -35,34 +35,44 @@ class CollisionIndex:
         self.lift = np.sqrt(np.maximum(0.0, top_norm**2 - (vectors**2).sum(1)))
         self.axes = np.random.default_rng(seed).normal(size=(projections, d + 1)) / max(top_norm, 1e-300)
         values = self.axes[:, :d] @ vectors.T + self.axes[:, d:] * self.lift[None, :]
-        self.order = np.argsort(values, axis=1, kind="stable").astype(np.int32)
-        ordered = np.take_along_axis(values, self.order, 1)
-        # All arrays in one, each moved past the one before it: one binary search opens every window.
-        self.far = float(np.abs(ordered).max(initial=0.0)) + 1.0
-        self.base = 2.0 * self.far * np.arange(projections)
-        self.flat = (ordered + self.base[:, None]).ravel()
-
-    def candidates(self, query: np.ndarray, enough: int, threshold: int, width: float, ratio: float) -> np.ndarray:
-        """Rows that collide with the query in at least `threshold` windows, after the widening that first gives `enough`."""
+        self.order = np.argsort(values, axis=1, kind="stable")
+        self.ordered = np.take_along_axis(values, self.order, 1)
+
+    def windows(self, centres: np.ndarray, half: float) -> tuple[np.ndarray, np.ndarray]:
+        """Where the windows of all queries begin and end, in each array."""
+        lo, hi = np.empty(centres.shape, np.int64), np.empty(centres.shape, np.int64)
+        for i, ordered in enumerate(self.ordered):
+            lo[:, i] = np.searchsorted(ordered, centres[:, i] - half, "left")
+            hi[:, i] = np.searchsorted(ordered, centres[:, i] + half, "right")
+        return lo, hi
+
+    def candidates(self, queries: np.ndarray, enough: int, threshold: int, width: float, ratio: float) -> list[np.ndarray]:
+        """Per query: rows that collide with it in at least `threshold` windows, after the widening that first gives `enough`."""
         n = len(self.vectors)
         if enough >= n:
-            return np.arange(n)
-        centre = self.axes[:, :-1] @ query  # the query's own lift is 0: it is scaled to the top norm by the caller
-        starts = np.arange(self.m) * n
-        edge = lambda x, side: np.searchsorted(self.flat, np.clip(x, -self.far, self.far - 1e-9) + self.base, side) - starts
-        lo = hi = edge(centre, "left")
-        count, half = np.zeros(n, np.int64), width / 2
-        while True:
-            new_lo = np.clip(np.minimum(edge(centre - half, "left"), lo), 0, n)
-            new_hi = np.clip(np.maximum(edge(centre + half, "right"), hi), 0, n)
-            fresh = [p for i in range(self.m) for p in (self.order[i, new_lo[i] : lo[i]], self.order[i, hi[i] : new_hi[i]]) if len(p)]
-            if fresh:
-                count += np.bincount(np.concatenate(fresh), minlength=n)
-            lo, hi = new_lo, new_hi
-            found = np.flatnonzero(count >= threshold)
-            if len(found) >= enough or (lo == 0).all() and (hi == n).all():
-                return found
+            return [np.arange(n)] * len(queries)
+        centres = queries @ self.axes[:, :-1].T  # a query's own lift is 0: it is scaled to the top norm by the caller
+        lo, _ = self.windows(centres, 0.0)
+        hi, half = lo.copy(), width / 2
+        count, found = np.zeros((len(queries), n), np.int16), [np.zeros(0, np.int64)] * len(queries)
+        exact = np.isfinite(centres).all(1)
+        for q in np.flatnonzero(~exact).tolist():  # norms beyond a double: every row is verified
+            found[q] = np.arange(n)
+        searching = np.flatnonzero(exact)
+        while len(searching):
+            new_lo, new_hi = self.windows(centres[searching], half)
             half *= ratio
+            can = (new_hi - new_lo).sum(1) >= enough * threshold  # else too few collisions in all, however they fall
+            at, new_lo, new_hi = searching[can], new_lo[can], new_hi[can]
+            for q, *edges in zip(at.tolist(), new_lo.tolist(), lo[at].tolist(), hi[at].tolist(), new_hi.tolist()):
+                fresh = [p for row, a, b, c, d in zip(self.order, *edges) for p in (row[a:b], row[c:d])]
+                count[q] += np.bincount(np.concatenate(fresh), minlength=n).astype(np.int16)
+            lo[at], hi[at] = new_lo, new_hi
+            done = ((count[at] >= threshold).sum(1) >= enough) | (new_hi - new_lo == n).all(1)
+            for q in at[done].tolist():
+                found[q] = np.flatnonzero(count[q] >= threshold)
+            searching = np.setdiff1d(searching, at[done])
+        return found
 
 
 def nearest(df: DataFrame, queries: Column, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", projections: int = 64, share: float = 0.4, threshold: float = 0.45, width: float = 1.0, ratio: float = 1.15, row_block: int = 4096, query_block: int = 1024, seed: int = 4) -> DataFrame:
@@ -100,8 +110,8 @@ def nearest(df: DataFrame, queries: Column, k: int = 20, id_col: str = "vec_id",
             q = np.array(queries["v"].take(pa.array(asked)).combine_chunks().flatten()).reshape(-1, d)
             index = CollisionIndex(x, top, projections, seed)
             enough = max(k + 1, int(np.ceil(share * len(x))))
-            for i, v in zip(asked.tolist(), q):
-                found = index.candidates(v * (top / np.linalg.norm(v)), enough, max(1, int(threshold * projections)), width, ratio)
+            collided = index.candidates(q * (top / np.linalg.norm(q, axis=1))[:, None], enough, max(1, int(threshold * projections)), width, ratio)
+            for i, v, found in zip(asked.tolist(), q, collided):
                 found = found[own[found] != qids[i]]
                 score = x[found] @ v
                 if len(found) > k:  # all that tie with the k-th stay until they are ordered

@@ -201,6 +201,22 @@ def test_op4_recall_ties_and_odd_vectors(spark, rng):
 
 
 # -- 5 ----------------------------------------------------------------------------------------------------------------
+def test_op4_collisions_are_counted_window_by_window(rng):
+    """Candidates of a query are the rows that lie in enough windows of the first width that gives enough of them."""
+    x, q = rng.normal(size=(300, 8)), rng.normal(size=(7, 8))
+    x[7:30] = x[0]
+    top = float(np.sqrt((x**2).sum(1).max()))
+    q *= top / np.linalg.norm(q, axis=1)[:, None]
+    index = op4.CollisionIndex(x, top, 16, 3)
+    values = (index.axes[:, :-1] @ x.T + index.axes[:, -1:] * index.lift).T
+    for v, found in zip(q, index.candidates(q, 90, 7, 0.1, 1.2)):
+        gap, half = np.abs(values - index.axes[:, :-1] @ v), 0.05
+        while ((gap <= half).sum(1) >= 7).sum() < 90:
+            half *= 1.2
+        assert found.tolist() == np.flatnonzero((gap <= half).sum(1) >= 7).tolist()
+    assert [len(f) for f in index.candidates(np.full((2, 8), np.inf), 90, 7, 0.1, 1.2)] == [300, 300]
+
+
 def test_op5_base_spans_equal_the_plain_patterns(spark):
     key = base64.b64encode(b"\x30\x1e\x02\x01\x00" + b"\x30\x07\x06\x05\x2b\x81\x04\x00\x22" + b"\x04\x10" + b"k" * 16).decode()
     jwt = ".".join(base64.urlsafe_b64encode(json.dumps(x).encode()).decode().rstrip("=") for x in ({"alg": "HS256"}, {"sub": 1})) + ".c2ln"
