@@ -25,6 +25,7 @@ from lodestone.llm import op10_lattice_lm as op10
 from lodestone.llm.common import components
 
 SF = "/root/testdata/sf0.001"
+LARGER = "/root/testdata/sf0.1"
 DOC = "doc_id long, text string, lang string, source string, n_chars long, score string, rank int"
 VEC = "vec_id long, embedding array<float>, label int, node string"
 
@@ -262,6 +263,18 @@ def test_op6_meets_targets_and_knows_the_domains(spark, rng):
     assert op6.mix(docs(spark, []), lab, {"good": 1.0})[0].count() == 0
 
 
+def test_op6_posteriors_follow_the_domain_in_every_language(spark):
+    """Most labelled good rows of every language are seen as good, on held-out rows too."""
+    d, lab = spark.read.parquet(f"{LARGER}/documents.parquet"), spark.read.parquet(f"{LARGER}/labels.parquet")
+    net = op6.fit_domains(d, lab)
+    assert set(net.held_out) == {"de", "en", "es", "fr"}
+    assert all(right / n > 0.88 for n, right in net.held_out.values())
+    both = op6.with_features(d.join(lab, "doc_id")).select("lang", op6.domain_of(F.col("quality"), F.col("toxic")).alias("domain"), "feats")
+    good = net.with_posterior(both.where("domain = 'good'").select("lang", "feats"))
+    for r in good.groupBy("lang").agg(F.avg(F.col("p")[net.domains.index("poor")]).alias("poor")).collect():
+        assert r.poor < 0.05
+
+
 def test_op6_descent_is_least_squares(spark):
     """Targets that nonnegative rates cannot meet: no other step sums do better on a grid."""
     p = [(10, [0.9, 0.1]), (20, [0.5, 0.5]), (30, [0.2, 0.8])]
