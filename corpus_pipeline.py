@@ -16,9 +16,11 @@ from lodestone.llm.op6_mixing import mix
 from lodestone.llm.op7_minhash import near_duplicates
 from lodestone.llm.op8_language_id import UNDECIDED, identify, train
 
-#: Factors on the tokens of each domain. Documents whose rate comes out at KEEP_FROM or more are all kept.
+#: Factors on the tokens of each domain. Only documents that are poor or toxic with CONFIDENT or more can go, and of these
+#: all with a rate of KEEP_FROM or more are kept.
 FACTORS = {"good": 1.0, "poor": 0.5, "toxic": 0.0}
 KEEP_FROM = 0.75
+CONFIDENT = 0.8
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,11 +48,14 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents are kept by their rate: all from KEEP_FROM on, below that by a hash of the id."""
+    """Confidently toxic documents go; confidently poor ones are kept by their rate and a hash of the id. All others stay."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    rated, _ = mix(docs, labels, FACTORS, relative=True)
+    rated, domains = mix(docs, labels, FACTORS, relative=True)
+    p = {d: F.col("p")[i] for i, d in enumerate(domains)}
+    toxic, poor = p.get("toxic", F.lit(0.0)), p.get("poor", F.lit(0.0))
     draw = F.pmod(F.xxhash64(F.lit("mix"), "doc_id"), F.lit(1_000_000)) / 1_000_000
-    gone = rated.where((F.col("rate") < KEEP_FROM) & (draw >= F.col("rate"))).select("doc_id").distinct()
+    thinned = (toxic + poor >= CONFIDENT) & (F.col("rate") < KEEP_FROM) & (draw >= F.col("rate"))
+    gone = rated.where((toxic >= CONFIDENT) | thinned).select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
 
 

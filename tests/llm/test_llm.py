@@ -449,6 +449,17 @@ def test_op10_base_scores_and_marginals_equal_brute_force(spark, rng):
 
 
 # -- pipeline ---------------------------------------------------------------------------------------------------------
+def test_pipeline_mixing_keeps_good_documents_of_every_language(spark):
+    import corpus_pipeline as cp
+
+    d, lab = spark.read.parquet(f"{LARGER}/documents.parquet"), spark.read.parquet(f"{LARGER}/labels.parquet")
+    kept = cp.source_mixing(spark, d, LARGER).select("doc_id", F.lit(1).alias("stays"))
+    told = d.join(lab, "doc_id").join(kept, "doc_id", "left").withColumn("domain", op6.domain_of(F.col("quality"), F.col("toxic")))
+    stay = {(r.lang, r.domain): r.share for r in told.groupBy("lang", "domain").agg(F.avg(F.coalesce("stays", F.lit(0))).alias("share")).collect()}
+    for lang in ("de", "en", "es", "fr"):
+        assert stay[lang, "good"] > 0.97 and stay[lang, "toxic"] < 0.4
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline as cp
 
