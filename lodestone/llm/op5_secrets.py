@@ -4,10 +4,11 @@ Base spans (assign, access, hex) are reported as the patterns give them. Confirm
 
 - ``jwt``: a signed token; three base64url parts, whose first decodes to a JSON object with a string ``alg``
   and whose second decodes to a JSON object;
-- ``der``: base64 or hex that decodes to an ASN.1 SEQUENCE whose nested lengths add up to the whole, holding an
+- ``der``: base64, base64url or hex that decodes to an ASN.1 SEQUENCE whose nested lengths add up to the whole, holding an
   INTEGER or OBJECT IDENTIFIER (key encodings and certificates);
-- ``pem``: a BEGIN/END block with matching labels whose body decodes to such a structure;
-- ``sshkey``: base64 that decodes to length-prefixed fields, the first being an algorithm name.
+- ``pem``: a BEGIN/END block with matching labels whose body decodes to such a structure, or to whole cipher blocks under
+  headers that say so; line ends may be escaped;
+- ``sshkey``: base64, base64url or hex that decodes to length-prefixed fields, the first being an algorithm name.
 """
 
 from __future__ import annotations
@@ -28,9 +29,11 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 HEX = re.compile(r"[0-9a-f]{16,}")
 JWT = re.compile(r"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)")
-PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]+)-----([A-Za-z0-9+/=\s]+)-----END \1-----")
-B64 = re.compile(r"(?<![A-Za-z0-9+/=])(?:MI[A-Za-z0-9+/]{30,}|AAAA[A-Za-z0-9+/]{28,})={0,2}")
-HEXKEY = re.compile(r"(?<![0-9A-Fa-f])30[0-9A-Fa-f]{38,}(?![0-9A-Fa-f])")
+PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]+)-----((?:(?!-----)[\s\S])+)-----END \1-----")
+#: Every run of an alphabet that is long enough for a structure; what is before it does not matter.
+RUNS = (re.compile(r"(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{22,}={0,2}"), re.compile(r"(?<![A-Za-z0-9_-])[_-]*([A-Za-z0-9][A-Za-z0-9_-]{21,}={0,2})"))
+HEXKEY = re.compile(r"(?<![0-9A-Fa-f])[0-9A-Fa-f]{32,}(?![0-9A-Fa-f])")
+HEADER = re.compile(r"[A-Za-z0-9-]+:[^\n]*(?:\n[ \t][^\n]*)*\n")
 
 
 def _b64(s: str, url: bool = False) -> bytes | None:
@@ -96,6 +99,18 @@ def is_signed_token(head: str, body: str) -> bool:
     return isinstance(h, dict) and isinstance(h.get("alg"), str) and isinstance(b, dict)
 
 
+def is_pem(label: str, body: str) -> bool:
+    """Line ends may be escaped and header lines may come first; under Proc-Type ENCRYPTED the body is whole cipher blocks."""
+    body = re.sub(r"(?:\\+r)?\\+n|\r\n?", "\n", body).lstrip()
+    head = ""
+    while m := HEADER.match(body):
+        head, body = head + m[0], body[m.end() :]
+    raw = _b64(body)
+    if "ENCRYPTED" in head and "DEK-Info:" in head and label.endswith("PRIVATE KEY"):
+        return raw is not None and len(raw) >= 16 and len(raw) % 8 == 0
+    return is_der_key(raw) or raw is not None and raw.startswith(b"openssh-key-v1\0")
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind index, end) of the fixed patterns; every match counts where it is found, failing ones are dropped after."""
     found = []
@@ -112,20 +127,22 @@ def confirmed_spans(text: str) -> list[tuple[int, int, int]]:
     if "eyJ" in text:
         found += [(m.start(), 3, m.end()) for m in JWT.finditer(text) if is_signed_token(m[1], m[2])]
     if "-----BEGIN " in text:
-        for m in PEM.finditer(text):
-            raw = _b64(m[2])
-            if is_der_key(raw) or raw is not None and raw.startswith(b"openssh-key-v1\0"):
-                found.append((m.start(), 4, m.end()))
-    if "MI" in text or "AAAA" in text:
-        for m in B64.finditer(text):
-            raw = _b64(m[0])
-            if is_der_key(raw):
-                found.append((m.start(), 5, m.end()))
-            elif is_ssh_key(raw):
-                found.append((m.start(), 6, m.end()))
-    for m in HEXKEY.finditer(text) if "30" in text else ():
-        if len(m[0]) % 2 == 0 and is_der_key(bytes.fromhex(m[0])):
-            found.append((m.start(), 5, m.end()))
+        found += [(m.start(), 4, m.end()) for m in PEM.finditer(text) if is_pem(m[1], m[2])]
+    keys = set()  # a run can be one of both alphabets
+    for url, pattern in enumerate(RUNS):
+        for m in pattern.finditer(text):
+            run = m[url]
+            # A DER SEQUENCE begins with M in base64, the length of a key's first field with AAAA.
+            if run[0] == "M" and is_der_key(_b64(run, bool(url))):
+                keys.add((m.start(url), 5, m.end()))
+            elif run.startswith("AAAA") and is_ssh_key(_b64(run, bool(url))):
+                keys.add((m.start(url), 6, m.end()))
+    for m in HEXKEY.finditer(text):
+        if len(m[0]) % 2 == 0 and m[0].startswith(("30", "000000")):
+            raw = bytes.fromhex(m[0])
+            if is_der_key(raw) or is_ssh_key(raw):
+                keys.add((m.start(), 5 if raw[0] == 0x30 else 6, m.end()))
+    found += sorted(keys)
     return found
 
 

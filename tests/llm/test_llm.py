@@ -238,6 +238,32 @@ def test_op5_base_spans_equal_the_plain_patterns(spark):
     assert op5.scan_secrets(docs(spark, [])).count() == 0
 
 
+def test_op5_finds_every_form_of_key():
+    tlv = lambda tag, *parts: bytes([tag, len(b := b"".join(parts))]) + b if len(b"".join(parts)) < 128 else bytes([tag, 0x82]) + len(b"".join(parts)).to_bytes(2, "big") + b"".join(parts)
+    curve, point = tlv(6, bytes.fromhex("2a8648ce3d030107")), bytes(range(65))
+    forms = {
+        "sec1": tlv(0x30, tlv(2, b"\1"), tlv(4, bytes(range(32))), tlv(0xA0, curve), tlv(0xA1, tlv(3, b"\0" + point))),
+        "ed25519": tlv(0x30, tlv(2, b"\0"), tlv(0x30, tlv(6, b"\x2b\x65\x70")), tlv(4, tlv(4, bytes(range(200, 232))))),
+        "public": tlv(0x30, tlv(0x30, tlv(6, bytes.fromhex("2a8648ce3d0201")), curve), tlv(3, b"\0" + point)),
+        "rsa": tlv(0x30, tlv(2, b"\0"), tlv(2, b"\xfb\xef\xff" * 90), tlv(2, b"\1\0\1")),
+    }
+    ssh = b"".join(len(x).to_bytes(4, "big") + x for x in (b"ssh-ed25519", bytes(range(224, 256))))
+    for kind, raw in [("der", x) for x in forms.values()] + [("sshkey", ssh)]:
+        std, url = base64.b64encode(raw).decode(), base64.urlsafe_b64encode(raw).decode()
+        for run in (std, url, url.rstrip("="), raw.hex(), raw.hex().upper()):
+            for before in ("", "a ", "PRIVATE_KEY=", 'k="', "x:"):
+                text = f"{before}{run} end"
+                assert f"{kind}:{len(before)}:{len(before) + len(run)}" in op5.joined(op5.confirmed_spans(text)), (kind, text)
+                assert run not in op5.redact(text)
+    body = base64.encodebytes(forms["sec1"]).decode()
+    enc = base64.b64encode(bytes(range(96))).decode()
+    for inner in (f"\n{body}", "\\n" + body.replace("\n", "\\n"), "\r\n" + body.replace("\n", "\r\n"), "\\r\\n" + body.replace("\n", "\\r\\n"), f"\nComment: a\n\n{body}", f"\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,00FF\n\n{enc}\n", f"\\nProc-Type: 4,ENCRYPTED\\nDEK-Info: AES-128-CBC,00FF\\n\\n{enc}\\n"):
+        block = f"-----BEGIN EC PRIVATE KEY-----{inner}-----END EC PRIVATE KEY-----"
+        assert op5.redact(f"a {block} z") == "a [pem] z", inner
+    for plain in ("M" * 60, "A" * 60, "0" * 64, "30" * 32, "x" * 10_000, "-" * 50_000, "-----BEGIN A-----" * 500):
+        assert op5.confirmed_spans(plain) == []
+
+
 # -- 6 ----------------------------------------------------------------------------------------------------------------
 def test_op6_meets_targets_and_knows_the_domains(spark, rng):
     bad = "scum trash idiot".split()
