@@ -431,6 +431,18 @@ def test_op9_files_hold_every_row(spark, tmp_path):
     assert sorted(r.doc_id for r in back.collect()) == list(range(100)) and back.select("shard").distinct().count() == 4
 
 
+def test_op9_shuffles_whole_texts_in_buckets_of_bounded_bytes(spark):
+    d = docs(spark, [chr(97 + i % 26) * 20_000 for i in range(200)])
+    out = op9.external_shuffle(d, ["doc_id", "text"], shards=4, bucket_bytes=200_000)
+    rows = out.collect()
+    assert sorted((r.doc_id, r.text) for r in rows) == [(i, chr(97 + i % 26) * 20_000) for i in range(200)]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert int(re.search(r"pmod\(key#\d+L?, (\d+)\)", plan)[1]) >= 20  # 4,000,000 bytes
+    assert "collect_list(struct(key" in plan
+    whole = op9.digest(d)._jdf.queryExecution().optimizedPlan().toString()
+    assert whole.index("crc32") < whole.index("collect_list")  # worked out from what was shuffled
+
+
 # -- 10 ---------------------------------------------------------------------------------------------------------------
 def test_op10_base_scores_and_marginals_equal_brute_force(spark, rng):
     texts = [None, "", "Zebra  x", *[prose(rng, int(n)) for n in rng.integers(1, 200, 60)], "new words only é中", ...]
