@@ -12,12 +12,14 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir, or in local mode one of our own where that is unset (tests)."""
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if conf:
         return conf.rstrip("/")
     own = spark.conf.get("lodestone.shared.dir", None)
     if not own:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         own = "file://" + tempfile.mkdtemp(prefix="lodestone-")
         spark.conf.set("lodestone.shared.dir", own)
     return own
@@ -34,20 +36,29 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Whole texts go to Python at most `rows` at a time; Spark's own 10,000 would hold 10 times the text on both sides."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, str(rows))
+
+
 _HELD: dict[Hashable, Any] = {}
 
 
 def held(key: Hashable, make: Callable[[], Any]) -> Any:
-    """The object of `key`, kept between the tasks of a Python worker.
-
-    A worker keeps one such object: the next operator's takes its place, so that memos of several do not add up.
-    """
+    """The object of `key`, kept between the tasks of a Python worker; a worker keeps one, the next operator's takes its place."""
     if key not in _HELD:
         _HELD.clear()
         _HELD[key] = make()
     return _HELD[key]
 
 
+def forget() -> None:
+    """Free what `held` keeps in this Python worker: tasks of other operators begin with it, so that memos never add up."""
+    _HELD.clear()
+
+
 def spread(spark: SparkSession, rows: int, rows_each: int) -> int:
     """How many groups hold `rows` at `rows_each` a group, and at least as many as the session shuffles into."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // rows_each))

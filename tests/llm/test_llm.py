@@ -396,12 +396,27 @@ def test_op8_held_out_accuracy(spark):
     assert op8.identify(docs(spark, ["abc"]), None).first().lang_pred == "und"
 
 
-def test_op8_word_sums_add_up_over_positions():
+def test_op8_windows_label_every_position_once():
     net = op8.ByteGru(["a", "b"], 4)
-    word = b"q" * 70
-    want = sum(net.positions(np.frombuffer(s, np.uint8)[None, :])[0].sum(0) for s in op8.segments(word))
-    got = net.word_sums([b"x", word])
-    assert got[1, :2] == pytest.approx(want, rel=1e-5) and got[1, 2] == 72
+    raw = np.random.default_rng(1).integers(97, 123, 1000).astype(np.uint8).tobytes()
+    cut = list(op8.windows(raw))
+    assert b"".join(w[a : a + n] for w, a, n in cut) == raw and all(len(w) <= op8.CORE + 2 * op8.CONTEXT for w, _, _ in cut)
+    some = [*cut, *op8.windows(b"x y")]
+    got = net.window_sums(some)  # padded together, each as if alone
+    for (w, a, n), sums in zip(some, got):
+        want = net.positions(np.frombuffer(w, np.uint8)[None, :])[0, a : a + n].sum(0)
+        assert sums == pytest.approx(want, rel=1e-4)
+    # The state goes on over blanks: the same word is labelled otherwise after another word.
+    x, y = (net.positions(np.frombuffer(t, np.uint8)[None, :])[0, 3:] for t in (b"aa bb", b"zz bb"))
+    assert np.abs(x - y).max() > 1e-4
+
+
+def test_op8_samples_are_bounded_and_over_the_whole_text(spark):
+    texts = [" ".join(f"w{i}" for i in range(300)), "short", *["same text"] * 50, *[f"other text {i}" for i in range(300)]]
+    got = op8.training_spans(docs(spark, texts), "doc_id", "text", "lang", 5, 40, 8, 16, 3)
+    assert len(got) == 40 and all(r.lang == "en" for r in got)
+    one = op8.training_spans(docs(spark, texts[:1] * 3, ["x", "x", "x"]).where("doc_id = 1"), "doc_id", "text", "lang", 5, 40, 8, 16, 3)
+    assert len(one[0].spans) == 8 and texts[0].endswith(bytes(one[0].spans[-1]).decode()) and texts[0].startswith(bytes(one[0].spans[0]).decode())
 
 
 # -- 9 ----------------------------------------------------------------------------------------------------------------
