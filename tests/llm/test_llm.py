@@ -171,8 +171,11 @@ def test_op3_counts_are_the_librarys(spark, rng):
         assert (got[i].n_tokens, got[i].n_bytes, got[i].over_limit) == (n, len((t or "").encode()), n > 4096)
     fst = op3.Transducer(op3.model_path())
     for size in (1, 2, 7, 31):  # state maps compose wherever a chunk is cut
-        fst.chunk_chars = size
-        assert [fst.count(t) for t in texts[:200]] == [got[i].n_tokens for i in range(200)]
+        assert [fst.scan([fst.state_map(*c) for c in op3.chunks(op3.marked(t), size)]) if t else 0 for t in texts[:200]] == [got[i].n_tokens for i in range(200)]
+        wrong = [[fst.state_map("", c) for _, c in op3.chunks(op3.marked(t), size)] for t in texts[:60] if t]  # entry states guessed wrong
+        assert [fst.scan(m) for m in wrong] == [got[i].n_tokens for i, t in enumerate(texts[:60]) if t]
+    for size in (5, 64, 3000):  # chunks on several tasks
+        assert {r.doc_id: r.n_tokens for r in op3.token_counts(docs(spark, texts), op3.model_path(), chunk_chars=size).collect()} == {i: r.n_tokens for i, r in got.items()}
     assert op3.token_counts(docs(spark, []), op3.model_path()).count() == 0
 
 
