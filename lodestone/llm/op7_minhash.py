@@ -4,8 +4,9 @@ Every element of a document's shingle set draws a random permutation of the sign
 with a fresh rank at each level; a slot keeps its least level + rank. Ranks inside one element are correlated (no two
 land in one slot), which lowers the variance, and a document stops at the first level that cannot lower any slot.
 Bands of slots give buckets. Each bucket's members are compared with one of them, on full sets; links are united.
-Then buckets that still hold several components are settled whole: their documents meet block by block, in matrix
-products over their sets, so no bucket is capped, no link between components is left out and no pair becomes a row.
+Then buckets that still hold several components are settled whole: a bucket's documents outside its largest component
+meet all others in it, block by block, in matrix products over their sets, so no bucket is capped, no link between
+components is left out and no pair becomes a row. Documents that share no bucket never meet.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Forest, components, settle, spread
+from .common import Forest, components, forget, settle, small_batches, spread
 
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 U = np.uint64
@@ -110,17 +111,8 @@ def band_keys(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return h.view(np.int64)
 
 
-def packed(s: np.ndarray) -> bytes:
-    """A set as its sorted 48-bit values, six bytes each."""
-    low = np.unique(s & U((1 << 48) - 1))
-    return np.ascontiguousarray(low.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
-
-
 def unpacked(raw: bytes) -> np.ndarray:
-    six = np.frombuffer(raw, np.uint8).reshape(-1, 6)
-    out = np.zeros((len(six), 8), np.uint8)
-    out[:, :6] = six
-    return out.view("<u8").ravel()
+    return np.frombuffer(raw, "<u8")
 
 
 def _sketch(df: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
@@ -128,6 +120,7 @@ def _sketch(df: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
     out = T.StructType([df.schema["id"], df.schema["th"], *[T.StructField(c, T.LongType()) for c in ("n_shingles", "fp1", "fp2")], T.StructField("keys", T.ArrayType(T.LongType()))])
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         hasher = SuperMinHash(bands * rows)
         for batch in batches:
             for a in range(0, batch.num_rows, 1000):
@@ -148,7 +141,7 @@ def _sketch(df: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
 def _sets(df: DataFrame, k: int) -> DataFrame:
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([packed(shingle_set(t, k)) for t in b.column(1).to_pylist()], pa.binary())], names=["node", "set"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingle_set(t, k).astype("<u8").tobytes() for t in b.column(1).to_pylist()], pa.binary())], names=["node", "set"])
 
     return df.select("node", "text").mapInArrow(each, "node long, set binary")
 
@@ -224,47 +217,56 @@ def _settle_groups(members: DataFrame, percent: int) -> DataFrame:
 
 
 def _merge_buckets(members: DataFrame, labels: DataFrame, sets: DataFrame, percent: int, block: int, name: str) -> DataFrame:
-    """Links between components that meet in a bucket: every pair of documents that shares one is compared, without pair rows.
+    """Links between components that meet in a bucket: every pair of documents in it is compared, without pair rows.
 
-    Buckets that hold one component only are settled. The others fall into groups (buckets that share a document); in
-    a group, documents outside its largest component meet all others, block by block. One block pair is one task.
+    Buckets that hold one component only are settled, and of buckets with equal members one stands for all. In each of
+    the others documents outside its largest component meet all of it, block by block. One block pair is one task.
     """
     spark = members.sparkSession
-    known = members.join(labels, "node", "left").select("key", "node", "leader", F.coalesce("component", "node").alias("c"))
-    mixed = known.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo != hi").select("key")
-    known = settle(known.join(mixed, "key").select("node", "leader", "c").distinct(), f"{name}-mixed")
-    group = components(known.select(F.col("node").alias("a"), F.col("leader").alias("b")), f"{name}-groups").withColumnRenamed("component", "grp")
-    rows = settle(known.select("node", "c").distinct().join(group, "node"), f"{name}-members")
-    per = rows.groupBy("grp", "c").agg(F.count("*").alias("here"))
-    per = per.groupBy("grp").agg(F.sum("here").alias("size"), F.max(F.struct("here", "c")).alias("top")).where("size > top.here")
-    per = per.select("grp", "size", F.col("top.c").alias("main"), F.ceil((F.col("size") - F.col("top.here")) / block).cast("int").alias("nb"), F.ceil(F.col("top.here") / block).cast("int").alias("mb"))
+    known = members.join(labels, "node", "left").select("key", "node", F.coalesce("component", "node").alias("c"))
+    place = F.xxhash64("node")
+    alike = known.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("size"), F.bit_xor(place).alias("x"), F.sum(F.pmod(place, F.lit(1 << 31))).alias("y"))
+    mixed = alike.where("lo != hi").groupBy("size", "x", "y").agg(F.min("key").alias("key")).select("key", "size")
+    rows = settle(known.join(mixed, "key").select(F.col("key").alias("grp"), "size", "node", "c"), f"{name}-mixed")
+    per = rows.groupBy("grp", "size", "c").agg(F.count("*").alias("here")).groupBy("grp", "size").agg(F.max(F.struct("here", "c")).alias("top"))
+    per = per.select("grp", F.col("top.c").alias("main"), F.ceil((F.col("size") - F.col("top.here")) / block).cast("int").alias("nb"), F.ceil(F.col("top.here") / block).cast("int").alias("mb"))
     rows = rows.join(per, "grp").join(sets, "node")
     tasks = spread(spark, rows.count(), block)
     whole = F.col("size") <= block
     small = rows.where(whole).select(F.concat(F.lit("s"), F.pmod(F.xxhash64("grp"), F.lit(tasks)).cast("string")).alias("task"), "grp", F.lit(2).alias("side"), "node", "c", "set")
     minor = F.col("c") != F.col("main")
-    place = lambda n: F.pmod(F.xxhash64("node"), F.col(n).cast("long")).cast("int")
-    big = rows.where(~whole).withColumn("own", F.when(minor, place("nb")).otherwise(F.col("nb") + place("mb")))
+    at = lambda n: F.pmod(place, F.col(n).cast("long")).cast("int")
+    big = rows.where(~whole).withColumn("own", F.when(minor, at("nb")).otherwise(F.col("nb") + at("mb")))
     big = big.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(minor, F.col("nb") + F.col("mb")).otherwise(F.col("nb")) - 1)))
     side = F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1)
     large = big.select(F.concat_ws("-", F.lit("b"), "grp", F.least("own", "other"), F.greatest("own", "other")).alias("task"), "grp", side.alias("side"), "node", "c", "set")
     return settle(_settle_groups(small.unionByName(large), percent).distinct(), f"{name}-links")
 
 
+def _same_ids(sig: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Links (a, b) between the nodes of an id that has several."""
+    told = sig.where("id is not null and n_shingles > 0").select("id", "fp1", "fp2")
+    several = told.groupBy("id").agg(F.min(F.struct("fp1", "fp2")).alias("lo"), F.max(F.struct("fp1", "fp2")).alias("hi")).where("lo != hi").select("id")
+    ends = told.join(several, "id", "left_semi").join(nodes.select("fp1", "fp2", "node"), ["fp1", "fp2"]).select("id", "node").distinct()
+    return ends.join(ends.groupBy("id").agg(F.min("node").alias("a")), "id").where("a != node").select("a", F.col("node").alias("b"))
+
+
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80, bands: int = 32, rows: int = 5, block: int = 512) -> DataFrame:
     """Per row: the id, n_shingles, component_id (smallest id reachable over links, itself included), kept.
 
     Two documents are linked when 100 * |A and B| >= percent * |A or B| over their full sets of k-word shingles.
-    Texts without words (also null ones) have no shingles and link with nothing. Rows that share an id count as one
-    document. A row without an id takes no part: component_id is null and it is kept. Equal sets are one node, so
-    copies are never paired with each other. An empty table gives an empty result; other columns are not read.
-    A pair at the threshold shares no band with probability (1 - s ** rows) ** bands (7e-9 at 0.85, 3e-6 at 0.8).
+    Texts without words (also null ones) have no shingles and link with nothing. Rows that share an id are one document
+    of the components; each of their texts is compared. A row without an id takes no part: component_id is null and it is
+    kept. Equal sets are one node, so copies are never paired with each other. An empty table gives an empty result;
+    other columns are not read.
+    A pair at the threshold shares no band with probability (1 - s ** rows) ** bands: 3e-6 at 0.8 with 5 rows a band,
+    3e-7 at 0.85 with 6 (7e-9 with 5).
     """
+    small_batches(df.sparkSession)
     docs = df.select(df[id_col].cast("long").alias("id"), df[text_col].alias("text"), F.xxhash64(df[text_col]).alias("th"))
     sig = settle(_sketch(docs, k, bands, rows), "minhash-sketch")
     nodes = sig.where("id is not null and n_shingles > 0").groupBy("fp1", "fp2").agg(F.min(F.struct("id", "th")).alias("first"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys"))
-    nodes = settle(nodes.select("fp1", "fp2", F.col("first.id").alias("node"), F.col("first.th").alias("th"), "n", "keys"), "minhash-nodes")
-    # One id with several texts: its nodes are one document.
+    nodes = settle(nodes.select("fp1", "fp2", F.monotonically_increasing_id().alias("node"), F.col("first.id").alias("id"), F.col("first.th").alias("th"), "n", "keys"), "minhash-nodes")
     flat = nodes.select("node", "n", F.explode("keys").alias("key"))
     order = F.struct(F.xxhash64("node").alias("o"), F.col("node").alias("leader"), F.col("n").alias("ln"))
     buckets = flat.groupBy("key").agg(F.count("*").alias("size"), F.min(order).alias("first")).where("size > 1").select("key", "size", "first.leader", "first.ln")
@@ -272,20 +274,22 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     near = lambda p, q: F.least(p, q) * 100 >= F.greatest(p, q) * percent  # noqa: E731  sizes further apart can't reach it
     pair = lambda p, q: (F.least(p, q).alias("a"), F.greatest(p, q).alias("b"))
     pairs = settle(members.where("node != leader").where(near(F.col("n"), F.col("ln"))).select(*pair(F.col("node"), F.col("leader"))).distinct(), "minhash-pairs")
-    members = members.where("size > 2").select("key", "node", "leader")
-    # Full sets of all documents that any bucket compares.
+    members = members.where("size > 2").select("key", "node")
+    # Full sets of all documents that any bucket compares; one row of a node's first id and text gives its set.
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(members.select("node")).distinct()
-    wanted = nodes.join(wanted, "node").select("node", F.col("node").alias("id"), "th")
+    wanted = nodes.select("node", "id", "th").join(wanted, "node")
     sets = settle(_sets(docs.join(wanted, ["id", "th"]).select("node", "text"), k).groupBy("node").agg(F.first("set").alias("set")), "minhash-sets")
     seen = settle(_verify(pairs, sets, percent), "minhash-verified")
-    labels = components(seen.where("linked"), "minhash")
+    labels = components(seen.where("linked").select("a", "b").unionByName(_same_ids(sig, nodes)), "minhash")
     more = _merge_buckets(members, labels, sets, percent, block, "minhash")
     if not more.isEmpty():  # links between components: their labels move on
         joined = components(more, "minhash").select(F.col("node").alias("component"), F.col("component").alias("top"))
         old = labels.join(joined, "component", "left").select("node", F.coalesce("top", "component").alias("component"))
         fresh = joined.select(F.col("component").alias("node"), F.col("top").alias("component")).join(labels, "node", "left_anti")
         labels = settle(old.unionByName(fresh), "minhash-labels")
-    named = nodes.join(labels, "node", "left").select("fp1", "fp2", F.coalesce("component", "node").alias("c"))
+    linked = settle(nodes.select("fp1", "fp2", "id", "node").join(labels, "node"), "minhash-linked")
+    least = linked.groupBy("component").agg(F.min("id").alias("c"))
+    named = linked.join(least, "component").select("fp1", "fp2", "c").unionByName(nodes.join(labels, "node", "left_anti").select("fp1", "fp2", F.col("id").alias("c")))
     out = sig.select("id", "n_shingles", "fp1", "fp2").join(named, ["fp1", "fp2"], "left")
     own = F.when((F.col("n_shingles") > 0) & F.col("id").isNotNull(), F.coalesce("c", "id")).otherwise(F.col("id"))
     return out.select(F.col("id").alias(id_col), "n_shingles", own.alias("component_id"), F.coalesce(F.col("id") == own, F.lit(True)).alias("kept"))

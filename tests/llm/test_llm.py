@@ -357,6 +357,32 @@ def test_op7_edges(spark):
     assert op7.near_duplicates(docs(spark, [])).count() == 0
 
 
+def test_op7_an_id_with_several_texts_links_by_each(spark):
+    one, two = " ".join(WORDS), " ".join(reversed(WORDS))
+    rows = [(9, one), (9, two), (4, one + " x"), (5, two + " y"), (7, "else " + one[:20]), (4, one + " x")]
+    df = spark.createDataFrame([(i, t, "en", "s", 1, "x", 3) for i, t in rows], DOC)
+    for _ in range(2):
+        got = op7.near_duplicates(df, percent=70).collect()
+        assert len(got) == 6 and {(r.doc_id, r.component_id) for r in got} == {(9, 4), (4, 4), (5, 4), (7, 7)}
+
+
+def test_op7_one_huge_bucket_and_long_texts(spark, rng):
+    """Texts that all share most of their words: the same buckets hold many components; and one very long text with a copy."""
+    base = [f"w{i}" for i in range(40)]
+    texts = []
+    for i in range(120):
+        copy = list(base)
+        for at in rng.integers(0, 40, 3):
+            copy[at] = f"x{rng.integers(0, 50)}"
+        texts.append(" ".join(copy))
+    long = " ".join(f"l{i % 4099}" for i in range(60_000))
+    texts += [long, long + " end"]
+    for settings in ({"k": 3, "percent": 85, "rows": 6}, {"k": 2, "percent": 80, "rows": 3}):  # op7's own, and one with crowded buckets
+        got = {r.doc_id: r for r in op7.near_duplicates(docs(spark, texts), block=16, **settings).collect()}
+        n, comp = brute_dups(list(enumerate(texts)), settings["k"], settings["percent"])
+        assert {i: (r.n_shingles, r.component_id) for i, r in got.items()} == {i: (n[i], comp[i]) for i in n}
+
+
 def test_op7_signatures_estimate_similarity(rng):
     h = op7.SuperMinHash(160)
     a = rng.integers(0, 2**63, 1000).astype(np.uint64)
