@@ -2,9 +2,10 @@
 
 Every vector is projected on m random directions and each direction's values are kept in one sorted array. A query
 opens a window centred on its own value in each array; a vector that lies in at least `threshold` of the m windows is
-verified by its exact measure. Virtual rehashing widens all windows by a ratio, reading only what the wider window
-adds, until enough vectors are verified or the windows hold everything. For inner products vectors get one more
-component that brings all to one norm, so the nearest by distance is the one with the largest product.
+verified by its exact measure. Virtual rehashing widens all windows by a ratio until enough vectors are verified or
+the windows hold everything; since collisions only grow, the first such width is searched from a guess. A window is a
+run of places, so collisions are counted by the places that each vector has in the arrays. For inner products vectors get one more component that brings all to one norm, so the nearest by
+distance is the one with the largest product.
 
 Rows lie in blocks of bounded size, each with its own arrays; blocks of queries meet blocks of rows. Every row is
 indexed and every query visits every block, so a block's best are complete for it and the best of all blocks follow.
@@ -35,10 +36,13 @@ class CollisionIndex:
         self.lift = np.sqrt(np.maximum(0.0, top_norm**2 - (vectors**2).sum(1)))
         self.axes = np.random.default_rng(seed).normal(size=(projections, d + 1)) / max(top_norm, 1e-300)
         values = self.axes[:, :d] @ vectors.T + self.axes[:, d:] * self.lift[None, :]
-        self.order = np.argsort(values, axis=1, kind="stable")
-        self.ordered = np.take_along_axis(values, self.order, 1)
+        order = np.argsort(values, axis=1, kind="stable")
+        self.ordered = np.take_along_axis(values, order, 1)
+        self.kind = np.uint16 if n < 1 << 16 else np.uint32
+        self.place = np.empty((projections, n), self.kind)  # of each row in each array
+        np.put_along_axis(self.place, order, np.arange(n, dtype=self.kind)[None, :], 1)
 
-    def windows(self, centres: np.ndarray, half: float) -> tuple[np.ndarray, np.ndarray]:
+    def windows(self, centres: np.ndarray, half: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Where the windows of all queries begin and end, in each array."""
         lo, hi = np.empty(centres.shape, np.int64), np.empty(centres.shape, np.int64)
         for i, ordered in enumerate(self.ordered):
@@ -46,41 +50,58 @@ class CollisionIndex:
             hi[:, i] = np.searchsorted(ordered, centres[:, i] + half, "right")
         return lo, hi
 
+    def collided(self, lo: np.ndarray, hi: np.ndarray, threshold: int) -> np.ndarray:
+        """The rows that lie in at least `threshold` of one query's windows."""
+        # place - lo wraps around for places before the window
+        inside = self.place - lo.astype(self.kind)[:, None] < np.minimum(hi - lo, np.iinfo(self.kind).max).astype(self.kind)[:, None]
+        return np.flatnonzero(inside.view(np.uint8).sum(0, dtype=np.uint8 if self.m < 256 else np.uint32) >= threshold)
+
     def candidates(self, queries: np.ndarray, enough: int, threshold: int, width: float, ratio: float) -> list[np.ndarray]:
-        """Per query: rows that collide with it in at least `threshold` windows, after the widening that first gives `enough`."""
-        n = len(self.vectors)
+        """Per query: rows that collide with it in at least `threshold` windows of the first width, of width * ratio**j, that gives `enough`."""
+        n, found = len(self.vectors), [np.zeros(0, np.int64)] * len(queries)
         if enough >= n:
             return [np.arange(n)] * len(queries)
-        centres = queries @ self.axes[:, :-1].T  # a query's own lift is 0: it is scaled to the top norm by the caller
-        lo, _ = self.windows(centres, 0.0)
-        hi, half = lo.copy(), width / 2
-        count, found = np.zeros((len(queries), n), np.int16), [np.zeros(0, np.int64)] * len(queries)
+        with np.errstate(invalid="ignore", over="ignore"):
+            centres = queries @ self.axes[:, :-1].T  # a query's own lift is 0: it is scaled to the top norm by the caller
         exact = np.isfinite(centres).all(1)
         for q in np.flatnonzero(~exact).tolist():  # norms beyond a double: every row is verified
             found[q] = np.arange(n)
-        searching = np.flatnonzero(exact)
-        while len(searching):
-            new_lo, new_hi = self.windows(centres[searching], half)
-            half *= ratio
-            can = (new_hi - new_lo).sum(1) >= enough * threshold  # else too few collisions in all, however they fall
-            at, new_lo, new_hi = searching[can], new_lo[can], new_hi[can]
-            for q, *edges in zip(at.tolist(), new_lo.tolist(), lo[at].tolist(), hi[at].tolist(), new_hi.tolist()):
-                fresh = [p for row, a, b, c, d in zip(self.order, *edges) for p in (row[a:b], row[c:d])]
-                count[q] += np.bincount(np.concatenate(fresh), minlength=n).astype(np.int16)
-            lo[at], hi[at] = new_lo, new_hi
-            done = ((count[at] >= threshold).sum(1) >= enough) | (new_hi - new_lo == n).all(1)
-            for q in at[done].tolist():
-                found[q] = np.flatnonzero(count[q] >= threshold)
-            searching = np.setdiff1d(searching, at[done])
+        at = np.flatnonzero(exact)
+        if not len(at):
+            return found
+        widest = np.maximum(self.ordered[:, -1] - centres[at], centres[at] - self.ordered[:, 0]).max(1)
+        last = np.maximum(0, np.ceil(np.log(np.maximum(widest / (width / 2), 1e-300)) / np.log(ratio)).astype(np.int64) + 1)  # holds everything
+        least, most = np.full(len(at), -1), last.copy()  # too narrow; wide enough
+        found_at = {i: np.arange(n) for i in range(len(at))}
+        step, guess = np.ones(len(at), np.int64), last // 2
+        for some in (np.arange(min(8, len(at))), np.arange(min(8, len(at)), len(at))):  # the first few show where the others begin
+            if len(some) and some[0]:
+                guess[some] = np.clip(int(np.median(most[: some[0]])), 0, last[some] - 1)
+            while len(some := some[most[some] - least[some] > 1]):
+                guess[some] = np.clip(guess[some], least[some] + 1, most[some] - 1)
+                lo, hi = self.windows(centres[at[some]], width / 2 * ratio ** guess[some].astype(float))
+                for i, a, b in zip(some.tolist(), lo, hi):
+                    hit = self.collided(a, b, threshold)
+                    if len(hit) >= enough:
+                        most[i], found_at[i] = guess[i], hit
+                        known = least[i] >= 0
+                        ahead = guess[i] - step[i]
+                    else:
+                        least[i] = guess[i]
+                        known = most[i] < last[i]
+                        ahead = guess[i] + step[i]
+                    guess[i], step[i] = (least[i] + most[i]) // 2 if known else ahead, 2 * step[i]
+        for i, q in enumerate(at.tolist()):
+            found[q] = found_at[i]
         return found
 
 
-def nearest(df: DataFrame, queries: Column, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", projections: int = 64, share: float = 0.4, threshold: float = 0.45, width: float = 1.0, ratio: float = 1.15, row_block: int = 4096, query_block: int = 1024, seed: int = 4) -> DataFrame:
+def nearest(df: DataFrame, queries: Column, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", projections: int = 128, verify: int = 600, threshold: float = 0.9, width: float = 1.0, ratio: float = 1.02, row_block: int = 4096, query_block: int = 8192, seed: int = 4) -> DataFrame:
     """query_id, rank (from 1), id, score: the k largest inner products found for each query row, its own row left out.
 
-    `queries`: a condition on df that picks the query rows. A block's windows widen until `share` of its rows (k at
-    least) collide in `threshold` of the projections and are verified; the score is the exact inner product in double
-    precision on the original vectors. Nearest first, ties to the smaller id. Vectors that are null, empty, zero or
+    `queries`: a condition on df that picks the query rows. A block's windows widen until `verify` of its rows (more than
+    k at least) collide in `threshold` of the projections and are verified; the score is the exact inner product in
+    double precision on the original vectors. Nearest first, ties to the smaller id. Vectors that are null, empty, zero or
     hold null or non-finite components take no part, nor rows without an id, nor candidates of another length than the
     query's. Repeated rows are rows of their own, but an id is never its own neighbour. Blocks without candidates give
     nothing; fewer than k candidates are all returned. Other columns are not read.
@@ -109,7 +130,7 @@ def nearest(df: DataFrame, queries: Column, k: int = 20, id_col: str = "vec_id",
             x = np.array(rows["v"].take(pa.array(order)).combine_chunks().flatten()).reshape(-1, d)
             q = np.array(queries["v"].take(pa.array(asked)).combine_chunks().flatten()).reshape(-1, d)
             index = CollisionIndex(x, top, projections, seed)
-            enough = max(k + 1, int(np.ceil(share * len(x))))
+            enough = max(k + 1, verify)
             collided = index.candidates(q * (top / np.linalg.norm(q, axis=1))[:, None], enough, max(1, int(threshold * projections)), width, ratio)
             for i, v, found in zip(asked.tolist(), q, collided):
                 found = found[own[found] != qids[i]]
