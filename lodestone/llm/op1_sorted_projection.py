@@ -2,10 +2,14 @@
 
 Equal vectors are one node first. In each pass every node gets a key: the sign bits of 64 random projections, one
 after another. Nodes are ordered by label and key over the whole cluster, and each is compared with the `window`
-nodes before it. Pairs within a wider angle than asked for are united across passes; the number of passes follows
-from the table's size and the chance that a pair at the threshold lands in one window. Inside the united groups,
-which are far smaller than the table, all pairs are then compared in double precision, block by block, so link counts
-are exact however large a group is, and components follow from verified links alone.
+nodes before it. Pairs within a wider angle than asked for are united across passes.
+
+How many passes that takes depends on how crowded the vectors are, so it is measured: a partner that shares more of a
+node's key than the nodes `window` places away do is certain to stand in its window, and a partner at the threshold
+shares that many bits with a known probability. Nodes whose chance to have missed such a partner is still above
+`miss` go into more passes; a pair is safe if one of its ends is. What stays unsafe is compared whole within its label.
+Inside the united groups all pairs are then compared in double precision, block by block, so link counts are exact
+however large a group is, and components follow from verified links alone.
 """
 
 from __future__ import annotations
@@ -37,48 +41,68 @@ def sort_keys(unit: np.ndarray, one_pass: int, seed: int) -> np.ndarray:
     return ((bits * _BITS).sum(1, dtype=np.uint64) ^ np.uint64(1 << 63)).view(np.int64)
 
 
-def passes_for(rows: int, cosine: float, window: int, miss: float = 1e-6) -> int:
-    """Passes that leave a pair at the threshold unseen with probability `miss` at most.
+def passes_for(rows: int, cosine: float, window: int, miss: float) -> int:
+    """A first guess at the passes that leave a pair at the threshold unseen with probability `miss`: for evenly spread vectors.
 
     Two vectors share each sign with probability 1 - angle/pi; sharing as many as narrow the table down to one window
-    puts them into it. A tenth is taken off for neighbours that fall to two tasks.
+    puts them into it.
     """
-    bits = max(1.0, math.log2(max(2, rows) / window))
-    hit = 0.9 * (1 - math.acos(cosine) / math.pi) ** bits
-    return max(4, math.ceil(math.log(miss) / math.log(1 - hit)))
+    bits = 2 + max(0.0, math.log2(max(2, rows) / window))
+    return max(4, math.ceil(math.log(miss) / math.log(1 - (1 - math.acos(cosine) / math.pi) ** bits)))
 
 
-def _window_pairs(ordered: DataFrame, window: int, near: float) -> DataFrame:
+def shared_bits(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many leading bits two arrays of keys have in common."""
+    x = (a ^ b).view(np.uint64)
+    high, low = (x >> np.uint64(32)).astype(np.float64), (x & np.uint64(0xFFFFFFFF)).astype(np.float64)
+    return np.where(high > 0, 32 - np.frexp(high)[1], np.where(low > 0, 64 - np.frexp(low)[1], 64))
+
+
+def sure_bits(key: np.ndarray, window: int, starts: bool, ends: bool) -> np.ndarray:
+    """Per node of one ordered run: a partner that shares so many bits stands within the window; 65 where no number is sure.
+
+    starts, ends: the run's first and last nodes are those of its label; else their neighbours lie in another task.
+    """
+    n = len(key)
+    left, right = np.full(n, -1 if starts else 64), np.full(n, -1 if ends else 64)
+    if n > window:
+        same = shared_bits(key[window:], key[:-window])
+        left[window:], right[:-window] = same, same
+    return 1 + np.maximum(left, right)
+
+
+def _window_pairs(ordered: DataFrame, window: int, near: float, one_bit: float) -> DataFrame:
+    """(a, b, null) for pairs within the angle, a forest a task; (node, null, log of the chance that its window missed a partner at the threshold)."""
+
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tail: tuple | None = None
-        for batch in batches:
-            d = batch.column("d").to_numpy()
-            now = None
-            forest = Forest()
-            cuts = [0, *(np.flatnonzero(np.diff(d)) + 1).tolist(), len(d)]
-            for a, z in zip(cuts, cuts[1:]):
-                if a == z:
-                    continue
-                v = np.frombuffer(b"".join(batch.column("unit").slice(a, z - a).to_pylist()), "<f4").reshape(z - a, -1)
-                now = (batch.column("p").to_numpy()[a:z], batch.column("label").to_numpy()[a:z], batch.column("node").to_numpy()[a:z], v)
-                if tail is not None and tail[3].shape[1] == v.shape[1]:
-                    now = tuple(np.concatenate([x, y]) for x, y in zip(tail, now))
-                p, label, node, v = now
-                for s in range(1, min(window, len(node) - 1) + 1):
-                    ok = (p[s:] == p[:-s]) & (label[s:] == label[:-s]) & (np.einsum("ij,ij->i", v[s:], v[:-s]) >= near)
-                    for i in np.flatnonzero(ok).tolist():
-                        forest.join(int(node[i]), int(node[i + s]))
-                tail = tuple(x[-window:] for x in now)
-            a, b = zip(*forest.pairs) if forest.pairs else ((), ())
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-
-    return ordered.mapInArrow(each, "a long, b long")
-
-
-def near_pairs(nodes: DataFrame, cosine: float, window: int, seed: int, slack: float) -> DataFrame:
-    """Pairs (a, b) of nodes within the angle of `cosine` times (1 + slack), found by the sorted passes."""
-    rows = nodes.count()
-    passes = passes_for(rows, cosine, window)
+        table = pa.Table.from_batches(list(batches)) if (batches := list(batches)) else None
+        if table is None or not table.num_rows:
+            return
+        t = table.combine_chunks()
+        p, d, label = t["p"].to_numpy(), t["d"].to_numpy(), t["label"].to_numpy()
+        key, node = t["key"].to_numpy(), t["node"].to_numpy()
+        change = np.flatnonzero((np.diff(p) != 0) | (np.diff(d) != 0) | (label[1:] != label[:-1])) + 1
+        forest, chance = Forest(), np.zeros(len(p))
+        for a, z in zip([0, *change.tolist()], [*change.tolist(), len(p)]):
+            v = np.frombuffer(b"".join(t["unit"].slice(a, z - a).to_pylist()), "<f4").reshape(z - a, -1)
+            for s in range(1, min(window, z - a - 1) + 1):
+                for i in np.flatnonzero(np.einsum("ij,ij->i", v[s:], v[:-s]) >= near).tolist():
+                    forest.join(int(node[a + i]), int(node[a + i + s]))
+            bits = sure_bits(key[a:z], window, a > 0, z < len(p))
+            chance[a:z] = np.where(bits > 64, 0.0, np.log1p(-np.minimum(one_bit ** bits.astype(float), 1 - 1e-12)))
+        a, b = zip(*forest.pairs) if forest.pairs else ((), ())
+        none = pa.nulls(len(node))
+        yield pa.RecordBatch.from_arrays([t["node"].combine_chunks(), t["label"].combine_chunks(), t["d"].combine_chunks(), none.cast(pa.int64()), pa.array(chance)], names=names)
+        if a:
+            none = pa.nulls(len(a))
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), none.cast(pa.string()), none.cast(pa.int32()), pa.array(b, pa.int64()), none.cast(pa.float64())], names=names)
+
+    names = ["a", "label", "d", "b", "chance"]
+    return ordered.mapInArrow(each, "a long, label string, d int, b long, chance double")
+
+
+def _pass_rows(nodes: DataFrame, rows: int, first: int, passes: int, seed: int) -> DataFrame:
+    """Every node once a pass, in order of its key."""
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -87,18 +111,46 @@ def near_pairs(nodes: DataFrame, cosine: float, window: int, seed: int, slack: f
                 at = pa.array(np.flatnonzero(d == dim))
                 b = batch.take(at)
                 v = np.array(b.column("v").flatten()).reshape(-1, dim)
-                v = (v / np.abs(v).max(1, keepdims=True))
+                v = v / np.abs(v).max(1, keepdims=True)
                 v = (v / np.linalg.norm(v, axis=1, keepdims=True)).astype("<f4")
                 raw = pa.array([x.tobytes() for x in v], pa.binary())
-                for p in range(passes):
+                for p in range(first, first + passes):
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(v), p, np.int32)), b.column("label"), b.column("d"), pa.array(sort_keys(v, p, seed)), b.column("node"), raw], names=["p", "label", "d", "key", "node", "unit"])
 
     order = ["p", "label", "d", "key", "node"]
-    spark = nodes.sparkSession
-    wide = nodes.mapInArrow(keyed, "p int, label long, d int, key long, node long, unit binary")
-    ordered = wide.repartitionByRange(spread(spark, rows * passes, 50_000), *order).sortWithinPartitions(*order)
-    near = math.cos(math.acos(cosine) * (1 + slack))
-    return _window_pairs(ordered, window, near).distinct()
+    wide = nodes.select("node", "label", "d", "v").mapInArrow(keyed, "p int, label string, d int, key long, node long, unit binary")
+    longest = nodes.agg(F.max("d")).first()[0] or 1
+    parts = spread(nodes.sparkSession, rows * passes, max(1000, min(50_000, 4_000_000 // longest)))  # a task holds about 16 MB of vectors
+    return wide.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+
+
+def near_pairs(nodes: DataFrame, cosine: float, window: int, seed: int, slack: float, miss: float, alone: int, rounds: int = 4) -> DataFrame:
+    """Pairs (a, b) of nodes within the angle of `cosine` times (1 + slack), found by the sorted passes, and stars over what they leave unsafe.
+
+    After the first round a label with at most `alone` unsafe nodes is compared whole, for that costs less than passes;
+    so is what stays unsafe after the last round.
+    """
+    near, one_bit = math.cos(math.acos(cosine) * (1 + slack)), 1 - math.acos(cosine) / math.pi
+    todo, done, pairs, stars = nodes.select("node", "label", "d", "v", F.lit(0.0).alias("chance")), 0, [], []
+    for r in range(rounds):
+        rows = todo.count()
+        if not rows:
+            break
+        passes = passes_for(rows, cosine, window, miss) << r
+        found = settle(_window_pairs(_pass_rows(todo, rows, done, passes, seed), window, near, one_bit), "sorted-windows")
+        done += passes
+        pairs.append(found.where("b is not null").select("a", "b"))
+        gained = found.where("b is null").groupBy(F.col("a").alias("node"), "label", "d").agg(F.sum("chance").alias("more"))
+        unsafe = todo.join(gained, ["node", "label", "d"]).withColumn("chance", F.col("chance") + F.col("more")).where(F.col("chance") > math.log(miss)).drop("more")
+        unsafe = settle(unsafe, "sorted-unsafe")
+        sizes = unsafe.groupBy("label", "d").agg(F.count("*").alias("size"), F.min("node").alias("least"))
+        whole = F.col("size") <= (alone if r < rounds - 1 else 1 << 62)
+        marked = unsafe.join(sizes, ["label", "d"])
+        stars.append(marked.where(whole).where("node != least").select(F.col("least").alias("a"), F.col("node").alias("b")))
+        todo = settle(marked.where(~whole).select("node", "label", "d", "v", "chance"), "sorted-todo") if r < rounds - 1 else None
+        if todo is None:
+            break
+    return functools.reduce(DataFrame.unionByName, [*pairs, *stars]).distinct() if pairs else nodes.sparkSession.createDataFrame([], "a long, b long")
 
 
 def _block_links(members: DataFrame, cosine: float) -> DataFrame:
@@ -143,20 +195,21 @@ def _block_links(members: DataFrame, cosine: float) -> DataFrame:
     return members.groupBy("task").applyInArrow(task, "a long, b long, links long")
 
 
-def near_duplicate_vectors(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", cosine: float = 0.98, window: int = 32, slack: float = 0.75, block: int = 1024, seed: int = 1) -> DataFrame:
+def near_duplicate_vectors(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", cosine: float = 0.98, window: int = 32, slack: float = 0.75, miss: float = 1e-6, block: int = 512, seed: int = 1) -> DataFrame:
     """Per row: the id, n_links, component_id (smallest id reachable over links, itself included), kept.
 
-    Only rows with equal, non-null labels and equally long vectors link. Vectors that are null, empty, zero or hold
+    Only rows with equal, non-null labels (of any type, compared as text) and equally long vectors link. A pair at the
+    threshold goes unseen with probability `miss` at most, however crowded the vectors are; closer ones with less. Vectors that are null, empty, zero or hold
     null or non-finite components link with nothing, nor do rows without an id (their component is null, and they are
     kept). n_links counts the other rows linked directly, repeated rows too. Rows that share an id count as one node of
     the component. An empty table gives an empty result; other columns are not read.
     """
     spark = df.sparkSession
-    rows = df.select(df[id_col].cast("long").alias("id"), df[label_col].cast("long").alias("label"), df[vec_col].cast("array<double>").alias("v"))
+    rows = df.select(df[id_col].cast("long").alias("id"), df[label_col].cast("string").alias("label"), df[vec_col].cast("array<double>").alias("v"))
     rows = settle(rows.withColumn("ok", F.coalesce(F.col("id").isNotNull() & F.col("label").isNotNull() & usable(F.col("v")), F.lit(False))), "sorted-rows")
     good = rows.where("ok")
     nodes = settle(good.groupBy("label", "v").agg(F.min("id").alias("node"), F.count("*").alias("mult")).withColumn("d", F.size("v")), "sorted-nodes")
-    group = components(near_pairs(nodes, cosine, window, seed, slack), "sorted-groups").select("node", F.col("component").alias("grp"))
+    group = components(near_pairs(nodes, cosine, window, seed, slack, miss, 16 * block), "sorted-groups").select("node", F.col("component").alias("grp"))
     # A node stands once for each label and length its id has; groups hold one label and length only.
     inside = settle(nodes.join(group, "node").withColumn("grp", F.xxhash64("grp", "label", "d")), "sorted-inside")
     sizes = inside.groupBy("grp").agg(F.count("*").alias("size")).withColumn("blocks", F.ceil(F.col("size") / block).cast("int"))

@@ -109,6 +109,39 @@ def test_op1_equals_brute_force(spark, rng):
     assert op1.near_duplicate_vectors(spark.createDataFrame([], VEC)).count() == 0
 
 
+@pytest.mark.parametrize("background", [0.0, 0.8, 0.9])
+def test_op1_loses_no_link_of_crowded_vectors(spark, rng, background):
+    """Planted pairs just above the threshold among vectors with a common direction; and text labels."""
+    n, pairs = 3000, 300
+    common = rng.normal(size=64) / 8
+    v = math.sqrt(background) * common / np.linalg.norm(common) + math.sqrt(1 - background) * rng.normal(size=(n, 64)) / 8
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    noise = rng.normal(size=(pairs, 64))
+    noise -= (noise * v[:pairs]).sum(1, keepdims=True) * v[:pairs]
+    v[pairs : 2 * pairs] = 0.9803 * v[:pairs] + math.sqrt(1 - 0.9803**2) * noise / np.linalg.norm(noise, axis=1, keepdims=True)
+    label = ["hot" if i % 5 else "cold" for i in range(pairs)]
+    label = label * 2 + ["hot"] * (n - 2 * pairs)
+    rows = [(i, [float(x) for x in r], lab) for i, (r, lab) in enumerate(zip(v, label))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")
+    got = {r.vec_id: r for r in op1.near_duplicate_vectors(df, block=64).collect()}
+    hit = (v @ v.T >= 0.98) & (np.array(label)[:, None] == np.array(label)[None, :]) & ~np.eye(n, dtype=bool)
+    assert hit[np.arange(pairs), np.arange(pairs, 2 * pairs)].all()
+    comp = union(np.argwhere(hit).tolist(), range(n))
+    assert all((r.n_links, r.component_id) == (int(hit[i].sum()), comp[i]) for i, r in got.items())
+
+
+def test_op1_sure_bits_keep_partners_in_the_window(rng):
+    key = np.sort(rng.integers(-(2**63), 2**63, 500, dtype=np.int64))
+    sure = op1.sure_bits(key, 8, True, True)
+    unsigned = key.view(np.uint64) ^ np.uint64(1 << 63)
+    for i in range(500):
+        for j in range(500):
+            x = int(unsigned[i] ^ unsigned[j])
+            if abs(i - j) > 8:
+                assert 64 - x.bit_length() < sure[i]
+    assert (op1.sure_bits(key, 8, False, True)[:8] == 65).all() and (op1.sure_bits(key[:5], 8, True, True) == 0).all()
+
+
 # -- 2 ----------------------------------------------------------------------------------------------------------------
 def test_op2_ids_are_the_librarys_and_bins_are_gapless(spark, rng):
     from tokenizers import Tokenizer
