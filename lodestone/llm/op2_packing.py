@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import held, settle, spread
+from .common import held, settle, small_batches, spread
 
 CAPACITY = 2048
 #: Thresholds of the dual feasible functions: u_k rounds sizes to multiples of capacity/k; f_t drops sizes below t.
@@ -206,6 +206,7 @@ def shared_words(path: str) -> WordIds:
 
 def token_pieces(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = 0) -> DataFrame:
     """One row per piece: the id, piece, start, length, ids_crc32. Each document's ids are followed by end_id."""
+    small_batches(df.sparkSession)
     src = df.select(df[id_col].alias(id_col), df[text_col].alias("text__"))
     schema = T.StructType([src.schema[0], T.StructField("piece", T.IntegerType()), T.StructField("start", T.LongType()), T.StructField("length", T.LongType()), T.StructField("ids_crc32", T.LongType())])
     end = int(end_id).to_bytes(4, "little")

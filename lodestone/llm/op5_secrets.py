@@ -9,12 +9,15 @@ Base spans (assign, access, hex) are reported as the patterns give them. Confirm
 - ``pem``: a BEGIN/END block with matching labels whose body decodes to such a structure, or to whole cipher blocks under
   headers that say so; line ends may be escaped;
 - ``sshkey``: base64, base64url or hex that decodes to length-prefixed fields, the first being an algorithm name.
+
+Base64 may go on over line breaks: the lengths inside say where it ends.
 """
 
 from __future__ import annotations
 
 import base64
 import binascii
+import bisect
 import hashlib
 import json
 import re
@@ -24,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from .common import forget, small_batches
+
 KINDS = ("assign", "access", "hex", "jwt", "pem", "der", "sshkey")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
@@ -32,6 +37,9 @@ JWT = re.compile(r"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)\.([A-
 PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]+)-----((?:(?!-----)[\s\S])+)-----END \1-----")
 #: Every run of an alphabet that is long enough for a structure; what is before it does not matter.
 RUNS = (re.compile(r"(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{22,}={0,2}"), re.compile(r"(?<![A-Za-z0-9_-])[_-]*([A-Za-z0-9][A-Za-z0-9_-]{21,}={0,2})"))
+#: Runs over line breaks, of either alphabet; the structure says how many of their characters belong to it.
+WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{22,}(?:[ \t]*\r?\n[ \t]*[A-Za-z0-9+/_-]+)+={0,2}")
+LINE = re.compile(r"[A-Za-z0-9+/_-]+")
 HEXKEY = re.compile(r"(?<![0-9A-Fa-f])[0-9A-Fa-f]{32,}(?![0-9A-Fa-f])")
 HEADER = re.compile(r"[A-Za-z0-9-]+:[^\n]*(?:\n[ \t][^\n]*)*\n")
 
@@ -111,6 +119,53 @@ def is_pem(label: str, body: str) -> bool:
     return is_der_key(raw) or raw is not None and raw.startswith(b"openssh-key-v1\0")
 
 
+def der_size(start: str) -> int | None:
+    """Bytes of the SEQUENCE that begins with this base64, by its header."""
+    raw = _b64(start[:8].ljust(8, "A"))
+    if not raw or raw[0] != 0x30:
+        return None
+    n = raw[1] & 0x7F if raw[1] >= 0x80 else 0
+    return 2 + raw[1] if raw[1] < 0x80 else 2 + n + int.from_bytes(raw[2 : 2 + n], "big") if 1 <= n <= 4 else None
+
+
+def ssh_size(run: str, at: int = 0) -> int | None:
+    """Bytes of the length-prefixed fields that begin at a place in base64, as many as are whole; None without an algorithm name."""
+    first = _b64(run[at : at + 24].ljust(24, "A"))
+    if first is None or not 0 < int.from_bytes(first[:4], "big") <= 64 or re.match(rb"(ssh|ecdsa|sk)-", first[4:]) is None:
+        return None
+    part = run[at:]
+    raw, to, last = _b64(part[: len(part) - (len(part) % 4 == 1)]) or b"", 0, None
+    while to + 4 <= len(raw) and 0 < (n := int.from_bytes(raw[to : to + 4], "big")) and to + 4 + n <= len(raw):
+        to = last = to + 4 + n
+    return last
+
+
+def wrapped_spans(text: str) -> set[tuple[int, int, int]]:
+    """Keys that begin on a line's first run and end on a later line."""
+    out = set()
+    for block in WRAPPED.finditer(text):
+        lines = [m.span() for m in LINE.finditer(text, *block.span())]
+        run = "".join(text[a:z] for a, z in lines).replace("-", "+").replace("_", "/")
+        starts, begin = [], 0
+        for a, z in lines:
+            starts.append(begin)
+            begin += z - a
+        for i, (a, z) in enumerate(lines):
+            at = starts[i]
+            ssh = run.startswith("AAAA", at)
+            size = ssh_size(run, at) if ssh else der_size(run[at : at + 8]) if run[at] == "M" else None
+            many = size and -(-size * 4 // 3)
+            if not many or not z - a < many <= len(run) - at:
+                continue
+            raw = _b64(run[at : at + many])
+            if not (is_ssh_key(raw) if ssh else is_der_key(raw)):
+                continue
+            j = bisect.bisect_left(starts, at + many) - 1
+            end = lines[j][0] + at + many - starts[j]
+            out.add((a, 6 if ssh else 5, end + len(re.match("={0,2}", text[end : end + 2])[0])))
+    return out
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind index, end) of the fixed patterns; every match counts where it is found, failing ones are dropped after."""
     found = []
@@ -137,6 +192,8 @@ def confirmed_spans(text: str) -> list[tuple[int, int, int]]:
                 keys.add((m.start(url), 5, m.end()))
             elif run.startswith("AAAA") and is_ssh_key(_b64(run, bool(url))):
                 keys.add((m.start(url), 6, m.end()))
+    if "\n" in text:
+        keys |= wrapped_spans(text)
     for m in HEXKEY.finditer(text):
         if len(m[0]) % 2 == 0 and m[0].startswith(("30", "000000")):
             raw = bytes.fromhex(m[0])
@@ -156,11 +213,13 @@ def scan_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     A null text counts as empty: no spans, and the hash of the empty string. Offsets are code points, end exclusive.
     Null ids and repeated rows pass through; other columns are not read. No shuffle; whole texts are searched.
     """
+    small_batches(df.sparkSession)
     src = df.select(df[id_col].alias(id_col), df[text_col].alias("text__"))
     fields = [T.StructField(f"n_{k}", T.LongType()) for k in KINDS[:3]] + [T.StructField("base_sha256", T.StringType()), T.StructField("spans", T.StringType())]
     schema = T.StructType([src.schema[0], *fields])
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for b in batches:
             cols: list[list] = [[], [], [], [], []]
             for text in b.column(1).to_pylist():
@@ -197,9 +256,11 @@ def redact(text: str | None) -> str | None:
 
 def redact_secrets(df: DataFrame, text_col: str = "text") -> DataFrame:
     """df with the secrets in text_col replaced; all rows and columns stay."""
+    small_batches(df.sparkSession)
     schema, at = df.schema, df.columns.index(text_col)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for b in batches:
             cols = list(b.columns)
             cols[at] = pa.array([redact(t) for t in cols[at].to_pylist()], pa.string())

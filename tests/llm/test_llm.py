@@ -291,12 +291,19 @@ def test_op5_finds_every_form_of_key():
                 text = f"{before}{run} end"
                 assert f"{kind}:{len(before)}:{len(before) + len(run)}" in op5.joined(op5.confirmed_spans(text)), (kind, text)
                 assert run not in op5.redact(text)
+    for kind, raw in [("der", forms["rsa"]), ("der", forms["sec1"]), ("sshkey", ssh * 1 + b"".join(len(x).to_bytes(4, "big") + x for x in (b"k" * 90, b"c")))]:
+        for code in (base64.b64encode, base64.urlsafe_b64encode):
+            for stop in ("\n", "\r\n", "\n    "):
+                run = stop.join(re.findall(".{1,40}", code(raw).decode()))
+                for after in (" end", "\nend of it", ""):
+                    text = f"key:\n{run}{after}"
+                    assert f"{kind}:5:{5 + len(run)}" in op5.joined(op5.confirmed_spans(text)), (kind, text)
     body = base64.encodebytes(forms["sec1"]).decode()
     enc = base64.b64encode(bytes(range(96))).decode()
     for inner in (f"\n{body}", "\\n" + body.replace("\n", "\\n"), "\r\n" + body.replace("\n", "\r\n"), "\\r\\n" + body.replace("\n", "\\r\\n"), f"\nComment: a\n\n{body}", f"\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,00FF\n\n{enc}\n", f"\\nProc-Type: 4,ENCRYPTED\\nDEK-Info: AES-128-CBC,00FF\\n\\n{enc}\\n"):
         block = f"-----BEGIN EC PRIVATE KEY-----{inner}-----END EC PRIVATE KEY-----"
         assert op5.redact(f"a {block} z") == "a [pem] z", inner
-    for plain in ("M" * 60, "A" * 60, "0" * 64, "30" * 32, "x" * 10_000, "-" * 50_000, "-----BEGIN A-----" * 500):
+    for plain in ("M" * 60, "A" * 60, "0" * 64, "30" * 32, "x" * 10_000, "-" * 50_000, "MIIE" * 20_000, ("MIIE" + "A" * 60 + "\n") * 2_000, ("AAAA" + "B" * 60 + "\n") * 2_000, "-----BEGIN A-----" * 500):
         assert op5.confirmed_spans(plain) == []
 
 
