@@ -252,11 +252,16 @@ def _same_ids(sig: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80, bands: int = 32, rows: int = 5, block: int = 512) -> DataFrame:
-    """Per row: the id, n_shingles, component_id (smallest id reachable over links, itself included), kept.
+    """Per row: the id, n_shingles, component_id (smallest id reachable over links, itself included), kept; see `linked_texts`."""
+    return linked_texts(df, id_col, text_col, k, percent, bands, rows, block).select(id_col, "n_shingles", "component_id", "kept")
+
+
+def linked_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80, bands: int = 32, rows: int = 5, block: int = 512, unite_ids: bool = True) -> DataFrame:
+    """Per row: the id, n_shingles, component_id, kept, text_hash (xxhash64 of the text), text_group (a number for each component; null without words or id).
 
     Two documents are linked when 100 * |A and B| >= percent * |A or B| over their full sets of k-word shingles.
     Texts without words (also null ones) have no shingles and link with nothing. Rows that share an id are one document
-    of the components; each of their texts is compared. A row without an id takes no part: component_id is null and it is
+    of the components (not so with unite_ids off); each of their texts is compared. A row without an id takes no part: component_id is null and it is
     kept. Equal sets are one node, so copies are never paired with each other. An empty table gives an empty result;
     other columns are not read.
     A pair at the threshold shares no band with probability (1 - s ** rows) ** bands: 3e-6 at 0.8 with 5 rows a band,
@@ -280,7 +285,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     wanted = nodes.select("node", "id", "th").join(wanted, "node")
     sets = settle(_sets(docs.join(wanted, ["id", "th"]).select("node", "text"), k).groupBy("node").agg(F.first("set").alias("set")), "minhash-sets")
     seen = settle(_verify(pairs, sets, percent), "minhash-verified")
-    labels = components(seen.where("linked").select("a", "b").unionByName(_same_ids(sig, nodes)), "minhash")
+    links = seen.where("linked").select("a", "b")
+    labels = components(links.unionByName(_same_ids(sig, nodes)) if unite_ids else links, "minhash")
     more = _merge_buckets(members, labels, sets, percent, block, "minhash")
     if not more.isEmpty():  # links between components: their labels move on
         joined = components(more, "minhash").select(F.col("node").alias("component"), F.col("component").alias("top"))
@@ -289,10 +295,11 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         labels = settle(old.unionByName(fresh), "minhash-labels")
     linked = settle(nodes.select("fp1", "fp2", "id", "node").join(labels, "node"), "minhash-linked")
     least = linked.groupBy("component").agg(F.min("id").alias("c"))
-    named = linked.join(least, "component").select("fp1", "fp2", "c").unionByName(nodes.join(labels, "node", "left_anti").select("fp1", "fp2", F.col("id").alias("c")))
-    out = sig.select("id", "n_shingles", "fp1", "fp2").join(named, ["fp1", "fp2"], "left")
-    own = F.when((F.col("n_shingles") > 0) & F.col("id").isNotNull(), F.coalesce("c", "id")).otherwise(F.col("id"))
-    return out.select(F.col("id").alias(id_col), "n_shingles", own.alias("component_id"), F.coalesce(F.col("id") == own, F.lit(True)).alias("kept"))
+    named = linked.join(least, "component").select("fp1", "fp2", "c", F.col("component").alias("g")).unionByName(nodes.join(labels, "node", "left_anti").select("fp1", "fp2", F.col("id").alias("c"), F.col("node").alias("g")))
+    out = sig.select("id", "th", "n_shingles", "fp1", "fp2").join(named, ["fp1", "fp2"], "left")
+    part = (F.col("n_shingles") > 0) & F.col("id").isNotNull()
+    own = F.when(part, F.coalesce("c", "id")).otherwise(F.col("id"))
+    return out.select(F.col("id").alias(id_col), "n_shingles", own.alias("component_id"), F.coalesce(F.col("id") == own, F.lit(True)).alias("kept"), F.col("th").alias("text_hash"), F.when(part, F.col("g")).alias("text_group"))
 
 
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
