@@ -6,14 +6,14 @@ returns the pieces of the packed sequences.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import settle
+from lodestone.llm.common import settle, small_batches
 from lodestone.llm.op2_packing import pack_documents, tokenizer_path
 from lodestone.llm.op5_secrets import redact_secrets
 from lodestone.llm.op6_mixing import mix
-from lodestone.llm.op7_minhash import near_duplicates
+from lodestone.llm.op7_minhash import linked_texts
 from lodestone.llm.op8_language_id import UNDECIDED, identify, train
 
 #: Factors on the tokens of each domain. Only documents that are poor or toxic with CONFIDENT or more can go, and of these
@@ -31,15 +31,20 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: the one with the smallest id. Rows without an id all stay."""
-    gone = settle(near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct(), "pipeline-copies")
-    kept = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
-    again = settle(docs.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select("doc_id"), "pipeline-repeated")
+    """One document of each group of near copies stays: the one with the smallest id. Rows without an id all stay.
+
+    Of rows that share an id each text counts for itself: unrelated texts all stay, equal rows once.
+    """
+    rows = settle(linked_texts(docs, unite_ids=False).where("text_group is not null").select("doc_id", "text_hash", "text_group"), "pipeline-groups")
+    first = rows.groupBy("text_group").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"))
+    gone = rows.join(first, "text_group").where("doc_id != first.doc_id or text_hash != first.text_hash").select(F.col("doc_id").alias("gone__"), "text_hash").distinct()
+    gone = settle(gone, "pipeline-copies")
+    kept = docs.join(gone, (F.col("doc_id") == F.col("gone__")) & (F.xxhash64("text") == F.col("text_hash")), "left_anti").select(docs.columns)
+    again = settle(rows.groupBy("doc_id", "text_hash").count().where("count > 1").select("doc_id").distinct(), "pipeline-repeated")
     if again.isEmpty():
         return kept
-    first = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))
-    one = kept.join(again, "doc_id", "left_semi").withColumn("n__", first).where("n__ = 1").select(docs.columns)
-    return kept.join(again, "doc_id", "left_anti").select(docs.columns).unionByName(one)
+    once = kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]).select(docs.columns)
+    return kept.join(again, "doc_id", "left_anti").select(docs.columns).unionByName(once)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -70,6 +75,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
