@@ -628,6 +628,27 @@ def test_pipeline_stages(spark):
     assert 900_001 not in seen["near_dedup"] and 3 in seen["language_id"]
     _, comp = brute_dups([(i, t) for i, t in seen["language_id"].items()], 5, 80)
     assert set(seen["near_dedup"]) == {i for i, c in comp.items() if i == c}
+    assert len(seen["near_dedup"]) > 100 and len(seen["source_mixing"]) > 0.5 * len(seen["secret_scan"])
     assert "abcdefghijklmnop" not in seen["secret_scan"][900_002] and set(seen["secret_scan"]) == set(seen["near_dedup"])
     assert set(seen["source_mixing"]) <= set(seen["secret_scan"])
     assert {r.doc_id for r in docs_.select("doc_id").distinct().collect()} == set(seen["source_mixing"])
+
+
+def test_pipeline_near_dedup_of_repeated_ids_and_clashing_columns(spark):
+    import corpus_pipeline as cp
+
+    one, two = " ".join(WORDS), " ".join(reversed(WORDS))
+    rows = [(9, one), (9, two), (4, one + " x"), (9, two), (5, "quite another text"), (None, one), (None, one)]
+    df = spark.createDataFrame([(i, t, "en", "s", 1, "x", 3) for i, t in rows], DOC).withColumnsRenamed({"score": "component_id", "rank": "kept"})
+    got = cp.near_dedup(spark, df, SF)
+    assert got.columns == df.columns
+    assert sorted((r.doc_id or 0, r.text) for r in got.collect()) == sorted([(9, two), (4, one + " x"), (5, "quite another text"), (0, one), (0, one)])
+
+
+def test_pipeline_of_no_documents(spark):
+    import corpus_pipeline as cp
+
+    empty = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
+    for _, stage in cp.STAGES:
+        empty_out = stage(spark, empty, SF)
+        assert empty_out.count() == 0
