@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 from .common import fold, forget, small_batches
 
 UNDECIDED = "und"
-CORE, CONTEXT = 448, 32
+CORE, CONTEXT = 960, 32
 LETTER = regex.compile(r"\p{L}")
 
 
@@ -39,7 +39,7 @@ def windows(raw: bytes) -> Iterator[tuple[bytes, int, int]]:
 class ByteGru:
     """Parameters and both passes. Gates in the order update, reset, candidate."""
 
-    def __init__(self, langs: list[str], hidden: int = 16, seed: int = 0):
+    def __init__(self, langs: list[str], hidden: int = 8, seed: int = 0):
         rng, h = np.random.default_rng(seed), hidden
         self.langs, self.hidden = langs, h
         self.p: dict[str, np.ndarray] = {"out": rng.normal(0, 0.2, (2 * h, len(langs))), "bias": np.zeros(len(langs))}
@@ -105,7 +105,7 @@ class ByteGru:
             g[f"x{d}"], g[f"h{d}"] = gx, gh
         return g, float(loss)
 
-    def fit(self, spans: list[bytes], labels: list[int], steps: int = 400, batch: int = 128, rate: float = 0.01, seed: int = 1) -> ByteGru:
+    def fit(self, spans: list[bytes], labels: list[int], steps: int = 500, batch: int = 128, rate: float = 0.01, seed: int = 1) -> ByteGru:
         """Adam over batches of spans of one length; lengths are drawn by how many spans have them."""
         rng = np.random.default_rng(seed)
         by: dict[int, list[tuple[bytes, int]]] = {}
@@ -131,11 +131,11 @@ class ByteGru:
         length, n, h = *x.shape, self.hidden
         half = np.ones((3 * h, 1), np.float32)
         half[: 2 * h] = 0.5  # sigmoid(x) = (tanh(x / 2) + 1) / 2
-        wx, wh = np.ascontiguousarray(self.p[f"x{d}"].T) * half, np.ascontiguousarray(self.p[f"h{d}"].T) * half
+        wx, wh = self.p[f"x{d}"] * half.T, np.ascontiguousarray(self.p[f"h{d}"].T) * half
         own = np.ascontiguousarray((self.p["out"][:h] if d == "f" else self.p["out"][h:]).T)
         s, out = np.zeros((h, n), np.float32), np.empty((length, len(self.langs), n), np.float32)
         for t in range(length):
-            a, u = wx.take(x[t], 1), wh @ s
+            a, u = np.ascontiguousarray(wx.take(x[t], 0).T), wh @ s  # features lie in rows
             g = a[: 2 * h]
             g += u[: 2 * h]
             np.tanh(g, g)
@@ -226,7 +226,7 @@ def training_spans(df: DataFrame, id_col: str, text_col: str, lang_col: str, hel
     return sample.withColumn("k", rank).where(F.col("k") <= docs_a_lang).select("lang", "spans").collect()
 
 
-def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", held_out: int = 5, docs_a_lang: int = 300, spans_a_doc: int = 24, span: int = 32, languages: int = 200, hidden: int = 16, steps: int = 400) -> ByteGru | None:
+def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", held_out: int = 5, docs_a_lang: int = 300, spans_a_doc: int = 24, span: int = 32, languages: int = 200, hidden: int = 8, steps: int = 500) -> ByteGru | None:
     """The network, or None where nothing is labelled. Languages weigh the same however many rows they have."""
     small_batches(df.sparkSession)
     sample = training_spans(df, id_col, text_col, lang_col, held_out, docs_a_lang, spans_a_doc, span, languages)

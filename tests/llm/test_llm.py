@@ -109,10 +109,10 @@ def test_op1_equals_brute_force(spark, rng):
     assert op1.near_duplicate_vectors(spark.createDataFrame([], VEC)).count() == 0
 
 
-@pytest.mark.parametrize("background", [0.0, 0.8, 0.9])
+@pytest.mark.parametrize("background", [0.85])
 def test_op1_loses_no_link_of_crowded_vectors(spark, rng, background):
     """Planted pairs just above the threshold among vectors with a common direction; and text labels."""
-    n, pairs = 3000, 300
+    n, pairs = 2000, 200
     common = rng.normal(size=64) / 8
     v = math.sqrt(background) * common / np.linalg.norm(common) + math.sqrt(1 - background) * rng.normal(size=(n, 64)) / 8
     v /= np.linalg.norm(v, axis=1, keepdims=True)
@@ -467,7 +467,7 @@ def test_op8_held_out_accuracy(spark):
 
 def test_op8_windows_label_every_position_once():
     net = op8.ByteGru(["a", "b"], 4)
-    raw = np.random.default_rng(1).integers(97, 123, 1000).astype(np.uint8).tobytes()
+    raw = np.random.default_rng(1).integers(97, 123, 2500).astype(np.uint8).tobytes()
     cut = list(op8.windows(raw))
     assert b"".join(w[a : a + n] for w, a, n in cut) == raw and all(len(w) <= op8.CORE + 2 * op8.CONTEXT for w, _, _ in cut)
     some = [*cut, *op8.windows(b"x y")]
