@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.config import SETTINGS as S
@@ -58,14 +58,18 @@ def rerank_none(fused: DataFrame, k: int = S.rerank_top) -> DataFrame:
 
 
 def rerank(fused: DataFrame, relevance: DataFrame, k: int = S.rerank_top) -> DataFrame:
-    """relevance (query_id, chunk_id, relevance 0 to 10, null or no row: not scored).
+    """relevance (query_id, chunk_id, relevance 0 to 10, null or no row: not scored); see `rerank_graded`."""
+    return rerank_graded(fused.join(relevance, ["query_id", "chunk_id"], "left"), k)
+
+
+def rerank_graded(graded: DataFrame, k: int = S.rerank_top) -> DataFrame:
+    """graded: fused rows with their relevance, 0 to 10 or null.
 
     Scored chunks get a blend of relevance and fusion, others keep their fusion score; both are sorted together, so
-    unscored ones sink. A lone candidate is returned as it is.
+    unscored ones sink. A lone candidate is returned as it is. The candidates are read once: they are counted in a window.
     """
-    joined = fused.join(relevance, ["query_id", "chunk_id"], "left")
-    lone = fused.groupBy("query_id").agg(F.count("*").alias("candidates"))
+    lone = F.count("*").over(Window.partitionBy("query_id"))
     blend = F.col("relevance") / 10.0 * S.rerank_score_weight + F.col("score") * S.rerank_fusion_scale * S.rerank_fusion_weight
-    scored = joined.join(lone, "query_id").withColumn("blend", F.round(F.when((F.col("candidates") > 1) & F.col("relevance").isNotNull(), blend).otherwise(F.col("score")), 10))
+    scored = graded.withColumn("blend", F.round(F.when((lone > 1) & F.col("relevance").isNotNull(), blend).otherwise(F.col("score")), 10))
     out = scored.select("query_id", "chunk_id", F.col("score").alias("fusion"), "relevance", F.col("blend").alias("score"))
     return top_ranked(out, k)

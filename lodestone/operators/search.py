@@ -7,7 +7,9 @@ Ties go to the smaller chunk_id.
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -52,12 +54,12 @@ def bm25_scores(questions: DataFrame, chunks: DataFrame, scored: Column | None =
     marked = chunks.select("chunk_id", extra.alias("scored"), tokens(F.col("content")).alias("ts")).select("chunk_id", "scored", F.size("ts").alias("dl"), F.explode("ts").alias("token"))
     postings = marked.join(wanted, "token").groupBy("token", "chunk_id", "scored", "dl").agg(F.count("*").alias("tf"))
     frequency = postings.groupBy("token").agg(F.count("*").alias("df"))
-    stats = corpus_stats(chunks).first()  # two numbers
-    n, avgdl = stats.n, max(stats.avgdl or 0.0, 1.0)
     k1, b = SETTINGS.bm25_k1, SETTINGS.bm25_b
-    idf = F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1.0)
-    weight = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / avgdl))
-    hits = postings.where("scored").join(frequency, "token").join(asked, "token")
+    stats = corpus_stats(chunks).select("n", F.greatest(F.coalesce("avgdl", F.lit(0.0)), F.lit(1.0)).alias("avgdl"))  # one row
+    idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1.0)
+    rated = frequency.crossJoin(F.broadcast(stats)).select("token", idf.alias("idf"), "avgdl")
+    weight = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
+    hits = postings.where("scored").join(rated, "token").join(asked, "token")
     return hits.groupBy("query_id", "chunk_id").agg(F.sum(F.col("qtf") * weight).alias("score")).where("score > 0")
 
 
@@ -66,12 +68,23 @@ def bm25(questions: DataFrame, chunks: DataFrame, k: int = SETTINGS.bm25_candida
     return top_ranked(hits, k)
 
 
+def _distances(q: np.ndarray, x: np.ndarray, metric: str) -> np.ndarray:
+    """All distances of rows of q and x from one matrix product; not a number where cosine has none."""
+    product = q @ x.T
+    if metric == "cosine":
+        norm = np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(x, axis=1)[None, :]
+        out = np.where(norm > 0, 1.0 - product / np.where(norm > 0, norm, 1.0), np.nan)
+    else:
+        out = np.sqrt(np.maximum(0.0, (q * q).sum(1)[:, None] + (x * x).sum(1)[None, :] - 2.0 * product))
+    return np.round(out, 6) + 0.0  # no -0.0
+
+
 def vector_search(queries: DataFrame, vectors: DataFrame, k: int = SETTINGS.vector_candidates, metric: str = "cosine", same: bool = False, row_block: int = 8192, query_block: int = 1024) -> DataFrame:
     """(query_id, chunk_id, score, rank): the k nearest by `metric` (cosine or l2 distance, smaller first), exactly.
 
     queries (query_id, v, tag), vectors (chunk_id, v, tag); with `same` only equal tags are compared. Blocks of queries
-    meet blocks of rows in one matrix product each; a block pair returns its k best only. Vectors of another length than
-    the query's, and null or zero ones under cosine, are passed over.
+    meet blocks of rows in one matrix product for each length of vectors (and tag, with `same`); a block pair returns its
+    k best only. Vectors of another length than the query's, and null or zero ones under cosine, are passed over.
     """
     rows, asks = vectors.where("v is not null"), queries.where("v is not null")
     n, m = rows.count(), asks.count()
@@ -79,31 +92,36 @@ def vector_search(queries: DataFrame, vectors: DataFrame, k: int = SETTINGS.vect
     left = asks.select("query_id", "v", "tag", F.pmod(F.xxhash64("query_id"), F.lit(qb)).cast("int").alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(rb - 1))).alias("rb"))
     right = rows.select("chunk_id", "v", "tag", F.pmod(F.xxhash64("chunk_id"), F.lit(rb)).cast("int").alias("rb"), F.explode(F.sequence(F.lit(0), F.lit(qb - 1))).alias("qb"))
 
+    def parts(t: pa.Table) -> dict[tuple, np.ndarray]:
+        """Rows of each length of vectors (and tag)."""
+        keys = pd.DataFrame({"d": pa.compute.list_value_length(t["v"]).to_numpy(), "tag": t["tag"].to_pandas() if same else 0})
+        return {key: np.asarray(at) for key, at in keys.groupby(["d", "tag"]).indices.items()}
+
+    def matrix(t: pa.Table, at: np.ndarray, d: int) -> np.ndarray:
+        return np.array(t["v"].take(pa.array(at)).combine_chunks().flatten(), np.float64).reshape(len(at), d)
+
     def meet(q: pa.Table, r: pa.Table) -> pa.Table:
-        out: list[tuple] = []
+        out: list[list] = [[], [], []]
         if q.num_rows and r.num_rows:
-            ids, order = r["chunk_id"].to_numpy(), np.argsort(r["chunk_id"].to_numpy(), kind="stable")
-            tags = np.array(r["tag"].to_pylist(), object)[order]
-            rv = [np.array(x, np.float64) for x in r["v"].to_pylist()]
-            rv = [rv[i] for i in order]
-            for qid, v, tag in zip(q["query_id"].to_pylist(), q["v"].to_pylist(), q["tag"].to_pylist()):
-                v = np.array(v, np.float64)
-                at = np.array([i for i, x in enumerate(rv) if len(x) == len(v) and (not same or tags[i] == tag)], np.int64)
-                if not len(at):
+            r = r.sort_by("chunk_id")
+            ids, asked, others = r["chunk_id"].to_numpy(), q["query_id"].to_numpy(), parts(r)
+            for key, at in parts(q).items():
+                if key not in others:
                     continue
-                x = np.stack([rv[i] for i in at])
-                if metric == "cosine":
-                    norm = np.linalg.norm(x, axis=1) * np.linalg.norm(v)
-                    d = np.where(norm > 0, 1.0 - (x @ v) / np.where(norm > 0, norm, 1.0), np.nan)
-                else:
-                    d = np.sqrt(((x - v) ** 2).sum(1))
-                d = np.round(d, 6)
-                ok = ~np.isnan(d)
-                own, d = ids[order[at]][ok], d[ok]
-                best = np.lexsort((own, d))[:k]
-                out += zip([qid] * len(best), own[best].tolist(), d[best].tolist())
-        a, b, c = zip(*out) if out else ((), (), ())
-        return pa.table({"query_id": pa.array(a, pa.int64()), "chunk_id": pa.array(b, pa.int64()), "score": pa.array(c, pa.float64())})
+                own = ids[others[key]]
+                d = _distances(matrix(q, at, key[0]), matrix(r, others[key], key[0]), metric)
+                most = np.partition(d, k - 1, axis=1)[:, k - 1] if len(own) > k else np.full(len(at), np.inf)  # nan sorts last
+                row, col = np.nonzero(d <= np.where(np.isnan(most), np.inf, most)[:, None])  # ties with the k-th stay
+                dist = d[row, col]
+                order = np.lexsort((own[col], dist, row))
+                row, col, dist = row[order], col[order], dist[order]
+                place = np.arange(len(row)) - np.searchsorted(row, row)
+                best = place < k
+                out[0].append(asked[at][row[best]])
+                out[1].append(own[col[best]])
+                out[2].append(dist[best])
+        a, b, c = (np.concatenate(x) if x else np.zeros(0) for x in out)
+        return pa.table({"query_id": pa.array(a.astype(np.int64)), "chunk_id": pa.array(b.astype(np.int64)), "score": pa.array(c.astype(np.float64))})
 
     found = left.groupBy("qb", "rb").cogroup(right.groupBy("qb", "rb")).applyInArrow(lambda q, r: meet(q, r), "query_id long, chunk_id long, score double")
     w = Window.partitionBy("query_id").orderBy("score", "chunk_id")
@@ -125,18 +143,36 @@ def full_text(asked: DataFrame, chunks: DataFrame, k: int = SETTINGS.keyword_can
     return top_ranked(ranked.where(F.col("score") >= SETTINGS.fts_min_rank), k)
 
 
-def substring_search(asked: DataFrame, chunks: DataFrame, k: int = SETTINGS.keyword_candidates) -> DataFrame:
-    """asked (query_id, term): chunks that hold a term, scored by how many; LIKE wildcards have no meaning.
+def term_hits(asked: DataFrame, chunks: DataFrame) -> DataFrame:
+    """asked (query_id, term) -> query_id, chunk_id, score: how many of a question's terms the text holds; LIKE wildcards have no meaning.
 
-    Substrings need every term against every text; a question's terms travel as one array row, so each text is read
-    once a question and not once a term.
+    A term of three words or more holds a whole word of every text that it is part of, so candidates are found by the
+    longest such word. Shorter terms have none and are tried on each text; a question's terms travel as one array row.
     """
-    lists = asked.groupBy("query_id").agg(F.array_sort(F.collect_set(F.lower("term"))).alias("terms"))  # a question's terms
     low = chunks.select("chunk_id", F.lower("content").alias("low"))
+    terms = asked.select("query_id", F.lower("term").alias("term")).distinct()
+    inner = F.slice(F.split("term", " "), 2, F.greatest(F.size(F.split("term", " ")) - 2, F.lit(0)))
+    terms = terms.withColumn("word", F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"])
+    whole = F.length("word") > 0
+    keyed = terms.where(whole)
+    seen = low.select("chunk_id", F.explode(F.array_distinct(F.split("low", " "))).alias("word")).join(keyed, "word").select("query_id", "term", "chunk_id")
+    found = seen.join(low, "chunk_id").where(F.contains("low", F.col("term"))).groupBy("query_id", "chunk_id").agg(F.count("*").alias("score"))
+    lists = terms.where(~F.coalesce(whole, F.lit(False))).groupBy("query_id").agg(F.array_sort(F.collect_set("term")).alias("terms"))  # a question's terms
     hits = F.size(F.filter("terms", lambda t: F.contains(F.col("low"), t)))
-    any_hit = F.exists("terms", lambda t: F.contains(F.col("low"), t))
-    found = low.join(lists, any_hit).select("query_id", "chunk_id", hits.cast("long").alias("score"))
-    return top_ranked(found, k)
+    tried = low.join(lists, F.exists("terms", lambda t: F.contains(F.col("low"), t))).select("query_id", "chunk_id", hits.cast("long").alias("score"))
+    return found.unionByName(tried).groupBy("query_id", "chunk_id").agg(F.sum("score").alias("score"))
+
+
+def substring_search(asked: DataFrame, chunks: DataFrame, k: int = SETTINGS.keyword_candidates) -> DataFrame:
+    """asked (query_id, term): the k chunks that hold most of a question's terms."""
+    return top_ranked(term_hits(asked, chunks), k)
+
+
+def structured_terms(asked: DataFrame, most: int = 8) -> DataFrame:
+    """asked (query_id, term, place): the first `most` terms of each question that have a dot, dash, colon or slash or begin with 0x."""
+    odd = asked.where(F.col("term").rlike(r"[.:/\\-]") | F.col("term").rlike(r"^0[xX]"))
+    first = F.row_number().over(Window.partitionBy("query_id").orderBy("place"))
+    return odd.withColumn("n", first).where(F.col("n") <= most).select("query_id", "term")
 
 
 def metadata_search(hints: DataFrame, chunks: DataFrame, k: int = SETTINGS.metadata_candidates) -> DataFrame:

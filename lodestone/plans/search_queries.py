@@ -213,13 +213,12 @@ def rrf_four_channel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _fused(spark, sf_dir)
 
 
-def _relevance(fused: DataFrame, qs: DataFrame, ch: DataFrame) -> DataFrame:
+def _graded(fused: DataFrame, qs: DataFrame, ch: DataFrame) -> DataFrame:
     """A stand-in for a model's 0 to 10 grades: the share of the question's terms in the text; every fifth pair is left ungraded."""
-    pairs = fused.select("query_id", "chunk_id").join(qs, "query_id").join(ch.select("chunk_id", "content"), "chunk_id")
-    t = terms(F.col("q"), STOP_GATE)
-    share = F.size(F.filter(t, lambda w: F.contains(F.lower("content"), w))) / F.greatest(F.size(t), F.lit(1))
-    graded = F.when((F.col("query_id") + F.col("chunk_id")) % 5 != 0, F.floor(share * 10).cast("double"))
-    return pairs.select("query_id", "chunk_id", graded.alias("relevance"))
+    pairs = fused.join(qs.select("query_id", terms(F.col("q"), STOP_GATE).alias("t")), "query_id", "left").join(ch.select("chunk_id", F.lower("content").alias("low")), "chunk_id", "left")
+    share = F.size(F.filter("t", lambda w: F.contains("low", w))) / F.greatest(F.size("t"), F.lit(1))
+    graded = F.when(F.col("low").isNotNull() & ((F.col("query_id") + F.col("chunk_id")) % 5 != 0), F.floor(share * 10).cast("double"))
+    return pairs.select("query_id", "chunk_id", "score", graded.alias("relevance"))
 
 
 RELEVANCE = f"""
@@ -231,8 +230,7 @@ reranked AS (SELECT * FROM (SELECT query_id, chunk_id, fusion, relevance, score,
 
 
 def _reranked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    fused = _fused(spark, sf_dir)
-    return fusion.rerank(fused, _relevance(fused, questions(spark, sf_dir), chunks(spark, sf_dir)))
+    return fusion.rerank_graded(_graded(_fused(spark, sf_dir), questions(spark, sf_dir), chunks(spark, sf_dir)))
 
 
 @query(f"WITH {EVERY}, {RELEVANCE} SELECT query_id, chunk_id, fusion, relevance, score, rank FROM reranked")
