@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
 from difflib import SequenceMatcher
 
 import pandas as pd
@@ -16,6 +18,11 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(TOKEN), F.lit(0))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value worked out once a row, also where body uses it inside another lambda."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def terms(text: Column, stop: tuple[str, ...], longer_than: int = 2) -> Column:
     """Distinct tokens of more than `longer_than` characters that are not stop words."""
     long = F.filter(tokens(text), lambda t: F.length(t) > longer_than)
@@ -24,8 +31,10 @@ def terms(text: Column, stop: tuple[str, ...], longer_than: int = 2) -> Column:
 
 def share_contained(words: Column, text: Column, none: Column) -> Column:
     """The share of words that are substrings of the lower-case text; `none` where there are no words."""
-    low = F.lower(F.coalesce(text, F.lit("")))
-    return F.when(F.size(words) == 0, none).otherwise(F.size(F.filter(words, lambda w: F.contains(low, w))) / F.size(words))
+    def share(low: Column) -> Column:
+        return let(words, lambda ws: F.when(F.size(ws) == 0, none).otherwise(F.size(F.filter(ws, lambda w: F.contains(low, w))) / F.size(ws)))
+
+    return let(F.lower(F.coalesce(text, F.lit(""))), share)
 
 
 def token_estimate(text: Column) -> Column:
@@ -86,6 +95,73 @@ def distinct_ignoring_case(items: Column, most: int) -> Column:
     return F.transform(F.slice(F.array_distinct(low), 1, most), lambda x: F.element_at(trimmed, F.array_position(low, x).cast("int")))
 
 
+def distinct_entities(items: Column, most: int = 5) -> Column:
+    """array<struct<text, label>>: cleaned, labels in upper case, the first of each (text ignoring case, label), at most `most`."""
+    cleaned = F.transform(items, lambda x: F.struct(clean(x["text"], 100).alias("text"), F.upper(clean(x["label"], 40)).alias("label")))
+    whole = F.filter(cleaned, lambda x: x["text"].isNotNull() & x["label"].isNotNull())
+    key = lambda x: F.struct(F.lower(x["text"]).alias("t"), x["label"].alias("l"))
+    first = lambda xs: F.filter(xs, lambda x, i: F.array_position(F.transform(xs, key), key(x)) == i + 1)
+    return F.slice(let(whole, first), 1, most)
+
+
+def title(text: Column, most: int = 60) -> Column:
+    """The first `most` characters, with three dots where there are more."""
+    return F.when(F.length(text) > most, F.concat(F.substring(text, 1, most), F.lit("..."))).otherwise(text)
+
+
+def isoformat(ts: Column) -> Column:
+    """yyyy-MM-ddTHH:mm:ss, and six digits of a fraction where there is one."""
+    whole = F.date_trunc("second", ts) == ts
+    return F.when(whole, F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss")).otherwise(F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"))
+
+
+def quote_url(text: Column) -> Column:
+    """Percent-encoded but for letters, digits, `_.-~` and slashes."""
+    out = F.url_encode(text)
+    for a, b in (("+", "%20"), ("*", "%2A"), ("%7E", "~"), ("%2F", "/")):
+        out = F.replace(out, F.lit(a), F.lit(b))
+    return out
+
+
+def unfenced(raw: Column) -> Column:
+    """The inside of the last json fence, else of the first fence, else the text itself."""
+    part = lambda parts, i: F.get(parts, i)
+    tagged, plain = F.split(raw, "```json"), F.split(raw, "```")
+    inner = F.when(F.contains(raw, F.lit("```json")), part(F.split(F.element_at(tagged, -1), "```"), F.lit(0))).when(F.contains(raw, F.lit("```")), part(plain, F.lit(1)))
+    return F.coalesce(inner, raw)
+
+
+def grades(raw: Column) -> Column:
+    """array<struct<chunk, score>> between the first [ and the last ] of a model's answer; null where there is none."""
+    body = unfenced(F.trim(raw))
+    a, z = F.instr(body, "["), F.length(body) - F.instr(F.reverse(body), "]") + 1
+    found = (a > 0) & (F.instr(body, "]") > 0) & (z > a)
+    return F.when(found, F.from_json(F.substring(body, a, z - a + 1), "array<struct<chunk:int,score:double>>"))
+
+
+def json_object_udf():
+    """The first balanced {...} of a text, fences taken off; what follows an unclosed brace, or the text without one (pandas UDF: nesting)."""
+
+    def one(raw: str | None) -> str:
+        value = (raw or "").strip()
+        if value.startswith("```"):
+            value = value.replace("```json", "").replace("```", "").strip()
+        depth, start = 0, value.find("{")
+        if start < 0:
+            return value
+        for m in re.finditer(r'"(?:[^"\\]|\\.)*"|[{}]', value[start:], re.S):
+            depth += {"{": 1, "}": -1}.get(m[0], 0)
+            if depth == 0 and m[0] == "}":
+                return value[start : start + m.end()]
+        return value[start:]
+
+    @F.pandas_udf("string")
+    def extract(raw: pd.Series) -> pd.Series:
+        return raw.map(one)
+
+    return extract
+
+
 def name_similarity_udf():
     """Ratio of matching blocks of two names (pandas UDF: Spark has no such function); 0 if either is empty."""
     @F.pandas_udf("double")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestone.config import SETTINGS as S
 from lodestone.config import STOP_GATE
-from lodestone.functions.text import terms, truncate
+from lodestone.functions.text import let, terms, truncate
 
 
 def pack_context(ranked: DataFrame, budget: int = S.context_chars) -> DataFrame:
@@ -44,7 +44,7 @@ def support_gate(questions: DataFrame, ranked: DataFrame) -> DataFrame:
     """(query_id, top_score, hits, supported): score at least 0.18 and one question term inside the first three texts."""
     head = ranked.where("rank <= 3").groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "content"))), lambda s: F.coalesce(s["content"], F.lit(""))), " ").alias("text"), F.max(F.when(F.col("rank") == 1, F.col("score"))).alias("top_score"))
     asked = questions.select("query_id", terms(F.col("q"), STOP_GATE).alias("terms"))
-    hits = F.size(F.filter("terms", lambda t: F.contains(F.lower("text"), t)))
+    hits = let(F.lower("text"), lambda low: F.size(F.filter("terms", lambda t: F.contains(low, t))))
     both = asked.join(head, "query_id", "left").withColumn("hits", F.coalesce(F.when(F.col("text").isNotNull(), hits), F.lit(0)).cast("long"))
     ok = F.col("top_score").isNotNull() & (F.col("top_score") >= S.support_score) & ((F.size("terms") == 0) | (F.col("hits") >= 1))
     return both.select("query_id", F.coalesce("top_score", F.lit(0.0)).alias("top_score"), "hits", ok.alias("supported"))
@@ -63,3 +63,22 @@ def session_history(messages: DataFrame, last: int = S.session_messages, budget:
 
 def retrieval_confidence(hits: Column) -> Column:
     return F.least(F.lit(0.3) + hits * 0.1, F.lit(1.0))
+
+
+def hint_block(ranked: DataFrame, first: int = 5) -> DataFrame:
+    """ranked (query_id, rank, vendor, product, domain) -> query_id, hints: what the first chunks say, each kind sorted; null without any."""
+    kinds = ("vendor", "product", "domain")
+    sets = [F.array_sort(F.collect_set(F.when(F.length(k) > 0, F.col(k)))).alias(k) for k in kinds]  # five chunks a question
+    per = ranked.where(F.col("rank") <= first).groupBy("query_id").agg(*sets)
+    lines = [F.when(F.size(k) > 0, F.concat(F.lit(f"{k.capitalize()}s: "), F.array_join(k, ", "))) for k in kinds]
+    text = F.concat_ws("\n  ", *lines)
+    return per.select("query_id", F.when(F.length(text) > 0, F.concat(F.lit("DOCUMENT CONTEXT HINTS:\n  "), text)).alias("hints"))
+
+
+def confidence_level(confidence: Column) -> Column:
+    return F.when(confidence >= 0.7, "HIGH").when(confidence >= 0.4, "MODERATE").otherwise("LOW")
+
+
+def prompt(*sections: Column) -> Column:
+    """The sections that are there, one blank line between them: instruction, history, hints, confidence, rules, documents, question."""
+    return F.concat_ws("\n\n", *[F.nullif(s, F.lit("")) for s in sections])

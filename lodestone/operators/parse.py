@@ -25,6 +25,9 @@ HEADING = r"^(?:#{1,6}\s+.+|[A-Z][A-Z0-9 /:_()-]{3,})$"
 BULLET = r"^(?:[-*•]|[0-9]+\.)\s+"
 CODE = r"^(?:\$|>|kubectl |aws |curl |SELECT |INSERT |UPDATE |DELETE |GET |POST |apiVersion:|kind:|FROM |WHERE )"
 
+#: Labels inside a section; they never start a chunk.
+SUB_SECTIONS = r"(?i)^(?:Alert Signatures|Severity|Incident Summary|Probable Causes|Corrective Actions|Diagnostic Steps|Resolution Steps|Validation Steps|Validation / Post.Check|Post-Check|Escalation Criteria|Commands / Tools|Commands|Expected Results|Root Cause|Workaround|Affected Systems|Impact Assessment|Pre-Conditions|Post-Conditions|Notes|Warning)\s*:?\s*$"
+
 #: Alias, section, chunk type, in lookup order; a later rule for the same alias has replaced the earlier one.
 SECTION_ALIASES = (
     ("title", "title", "heading_chunk"), ("document title", "title", "heading_chunk"), ("troubleshooting runbook", "title", "heading_chunk"),
@@ -156,3 +159,49 @@ def rollup(chunk_rows: DataFrame) -> DataFrame:
     first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.col("chunk_no")))
     named = F.when(F.length("heading") > 0, F.col("heading"))
     return chunk_rows.groupBy("doc_id").agg(last("heading").alias("title"), last("chunk_type").alias("document_type"), first("section").alias("first_section"), F.countDistinct(named).alias("section_count"), F.count("*").alias("chunk_count"))
+
+
+def styled_type(style: Column, text: Column) -> Column:
+    """Type of a paragraph of a styled document: by its style, then by its text; null for blank ones and dividers, which are left out."""
+    t, st = F.regexp_replace(F.coalesce(text, F.lit("")), r"^\s+|\s+$", ""), F.lower(F.coalesce(style, F.lit("")))
+    content = reduce(lambda a, b: a | b, [t.rlike(p) for p in CONTENT_HEADINGS])
+    return (
+        F.when(t == "", None).when(F.contains(st, F.lit("heading")) | F.contains(st, F.lit("title")) | content, "heading").when(t.rlike(DIVIDER), None)
+        .when(t.rlike(SUB_SECTIONS), "sub_heading").when(t.rlike(r"^[-*•]"), "bullet").when(t.rlike(CODE), "code").otherwise("paragraph")
+    )
+
+
+def known_headings(found: DataFrame, texts: DataFrame) -> DataFrame:
+    """found (doc_id, heading): proposals of more than three characters that stand in the document's text (doc_id, text), case ignored."""
+    both = found.withColumn("heading", F.trim("heading")).where(F.length("heading") > 3).distinct().join(texts, "doc_id")
+    return both.where(F.contains(F.lower("text"), F.lower("heading"))).select("doc_id", "heading")
+
+
+def retag(block_rows: DataFrame, headings: DataFrame) -> DataFrame:
+    """blocks whose paragraphs equal to a heading (doc_id, heading) of their document became headings; blocks after one without a heading get it."""
+    marks = headings.select("doc_id", F.lower(F.trim("heading")).alias("key"), F.lit(True).alias("hit")).distinct()
+    rows = block_rows.withColumn("key", F.lower(F.trim("text"))).join(marks, ["doc_id", "key"], "left")
+    new = F.col("hit").isNotNull() & (F.col("type") == "paragraph")
+    rows = rows.withColumn("type", F.when(new, "heading").otherwise(F.col("type"))).withColumn("own", F.when(F.col("type") == "heading", F.when(new, F.trim("text")).otherwise(F.coalesce("heading", "text"))))
+    before = F.last("own", ignorenulls=True).over(Window.partitionBy("doc_id").orderBy("block_no").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return rows.withColumn("heading", F.when(F.col("own").isNotNull(), F.col("own")).otherwise(F.coalesce("heading", before))).select("doc_id", "block_no", "type", F.when(new, F.trim("text")).otherwise(F.col("text")).alias("text"), "heading")
+
+
+def chunk_metadata(chunk_rows: DataFrame, told: DataFrame, name: str = "name") -> DataFrame:
+    """chunks (doc_id, chunk_no, name, heading, section, chunk_type) and told (doc_id, chunk_no, item: fields of a model or null, doc: those of the document).
+
+    Each field is the model's for the chunk, cleaned, else its for the document, else what the rules say.
+    """
+    from lodestone.functions.text import clean, document_type, safe_date
+
+    df = chunk_rows.join(told, ["doc_id", "chunk_no"], "left")
+    item, doc = lambda f, n: clean(F.col(f"item.{f}"), n), lambda f, n: clean(F.col(f"doc.{f}"), n)
+    both = [F.coalesce(item(f, n), doc(f, n)).alias(f) for f, n in (("vendor", 80), ("product", 80), ("domain", 80), ("version", 40))]
+    kind = F.coalesce(item("document_type", 40), doc("document_type", 40), document_type(F.col(name), F.col("heading"))).alias("document_type")
+    return df.select("doc_id", "chunk_no", F.coalesce(item("section", 200), F.col("heading")).alias("heading"), F.coalesce(item("chunk_type", 60), F.col("chunk_type")).alias("chunk_type"), kind, *both, F.coalesce(safe_date(F.col("item.date")), safe_date(F.col("doc.document_date"))).alias("date"), F.coalesce(item("operational_context", 120), F.col("section")).alias("operational_context"), F.coalesce(doc("title", 160), F.col(name)).alias("title"))
+
+
+def document_metadata(meta: DataFrame) -> DataFrame:
+    """doc_id with the first non-null vendor, product, domain, version and date of its chunks, in chunk order."""
+    first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.col("chunk_no"))).alias(c)
+    return meta.groupBy("doc_id").agg(*[first(c) for c in ("vendor", "product", "domain", "version", "date")])

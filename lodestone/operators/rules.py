@@ -106,17 +106,35 @@ def tier(score: Column) -> Column:
     return F.when(score < S.simple_below, "simple").when(score > S.complex_above, "complex").otherwise("moderate")
 
 
-def model_for(tier_: Column) -> Column:
-    return F.when(tier_ == "complex", "sonnet").otherwise("haiku")
+def signals(q: Column, confidence: Column, sources: Column, chars: Column) -> Column:
+    """array<struct<value, name>> of the five signals of `complexity`, in its order."""
+    t = F.trim(F.coalesce(q, F.lit("")))
+    part = lambda p, each: F.least(F.lit(1.0), hits(t, p) * each)
+    values = (("multi_step", part(STEP_PATTERNS, 0.4)), ("reasoning", part(REASONING_PATTERNS, 0.35)), ("context_size", F.least(F.lit(1.0), chars / 20000.0)), ("low_confidence", F.greatest(F.lit(0.0), 1.0 - confidence)), ("multi_doc", F.least(F.lit(1.0), F.greatest(F.lit(0.0), (sources - 1) * 0.3))))
+    return F.array(*[F.struct(F.round(v.cast("double"), 6).alias("value"), F.lit(n).alias("name")) for n, v in values])
+
+
+def top_signals(all_signals: Column, most: int = 3) -> Column:
+    """The largest signals above 0 as `name=0.40, ...`; ties in the order of the signals."""
+    ordered = F.array_sort(F.transform(all_signals, lambda s, i: F.struct((-s["value"]).alias("v"), i.alias("i"), s["name"].alias("name"))))
+    shown = F.filter(F.slice(ordered, 1, most), lambda s: s["v"] < 0)
+    return F.array_join(F.transform(shown, lambda s: F.format_string("%s=%.2f", s["name"], -s["v"])), ", ")
+
+
+def model_for(tier_: Column, enabled: Column | None = None, default: str = "haiku") -> Column:
+    """The model of a tier; `default` where routing is not enabled."""
+    model = F.when(tier_ == "complex", "sonnet").otherwise("haiku")
+    return model if enabled is None else F.when(enabled, model).otherwise(default)
 
 
-def agent_gate(q: Column, score: Column, tier_: Column, sources: Column) -> Column:
-    """The first gate that closes (tier, score, pattern, sources), or `escalate`."""
-    return F.when(tier_ != "complex", "tier").when(score < S.agent_score, "score").when(hits(q, AGENT_PATTERNS) == 0, "pattern").when(sources < S.agent_sources, "sources").otherwise("escalate")
+def agent_gate(q: Column, score: Column, tier_: Column, sources: Column, enabled: Column | None = None) -> Column:
+    """The first gate that closes (disabled, tier, score, pattern, sources), or `escalate`."""
+    off = F.lit(False) if enabled is None else ~enabled
+    return F.when(off, "disabled").when(tier_ != "complex", "tier").when(score < S.agent_score, "score").when(hits(q, AGENT_PATTERNS) == 0, "pattern").when(sources < S.agent_sources, "sources").otherwise("escalate")
 
 
-def token_budget(steps: DataFrame, budget: int = S.agent_tokens) -> DataFrame:
-    """steps (run_id, seq, tokens): plus used, remaining, ran; a step runs while the steps before it leave budget."""
+def token_budget(steps: DataFrame, budget: int = S.agent_tokens, most: int | None = None) -> DataFrame:
+    """steps (run_id, seq, tokens): plus used, remaining, ran; a step runs while the steps before it leave budget and are fewer than `most`."""
     w = Window.partitionBy("run_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     used = F.sum("tokens").over(w)
-    return steps.withColumn("used", used).withColumn("remaining", F.greatest(F.lit(0).cast("long"), F.lit(budget) - F.col("used"))).withColumn("ran", F.col("used") - F.col("tokens") < budget)
+    return steps.withColumn("used", used).withColumn("remaining", F.greatest(F.lit(0).cast("long"), F.lit(budget) - F.col("used"))).withColumn("ran", (F.col("used") - F.col("tokens") < budget) & (F.lit(True) if most is None else F.row_number().over(Window.partitionBy("run_id").orderBy("seq")) <= most))

@@ -77,3 +77,75 @@ def version_candidates(names: DataFrame, recent: DataFrame, similarity: Column,
 
     pairs = names.join(recent, "owner_id").withColumn("score", F.round(similarity, 4))
     return top_ranked(pairs.where(F.col("score") >= least).select("query_id", "chunk_id", "score"), top)
+
+
+def append_messages(sessions: DataFrame, messages: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """sessions (session_id, owner_id, title, updated_at), messages and new (session_id, owner_id, turn, role, content, at) -> both afterwards.
+
+    A session that is not there yet begins with its first new message as the title; one that is there is touched only.
+    """
+    from lodestone.functions.text import title
+
+    last = new.groupBy("session_id").agg(F.max("at").alias("at__"), F.min_by(F.struct("owner_id", title(F.col("content")).alias("title")), "turn").alias("first__"))
+    both = sessions.join(last, "session_id", "full")
+    known = F.col("updated_at").isNotNull()
+    out = both.select("session_id", F.when(known, F.col("owner_id")).otherwise(F.col("first__.owner_id")).alias("owner_id"), F.when(known, F.col("title")).otherwise(F.col("first__.title")).alias("title"), F.greatest("updated_at", "at__").alias("updated_at"))
+    return out, messages.unionByName(new.select(messages.columns))
+
+
+def delete_sessions(gone: DataFrame, sessions: DataFrame, **tables: DataFrame) -> dict[str, DataFrame]:
+    """gone (session_id null: all of the owner, owner_id): sessions go only with their owner, and their rows in `tables` with them."""
+    one, every = gone.where("session_id is not null").select("session_id", "owner_id"), gone.where("session_id is null").select("owner_id")
+    hit = sessions.join(one, ["session_id", "owner_id"], "left_semi").unionByName(sessions.join(every, "owner_id", "left_semi").select(sessions.columns))
+    return delete_documents(hit, "session_id", sessions=sessions, **tables)
+
+
+def purge_orphans(chunks: DataFrame, documents: DataFrame, versions: DataFrame) -> DataFrame:
+    """Chunks that have both their document and their version."""
+    return chunks.join(documents.select("document_id"), "document_id", "left_semi").join(versions.select("version_id"), "version_id", "left_semi").select(chunks.columns)
+
+
+def owned(rows: DataFrame, asked: DataFrame, key: str) -> DataFrame:
+    """asked (key, asker): the rows that exist and belong to the asker; a stranger's row looks as if it were not there."""
+    return asked.join(rows, key).where(F.col("asker") == F.coalesce("owner_id", F.lit("anonymous"))).drop("asker")
+
+
+def valid_questions(df: DataFrame, q: str = "q", most: int = 1000) -> DataFrame:
+    """Questions of 1 to `most` characters that are not blank, trimmed."""
+    return df.where(F.length(q).between(1, most)).withColumn(q, F.trim(q)).where(F.length(q) > 0)
+
+
+def valid_feedback(df: DataFrame, most: int = 1200) -> DataFrame:
+    """kind like or dislike, text (null: none) of at most `most` characters."""
+    return df.where(F.col("kind").isin("like", "dislike") & (F.length(F.coalesce("text", F.lit(""))) <= most)).withColumn("text", F.coalesce("text", F.lit("")))
+
+
+def union_distinct(a: DataFrame, b: DataFrame) -> DataFrame:
+    return a.unionByName(b).distinct()
+
+
+def postings(chunks: DataFrame) -> DataFrame:
+    """chunk_id, file_id, token, tf, dl: the word index as a table. A chunk without tokens has no rows."""
+    from lodestone.functions.text import tokens
+
+    t = chunks.select("chunk_id", "file_id", tokens(F.col("content")).alias("ts")).select("chunk_id", "file_id", F.size("ts").alias("dl"), F.explode("ts").alias("token"))
+    return t.groupBy("chunk_id", "file_id", "token", "dl").agg(F.count("*").alias("tf")).select("chunk_id", "file_id", "token", "tf", "dl")
+
+
+def index_add(index: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Add chunks; files that are there already are replaced."""
+    return index.join(chunks.select("file_id").distinct(), "file_id", "left_anti").select(index.columns).unionByName(postings(chunks))
+
+
+def index_remove(index: DataFrame, files: DataFrame) -> DataFrame:
+    return index.join(files.select("file_id").distinct(), "file_id", "left_anti").select(index.columns)
+
+
+def version_decision(names: DataFrame, candidates: DataFrame) -> DataFrame:
+    """names (query_id, name, label) without a model's decision: new_document at 0.9 without candidates (query_id, ...), else at 0.5."""
+    from lodestone.functions.text import normalize_filename, version_rank
+
+    many = candidates.groupBy("query_id").agg(F.count("*").alias("candidates"))
+    df = names.join(many, "query_id", "left").withColumn("candidates", F.coalesce("candidates", F.lit(0).cast("long")))
+    sure = F.when(F.col("candidates") == 0, 0.9).otherwise(0.5)
+    return df.select("query_id", F.lit("new_document").alias("decision"), sure.alias("confidence"), normalize_filename(F.col("name")).alias("family_key"), version_rank(F.col("label")).alias("version_rank"), "candidates")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lodestone.config import HALLUCINATION_PHRASES, REFUSAL_PHRASES, STOP_CONFIDENCE, STOP_SENTENCE
 from lodestone.config import SETTINGS as S
-from lodestone.functions.text import share_contained, terms
+from lodestone.functions.text import let, share_contained, terms
 
 #: Specifics that an answer must not invent.
 SPECIFICS = {
@@ -51,14 +51,15 @@ def fabrications(answer: Column, ctx: Column) -> Column:
 
 def sentence_grounding(answer: Column, ctx: Column) -> Column:
     """The share of sentences (over 15 characters) of which 40 % of the terms, if any, are in the context; 1 without sentences."""
-    low = F.lower(F.coalesce(ctx, F.lit("")))
     sentences = F.filter(F.transform(F.split(F.coalesce(answer, F.lit("")), r"[.!?\n]"), lambda s: F.trim(s)), lambda s: F.length(s) > 15)
 
-    def held(s: Column) -> Column:
-        t = terms(s, STOP_SENTENCE, 3)
-        return (F.size(t) == 0) | (F.size(F.filter(t, lambda w: F.contains(low, w))) / F.greatest(F.size(t), F.lit(1)) >= 0.40)
+    def held(low: Column, s: Column) -> Column:
+        return let(terms(s, STOP_SENTENCE, 3), lambda t: (F.size(t) == 0) | (F.size(F.filter(t, lambda w: F.contains(low, w))) / F.greatest(F.size(t), F.lit(1)) >= 0.40))
 
-    return F.when(F.size(sentences) == 0, 1.0).otherwise(F.size(F.filter(sentences, held)) / F.size(sentences))
+    def share(low: Column) -> Column:
+        return let(sentences, lambda ss: F.when(F.size(ss) == 0, 1.0).otherwise(F.size(F.filter(ss, lambda s: held(low, s))) / F.size(ss)))
+
+    return let(F.lower(F.coalesce(ctx, F.lit(""))), share)
 
 
 def version_warning(superseded: Column, active: Column) -> Column:
