@@ -181,7 +181,8 @@ def retag(block_rows: DataFrame, headings: DataFrame) -> DataFrame:
     """blocks whose paragraphs equal to a heading (doc_id, heading) of their document became headings; blocks after one without a heading get it."""
     marks = headings.select("doc_id", F.lower(F.trim("heading")).alias("key"), F.lit(True).alias("hit")).distinct()
     rows = block_rows.withColumn("key", F.lower(F.trim("text"))).join(marks, ["doc_id", "key"], "left")
-    new = F.col("hit").isNotNull() & (F.col("type") == "paragraph")
+    rows = rows.withColumn("new", F.col("hit").isNotNull() & (F.col("type") == "paragraph"))
+    new = F.col("new")
     rows = rows.withColumn("type", F.when(new, "heading").otherwise(F.col("type"))).withColumn("own", F.when(F.col("type") == "heading", F.when(new, F.trim("text")).otherwise(F.coalesce("heading", "text"))))
     before = F.last("own", ignorenulls=True).over(Window.partitionBy("doc_id").orderBy("block_no").rowsBetween(Window.unboundedPreceding, Window.currentRow))
     return rows.withColumn("heading", F.when(F.col("own").isNotNull(), F.col("own")).otherwise(F.coalesce("heading", before))).select("doc_id", "block_no", "type", F.when(new, F.trim("text")).otherwise(F.col("text")).alias("text"), "heading")

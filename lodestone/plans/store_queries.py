@@ -54,9 +54,12 @@ def latest_job_lateral(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.join(store.latest(jobs, ["file_id"], ["created_at", "job_id"]), "file_id", "left").select("file_id", "name", "job_id", "status", "created_at")
 
 
-@query("""WITH j AS (SELECT user_id, event_type, ts FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1)
+ORACLE_LIST_FILES = """WITH j AS (SELECT user_id, event_type, ts FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1)
 SELECT CAST(d.doc_id AS VARCHAR) AS id, d.source AS name, round(d.n_chars / 1024.0, 2) AS kb, CASE WHEN j.event_type IS NULL OR j.event_type = 'purchase' THEN 'indexed' ELSE j.event_type END AS status, strftime(j.ts, '%Y-%m-%dT%H:%M:%S') AS updated
-FROM documents d LEFT JOIN j ON j.user_id = d.doc_id""")
+FROM documents d LEFT JOIN j ON j.user_id = d.doc_id"""
+
+
+@query(ORACLE_LIST_FILES)
 def list_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents with the latest state of the job of their id; done (purchase) or none shows as indexed."""
     jobs = store.latest(_jobs(spark, sf_dir), ["file_id"], ["created_at", "event_id"])

@@ -176,3 +176,34 @@ def test_streams(spark, tmp_path):
     assert 0 < got.agg(F.sum("events")).first()[0] <= 30
     jobs.run_to_table(jobs.sessions(jobs.events(spark, str(tmp_path / "in"), 10), "1 hour"), str(tmp_path / "out2"), str(tmp_path / "cp2"))
     spark.read.parquet(str(tmp_path / "out2")).count()
+
+
+def test_json_of_answers(spark):
+    raws = ['{"a": {"b": "}"}} x', '```json\n{"a": 1}\n```', "none", 'x {"a": "\\"}"', None, '{"a": "b\\" }", "c": {}}', ""]
+    got = col(spark, raws, fn.json_object_udf())
+    assert got == ['{"a": {"b": "}"}}', '{"a": 1}', "none", '{"a": "\\"}"', "", '{"a": "b\\" }", "c": {}}', ""]
+    g = col(spark, ['[{"chunk": 1, "score": 8}]', "```json\n[{\"chunk\": 2}]\n``` [", "] [", None], fn.grades)
+    assert [None if x is None else [tuple(y) for y in x] for x in g] == [[(1, 8.0)], [(2, None)], None, None]
+
+
+def test_titles_times_and_quotes(spark):
+    assert col(spark, ["x" * 60, "x" * 61, None], fn.title) == ["x" * 60, "x" * 60 + "...", None]
+    assert col(spark, ["a b/ü~*", None], fn.quote_url) == ["a%20b/%C3%BC~%2A", None]
+    at = [datetime.datetime(2024, 1, 2, 3, 4, 5), datetime.datetime(2024, 1, 2, 3, 4, 5, 60)]
+    assert col(spark, at, fn.isoformat, "timestamp_ntz") == [x.isoformat() for x in at]
+
+
+def test_new_vectors_and_negative_zero(spark):
+    q = spark.createDataFrame([(1, [1.0, 0.0], 0), (2, [0.0, 0.0], 0), (3, [1.0], 0)], "query_id long, v array<double>, tag int")
+    v = spark.createDataFrame([(10, [2.0, 0.0], 0), (11, [3.0, 0.0], None), (12, [0.0, 1.0], 0), (13, None, 0)], "chunk_id long, v array<double>, tag int")
+    got = [(r.query_id, r.chunk_id, str(r.score), r.rank) for r in search.vector_search(q, v, k=2).orderBy("query_id", "rank").collect()]
+    assert got == [(1, 10, "0.0", 1), (1, 11, "0.0", 2)]
+    assert search.vector_search(q, v, k=9, same=True).count() == 2
+
+
+def test_substrings_of_one_and_many_words(spark):
+    c = spark.createDataFrame([(1, "alpha beta gamma"), (2, "xalpha beta gammay 10.0.0.1"), (3, "beta"), (4, None)], "chunk_id long, content string")
+    asked = spark.createDataFrame([(7, "alpha beta gamma", 0), (7, "10.0.0.1", 1), (8, "BETA", 0), (8, "%", 1)], "query_id long, term string, place int")
+    got = {(r.query_id, r.chunk_id): r.score for r in search.term_hits(asked, c).collect()}
+    assert got == {(7, 1): 1, (7, 2): 2, (8, 1): 1, (8, 2): 1, (8, 3): 1}
+    assert [r.term for r in search.structured_terms(asked).collect()] == ["10.0.0.1"]
