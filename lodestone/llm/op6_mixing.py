@@ -32,15 +32,17 @@ def with_features(df: DataFrame, text_col: str = "text") -> DataFrame:
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     words = F.array_remove(F.split(F.replace(F.lower(text), F.lit("\n"), F.lit(" ")), " "), "")
-    out = df.withColumn("words__", words).withColumn("tokens", F.size("words__").cast("long"))
+    out = df.withColumn("words__", words).withColumn("tokens", F.size("words__").cast("long")).withColumn("words__", F.array_distinct("words__"))
     share = lambda part, whole: F.floor(F.least(F.lit(1.0), part / F.greatest(whole, F.lit(1))) * 10).cast("int").cast("string")
     bins = F.array(
         F.concat(F.lit("#symbols"), share(F.regexp_count(text, F.lit(SYMBOLS)) * 4, F.length(text))),
-        F.concat(F.lit("#varied"), share(F.size(F.array_distinct("words__")), F.col("tokens"))),
+        F.concat(F.lit("#varied"), share(F.size("words__"), F.col("tokens"))),
         F.concat(F.lit("#capital"), share(F.regexp_count(text, F.lit(r"\p{Lu}")) * 4, F.length(text))),
         F.concat(F.lit("#length"), F.floor(F.log2(F.col("tokens") + 1)).cast("int").cast("string")),
     )
-    out = out.withColumn("terms__", F.array_distinct(F.split(F.lower(text), r"[\s\p{Punct}]+"))).withColumn("bins__", bins).drop("words__")
+    # Each distinct word is split at its punctuation once, however often it stands in the text.
+    terms = F.array_remove(F.array_distinct(F.split(F.array_join("words__", " "), r"[\s\p{Punct}]+")), "")
+    out = out.withColumn("terms__", terms).withColumn("bins__", bins).drop("words__")
     stems = [F.transform("terms__", lambda w, n=n: F.concat(F.lit("^"), F.substring(w, 1, n))) for n in STEMS]
     return out.withColumn("feats", F.concat("terms__", *stems, "bins__")).drop("terms__", "bins__")
 
