@@ -83,6 +83,15 @@ REFUSAL_PHRASES = ("could not find supporting information", "not explicitly supp
 
 #: Words left out of term overlap, by use.
 STOP_GATE = ("the", "a", "an", "is", "are", "to", "for", "of", "in", "on", "how", "what", "when", "where", "why", "do", "does", "can", "i", "me", "my", "you", "your", "please", "tell", "about")
+#: The stop words of English full text.
+STOP_ENGLISH = (
+    "i", "me", "my", "myself", "we", "our", "ours", "ourselves", "you", "your", "yours", "yourself", "yourselves", "he", "him", "his", "himself", "she", "her", "hers", "herself",
+    "it", "its", "itself", "they", "them", "their", "theirs", "themselves", "what", "which", "who", "whom", "this", "that", "these", "those", "am", "is", "are", "was", "were",
+    "be", "been", "being", "have", "has", "had", "having", "do", "does", "did", "doing", "a", "an", "the", "and", "but", "if", "or", "because", "as", "until", "while", "of", "at",
+    "by", "for", "with", "about", "against", "between", "into", "through", "during", "before", "after", "above", "below", "to", "from", "up", "down", "in", "out", "on", "off",
+    "over", "under", "again", "further", "then", "once", "here", "there", "when", "where", "why", "how", "all", "any", "both", "each", "few", "more", "most", "other", "some",
+    "such", "no", "nor", "not", "only", "own", "same", "so", "than", "too", "very", "s", "t", "can", "will", "just", "don", "should", "now",
+)
 STOP_INTENT = (*STOP_GATE, "and", "or", "not", "this", "that", "with", "from", "it", "be", "was", "were", "been", "have", "has")
 STOP_CONFIDENCE = (*STOP_INTENT, "will", "would", "could", "should", "may", "might", "shall", "must")
 STOP_SENTENCE = ("this", "that", "with", "from", "have", "been", "would", "could", "should", "which", "their", "there", "these", "those", "about", "after", "before", "between", "through", "during")

@@ -150,6 +150,37 @@ def line_windows(lines: DataFrame, size: int = 80, overlap: int = 10) -> DataFra
     return placed.groupBy("doc_id", "window_no").agg(F.min("line_no").alias("first_line"), F.count("*").alias("lines"), F.array_join(F.transform(ordered, lambda s: F.coalesce(s["line"], F.lit(""))), "\n").alias("text"))
 
 
+def text_windows(lines: DataFrame, size: int = 80, most: int = 6000, overlap: int = 10) -> DataFrame:
+    """Runs of lines that end at `size` lines or `most` characters (line ends count), whichever comes first.
+
+    A run of more than `overlap` lines gives its last ones to the next run; a shorter one gives none. What is left at the
+    end is a run too, also where it only repeats lines. doc_id, window_no, first_line, lines, text; null lines are empty.
+    Where a run ends depends on all runs before it, so one document's lines are folded in one row.
+    """
+    rows = lines.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("line_no", F.coalesce("line", F.lit("")).alias("line")))).alias("ls"))
+    size_of = F.transform("ls", lambda x, i: (F.length(x["line"]) + (i < F.size("ls") - 1).cast("int")).cast("long"))
+    rows = rows.withColumn("ns", size_of)
+    run = lambda first, last: F.struct(first.cast("int").alias("first"), last.cast("int").alias("last"))
+    start = F.struct(F.lit(0).alias("i"), F.lit(0).alias("first"), F.lit(0).cast("long").alias("chars"), F.array().cast("array<struct<first:int,last:int>>").alias("out"))
+
+    def step(acc: Column, n: Column) -> Column:
+        i, count, chars = acc["i"], acc["i"] - acc["first"] + 1, acc["chars"] + n
+        full = (count >= size) | (chars >= most)
+        keeps = full & (count > overlap)
+        kept = F.aggregate(F.slice("ns", i - overlap + 2, F.lit(overlap)), F.lit(0).cast("long"), lambda a, x: a + x) if overlap else F.lit(0).cast("long")
+        first = F.when(keeps, i - overlap + 1).when(full, i + 1).otherwise(acc["first"])
+        left = F.when(keeps, kept).when(full, F.lit(0).cast("long")).otherwise(chars)
+        out = F.when(full, F.concat(acc["out"], F.array(run(acc["first"], i)))).otherwise(acc["out"])
+        return F.struct((i + 1).alias("i"), first.cast("int").alias("first"), left.alias("chars"), out.alias("out"))
+
+    last = F.size("ls") - 1
+    ended = F.aggregate("ns", start, step, lambda acc: F.when(acc["first"] <= last, F.concat(acc["out"], F.array(run(acc["first"], last)))).otherwise(acc["out"]))
+    each = rows.select("doc_id", "ls", F.posexplode(ended).alias("window_no", "w"))
+    own = F.slice("ls", F.col("w.first") + 1, F.col("w.last") - F.col("w.first") + 1)
+    first_line = F.get(F.col("ls"), F.col("w.first"))["line_no"]
+    return each.select("doc_id", F.col("window_no").cast("long").alias("window_no"), first_line.alias("first_line"), F.size(own).cast("long").alias("lines"), F.array_join(F.transform(own, lambda x: x["line"]), "\n").alias("text"))
+
+
 def rollup(chunk_rows: DataFrame) -> DataFrame:
     """doc_id, title (last heading), document_type (last), first_section, section_count, chunk_count.
 

@@ -1,4 +1,4 @@
-"""Search channels: BM25, exact vector search, unstemmed full text, substring and metadata search.
+"""Search channels: BM25, exact vector search, full text (plain or by English stems), substring and metadata search.
 
 All take a batch of questions (query_id, ...) and chunks (chunk_id, ...) and return (query_id, chunk_id, score, rank).
 Ties go to the smaller chunk_id.
@@ -13,7 +13,8 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.config import SETTINGS
+from lodestone.config import SETTINGS, STOP_ENGLISH
+from lodestone.functions.stem import with_stem
 from lodestone.functions.text import tokens
 
 
@@ -128,14 +129,24 @@ def vector_search(queries: DataFrame, vectors: DataFrame, k: int = SETTINGS.vect
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def full_text(asked: DataFrame, chunks: DataFrame, k: int = SETTINGS.keyword_candidates) -> DataFrame:
-    """asked (query_id, term: distinct words), any of which may match; unstemmed.
+def full_text(asked: DataFrame, chunks: DataFrame, k: int = SETTINGS.keyword_candidates, stems: bool = False) -> DataFrame:
+    """asked (query_id, term: distinct words), any of which may match.
 
     Rank: the mean over the question's terms of 0.1 / 1.64493 times the sum of 1 / j**2 over the term's occurrences.
+    With `stems` words meet by their English stem and stop words have no meaning; a question of stop words finds nothing.
+    Each distinct word of the corpus is stemmed once, and only those that some question's stem meets go on to be counted.
     """
+    rows = token_rows(chunks, "chunk_id", "content")
+    if stems:
+        told = ~F.col("token").isin(*STOP_ENGLISH)
+        asked = with_stem(asked.select("query_id", F.lower("term").alias("token")).where(told), "token").select("query_id", F.col("stem").alias("term")).distinct()
+        words = with_stem(rows.select("token").where(told).distinct(), "token")
+        wanted = words.join(asked.select(F.col("term").alias("stem")).distinct(), "stem")
+        met = rows.join(wanted, "token").select(F.col("stem").alias("token"), "chunk_id")
+    else:
+        met = rows.join(asked.select(F.col("term").alias("token")).distinct(), "token")
     count = asked.groupBy("query_id").agg(F.count("*").alias("terms"))
-    wanted = asked.select(F.col("term").alias("token")).distinct()
-    tf = token_rows(chunks, "chunk_id", "content").join(wanted, "token").groupBy("token", "chunk_id").agg(F.count("*").alias("occ"))
+    tf = met.groupBy("token", "chunk_id").agg(F.count("*").alias("occ"))
     falling = F.aggregate(F.sequence(F.lit(1), F.col("occ").cast("int")), F.lit(0.0), lambda a, j: a + 1.0 / (j * j))
     weighted = tf.withColumn("w", 0.1 * falling / 1.64493)
     hits = weighted.join(asked.withColumnRenamed("term", "token"), "token").groupBy("query_id", "chunk_id").agg(F.sum("w").alias("w"))

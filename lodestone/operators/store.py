@@ -149,3 +149,19 @@ def version_decision(names: DataFrame, candidates: DataFrame) -> DataFrame:
     df = names.join(many, "query_id", "left").withColumn("candidates", F.coalesce("candidates", F.lit(0).cast("long")))
     sure = F.when(F.col("candidates") == 0, 0.9).otherwise(0.5)
     return df.select("query_id", F.lit("new_document").alias("decision"), sure.alias("confidence"), normalize_filename(F.col("name")).alias("family_key"), version_rank(F.col("label")).alias("version_rank"), "candidates")
+
+
+def searchable(embeddings: DataFrame, chunks: DataFrame, documents: DataFrame, versions: DataFrame, include_old: bool = False) -> DataFrame:
+    """embeddings (chunk_id, ...) with their chunk (chunk_id, document_id, version_id, ...), document (document_id, status,
+    current_version_id) and version (version_id, is_active): all that are there, or only those of active, current versions.
+    """
+    docs = documents if include_old else documents.where("status = 'active' and current_version_id is not null")
+    vers = versions if include_old else versions.where("is_active")
+    rows = embeddings.join(chunks, "chunk_id").join(docs, "document_id").join(vers, "version_id")
+    return rows if include_old else rows.where("current_version_id = version_id")
+
+
+def current_versions(documents: DataFrame, versions: DataFrame) -> DataFrame:
+    """documents with the size of their current version; `0` where there is none."""
+    v = versions.select(F.col("version_id").alias("current_version_id"), "version_id", "file_size_mb")
+    return documents.join(v, "current_version_id", "left").withColumn("file_size_mb", F.coalesce("file_size_mb", F.lit("0")))

@@ -169,3 +169,15 @@ def contextualized_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     nl = F.lit("\n")
     text = F.concat(F.lit("[summary] "), F.coalesce(fn.clean(F.col("text"), 60), F.lit("")), nl, F.lit("[section] "), F.coalesce("heading", F.lit("")), nl, F.lit("[chunk_type] "), "chunk_type", nl, "text")
     return c.select("doc_id", "chunk_no", F.floor(F.col("chunk_no") / 6).cast("long").alias("batch"), text.alias("contextualized"))
+
+
+@query(f"""WITH RECURSIVE {PAGE_LINES}, l0 AS (SELECT doc_id, line_no AS i, coalesce(line, '') AS line, max(line_no) OVER (PARTITION BY doc_id) AS last FROM page_lines),
+l1 AS (SELECT *, length(line) + CASE WHEN i < last THEN 1 ELSE 0 END AS n FROM l0), l2 AS (SELECT *, sum(n) OVER (PARTITION BY doc_id ORDER BY i) AS upto FROM l1),
+ends AS (SELECT a.doc_id, a.i AS first, k.kept, min(b.i) AS fin FROM l2 a CROSS JOIN (VALUES (0), (2)) k(kept) JOIN l2 b ON b.doc_id = a.doc_id AND b.i >= a.i + k.kept AND (b.i - a.i + 1 >= 8 OR b.upto - a.upto + a.n >= 150) GROUP BY ALL),
+runs(doc_id, window_no, first, fin, last) AS (SELECT l2.doc_id, 0, 0::BIGINT, fin, last FROM l2 LEFT JOIN ends e ON e.doc_id = l2.doc_id AND e.first = 0 AND e.kept = 0 WHERE i = 0
+  UNION ALL SELECT x.doc_id, x.no, x.nxt, e.fin, x.last FROM (SELECT doc_id, window_no + 1 AS no, CASE WHEN fin - first + 1 > 2 THEN fin - 1 ELSE fin + 1 END AS nxt, CASE WHEN fin - first + 1 > 2 THEN 2 ELSE 0 END AS kept, last FROM runs WHERE fin IS NOT NULL) x
+  LEFT JOIN ends e ON e.doc_id = x.doc_id AND e.first = x.nxt AND e.kept = x.kept WHERE x.nxt <= x.last)
+SELECT r.doc_id, CAST(window_no AS BIGINT) AS window_no, first AS first_line, CAST(count(*) AS BIGINT) AS lines, string_agg(line, chr(10) ORDER BY i) AS text FROM runs r JOIN l2 ON l2.doc_id = r.doc_id AND i BETWEEN first AND coalesce(fin, r.last) GROUP BY ALL""")
+def text_window_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages are short: windows of 8 lines or 150 characters with 2 lines in common."""
+    return parse.text_windows(page_lines(spark, sf_dir), 8, 150, 2)

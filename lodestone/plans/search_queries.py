@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestone.config import SETTINGS as S
 from lodestone.config import STOP_GATE, STOP_INTENT
-from lodestone.functions.text import terms, truncate
+from lodestone.functions.text import terms, tokens, truncate
 from lodestone.operators import context, fusion, rules, search
 from lodestone.plans.registry import query
 from lodestone.sources.tables import chunks, messages, questions, table
@@ -149,6 +149,13 @@ def fts_or_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.full_text(_content_terms(spark, sf_dir), chunks(spark, sf_dir))
 
 
+@query()
+def fts_stemmed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By English stems (no SQL: DuckDB's stemmer is an extension that is not there; held against a loop in tests)."""
+    asked = questions(spark, sf_dir).select("query_id", F.explode(F.array_distinct(tokens(F.col("q")))).alias("term"))
+    return search.full_text(asked, chunks(spark, sf_dir), stems=True)
+
+
 @query("""WITH s(strategy, v, b, k) AS (VALUES ('keyword', greatest(0.10::DOUBLE, 0.45::DOUBLE - 0.15::DOUBLE), 0.36::DOUBLE, 0.34::DOUBLE), ('semantic', 0.55::DOUBLE, 0.30::DOUBLE, greatest(0.05::DOUBLE, 0.25::DOUBLE - 0.10::DOUBLE)), ('mixed', 0.45::DOUBLE, 0.30::DOUBLE, 0.25::DOUBLE))
 SELECT strategy, round(v / (v + b + k), 6) AS vector, round(b / (v + b + k), 6) AS bm25, round(k / (v + b + k), 6) AS keyword FROM s""")
 def strategy_weights(spark: SparkSession, sf_dir: str) -> DataFrame:

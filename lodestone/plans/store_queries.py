@@ -184,3 +184,29 @@ def version_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     newest = F.row_number().over(Window.partitionBy("owner_id").orderBy(F.desc("query_id")))
     recent = p.withColumn("n", newest).where("n <= 24").select("owner_id", F.col("query_id").alias("chunk_id"), F.col("name").alias("other"))
     return store.version_candidates(p, recent, name_similarity_udf()(F.col("name"), F.col("other")))
+
+
+_VERSIONED = "d AS (SELECT o_orderkey AS document_id, CASE WHEN o_orderstatus = 'P' THEN 'superseded' ELSE 'active' END AS status, cur FROM orders LEFT JOIN (SELECT l_orderkey, max(l_partkey) AS cur FROM lineitem WHERE l_linenumber > 1 GROUP BY 1) ON l_orderkey = o_orderkey)"
+
+
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """orders = documents; the current version is the largest part of the lines after the first, where there are any."""
+    cur = table(spark, sf_dir, "lineitem").where("l_linenumber > 1").groupBy(F.col("l_orderkey").alias("document_id")).agg(F.max("l_partkey").alias("current_version_id"))
+    d = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("document_id"), F.when(F.col("o_orderstatus") == "P", "superseded").otherwise("active").alias("status"))
+    return d.join(cur, "document_id", "left")
+
+
+@query(f"""WITH {_VERSIONED} SELECT vec_id, label, l_linenumber AS line, l_partkey AS version_id FROM embeddings JOIN lineitem ON l_orderkey = vec_id JOIN d ON d.document_id = l_orderkey JOIN part ON p_partkey = l_partkey
+WHERE d.status = 'active' AND p_size <= 40 AND d.cur = l_partkey""")
+def searchable_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """lineitem = chunks (all lines of an order share its vector), part = versions."""
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.col("vec_id"), "label")
+    c = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("chunk_id"), F.col("l_orderkey").alias("document_id"), F.col("l_partkey").alias("version_id"), F.col("l_linenumber").alias("line"))
+    v = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("version_id"), (F.col("p_size") <= 40).alias("is_active"))
+    return store.searchable(e, c, _documents(spark, sf_dir), v).select("vec_id", "label", "line", "version_id")
+
+
+@query(f"WITH {_VERSIONED} SELECT document_id, status, coalesce(p_partkey, 0) AS version_id, coalesce(CAST(p_size AS VARCHAR), '0') AS file_size_mb FROM d LEFT JOIN part ON p_partkey = cur AND p_size <= 40")
+def current_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = table(spark, sf_dir, "part").where("p_size <= 40").select(F.col("p_partkey").alias("version_id"), F.col("p_size").cast("string").alias("file_size_mb"))
+    return store.current_versions(_documents(spark, sf_dir), v).select("document_id", "status", F.coalesce("version_id", F.lit(0)).alias("version_id"), "file_size_mb")

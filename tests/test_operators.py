@@ -207,3 +207,62 @@ def test_substrings_of_one_and_many_words(spark):
     got = {(r.query_id, r.chunk_id): r.score for r in search.term_hits(asked, c).collect()}
     assert got == {(7, 1): 1, (7, 2): 2, (8, 1): 1, (8, 2): 1, (8, 3): 1}
     assert [r.term for r in search.structured_terms(asked).collect()] == ["10.0.0.1"]
+
+
+def test_stems_of_published_examples():
+    from lodestone.functions.stem import stem
+
+    want = {
+        "consign": "consign", "consigned": "consign", "consigning": "consign", "consignment": "consign", "consist": "consist", "consisted": "consist", "consistency": "consist",
+        "consistent": "consist", "consistently": "consist", "consisting": "consist", "consists": "consist", "consolation": "consol", "consolations": "consol", "knack": "knack",
+        "knackeries": "knackeri", "knaves": "knave", "kneeling": "kneel", "knightly": "knight", "knots": "knot", "ties": "tie", "cries": "cri", "gas": "gas", "this": "this",
+        "gaps": "gap", "kiwis": "kiwi", "running": "run", "hopping": "hop", "hoping": "hope", "say": "say", "by": "by", "cry": "cri", "generally": "general", "generate": "generat",
+        "skies": "sky", "inning": "inning", "succeed": "succeed", "luxuriated": "luxuri", "rational": "ration", "vision": "vision", "adoption": "adopt", "happiness": "happi",
+    }
+    assert {w: stem(w) for w in want} == want
+
+
+def test_stemmed_full_text_equals_loop(spark):
+    import re
+
+    from lodestone.config import STOP_ENGLISH
+    from lodestone.functions.stem import stem
+
+    texts = {1: "Hoping for hopes, the connection connects", 2: "connected connections connecting", 3: None, 4: "the and of", 5: "error_500 errors", 6: "", 7: "Hope " * 20}
+    asked = {1: ["hope", "connect"], 2: ["the", "and"], 3: ["errors", "missing", "the"], 4: ["error_500"]}
+    got = search.full_text(
+        spark.createDataFrame([(q, t) for q, ts in asked.items() for t in ts], "query_id int, term string"), spark.createDataFrame(list(texts.items()), "chunk_id int, content string"), stems=True
+    )
+    want = {}
+    for q, ts in asked.items():
+        stems = {stem(t) if t.isalpha() else t for t in ts if t not in STOP_ENGLISH}
+        for c, text in texts.items():
+            words = [w for w in re.findall(r"\w+", (text or "").lower()) if w not in STOP_ENGLISH]
+            words = [stem(w) if w.isalpha() else w for w in words]
+            score = sum(0.1 * sum(1 / (j * j) for j in range(1, words.count(s) + 1)) / 1.64493 for s in stems) / max(1, len(stems))
+            if score >= 0.01:
+                want[q, c] = round(score, 6)
+    assert {(r.query_id, r.chunk_id): r.score for r in got.collect()} == want and want
+
+
+def test_text_windows_equal_loop(spark):
+    import random
+
+    rng = random.Random(5)
+    docs = {d: [rng.choice(["", "x" * rng.randint(0, 40), None]) for _ in range(rng.randint(1, 40))] for d in range(12)}
+
+    def loop(lines, size, most, overlap):
+        out, held = [], []
+        for i, x in enumerate(lines):
+            held.append((x or "", len(x or "") + (i < len(lines) - 1)))
+            if len(held) >= size or sum(n for _, n in held) >= most:
+                out.append(held)
+                held = held[len(held) - overlap :] if len(held) > overlap else []
+        return ["\n".join(x for x, _ in run) for run in out + ([held] if held else [])]
+
+    rows = [(d, i, x) for d, ls in docs.items() for i, x in enumerate(ls)]
+    for size, most, overlap in ((8, 60, 2), (5, 1000, 0), (80, 25, 10)):
+        got = {}
+        for r in parse.text_windows(spark.createDataFrame(rows, "doc_id int, line_no long, line string"), size, most, overlap).orderBy("doc_id", "window_no").collect():
+            got.setdefault(r.doc_id, []).append(r.text)
+        assert got == {d: loop(ls, size, most, overlap) for d, ls in docs.items()}
