@@ -16,6 +16,9 @@ from .op7_minhash import op7_minhash_near_dedup
 from .op8_language_id import op8_language_id
 from .op9_sharding import op9_shard_shuffle
 from .op10_lattice_lm import op10_lattice_lm
+from .op11_toxicity import op11_toxicity
+from .op12_importance import OP12_SQL, op12_importance_resampling
+from .op13_hard_negatives import OP13_SQL, op13_hard_negatives
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
@@ -30,9 +33,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_language_id,
         op9_shard_shuffle,
         op10_lattice_lm,
+        op11_toxicity,
+        op12_importance_resampling,
+        op13_hard_negatives,
     )
 }
 
-#: DuckDB has no tokenizer, crc32, trained network or random order, and exact pair search over whole tables is too slow
-#: there; tests/llm holds each operator against a brute-force version, a round trip or held-out labels instead.
-ORACLE_SQL: dict[str, str] = {}
+#: The others have no SQL: DuckDB has no tokenizer, trained network or random order, and exact pair search over whole tables is
+#: too slow there; tests/llm holds each of them against a brute-force version, a round trip or held-out labels instead.
+ORACLE_SQL: dict[str, str] = {"op12_importance_resampling": OP12_SQL, "op13_hard_negatives": OP13_SQL}
