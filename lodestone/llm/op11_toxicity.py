@@ -38,7 +38,7 @@ SUBSTITUTES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "6": "g", "7":
 SIGNS = {"@": "a", "$": "s", "!": "i", "|": "i"}
 #: Code points below this are folded by the table; later ones only by their own lower case.
 TABLED = 0x3000
-_SIGN = re.compile(r"(?<=\w)[@$!|]+(?=\w)|(?<!\S)[@$](?=\w)")
+_SIGN = re.compile(r"(?<=\w)[@$!|]+(?=\w)|(?<!\S)[@$!|](?=\w)")
 
 
 @cache
