@@ -36,11 +36,12 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Whole texts go to Python at most `rows` at a time; Spark's own 10,000 would hold 10 times the text on both sides."""
+def small_batches(spark: SparkSession, rows: int = 1000, mb: int = 16) -> None:
+    """Whole texts go to Python at most `rows` or about `mb` MB at a time; Spark's own 10,000 would hold 10 times the text on both sides."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(name)) <= rows:
         spark.conf.set(name, str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{mb}m")
 
 
 _HELD: dict[Hashable, Any] = {}

@@ -75,7 +75,7 @@ def patterns(text: str, least: int = 3, most: int = 8) -> set[str]:
     out = set()
     for w in set(text.split()):
         out.add(f" {w} ")
-        for k in range(least, min(most, len(w) - 1) + 1):
+        for k in range(least, min(most, len(w)) + 1):
             out.add(f" {w[:k]}")
     return out
 

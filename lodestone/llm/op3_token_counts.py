@@ -28,18 +28,23 @@ from .common import held, small_batches
 
 MARK = "▁"
 _RESET = re.compile(f"(?<=[^{MARK}])(?={MARK})")
+#: The state before any character.
+START = (("", None, 0),)
 #: Characters before a cut that are read to find the state that is live there.
 LOOK = 64
 
 
 @dataclass
 class StateMap:
-    """What a chunk does: `head` is read from the entry state; after its first reset, `rest` tokens and the exit state follow."""
+    """What a chunk does: `head` is read from the entry state; after its first reset, `rest` tokens and the exit state follow.
+
+    States stand here by value and not by number, so a map stays right when the table of numbers is cleared.
+    """
 
     head: str
     rest: int
-    exit: int | None  # None: no reset, the head is the whole chunk
-    live: dict[int, tuple[int, int]]  # entry state: (exit state, tokens emitted)
+    exit: tuple | None  # None: no reset, the head is the whole chunk
+    live: dict[tuple, tuple[tuple, int]]  # entry state: (exit state, tokens emitted)
 
 
 class Transducer:
@@ -52,15 +57,16 @@ class Transducer:
         self.score = {sp.id_to_piece(i): sp.get_score(i) for i in range(sp.get_piece_size()) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i))}
         self.starts = {p[:k] for p in self.score for k in range(1, len(p))}
         self.memo_size, self.table_size = memo_size, table_size
-        self._pairs: dict[tuple[str, str], bool] = {}
-        self._whole: dict[str, bool] = {}
         self._reset_table()
         self.memo: dict[str, int] = {}
         self.old: dict[str, int] = {}
 
     def _reset_table(self) -> None:
-        self.states: list[tuple] = [(("", None, 0),)]
-        self.ids: dict[tuple, int] = {self.states[0]: 0}
+        """Forget all that was compiled. Numbers of states are void after it."""
+        self.states: list[tuple] = [START]
+        self.ids: dict[tuple, int] = {START: 0}
+        self._pairs: dict[tuple[str, str], bool] = {}
+        self._whole: dict[str, bool] = {}
         self.table: dict[tuple[int, str], tuple[int, int]] = {}
 
     # -- compilation --------------------------------------------------------------------------------------------
@@ -104,13 +110,17 @@ class Transducer:
         else:
             raise AssertionError(f"no token ends at {c!r}")
         nxt = tuple((s + c, u, rel - emitted) for s, u, rel in live if s + c in self.starts) + (("", t, 0),)
-        to = self.ids.get(nxt)
-        if to is None:
-            to = self.ids[nxt] = len(self.states)
-            self.states.append(nxt)
+        to = self.number(nxt)
         self.table[state, c] = to, emitted
         return to, emitted
 
+    def number(self, state: tuple) -> int:
+        at = self.ids.get(state)
+        if at is None:
+            at = self.ids[state] = len(self.states)
+            self.states.append(state)
+        return at
+
     # -- running ------------------------------------------------------------------------------------------------
     def run(self, state: int, text: str) -> tuple[int, int]:
         """Read text from a state, without resets: (exit state, tokens emitted)."""
@@ -142,31 +152,31 @@ class Transducer:
         first, *more = text.split(MARK)
         return [first, *more] if first or not more else [MARK + more[0], *more[1:]]
 
-    def enter(self, state: int, head: str) -> tuple[int, int]:
+    def enter(self, state: tuple, head: str) -> tuple[tuple, int]:
         """Read a head from an entry state: a mark after another character starts anew."""
-        last = self.states[state][-1][1]
-        return self.run(0 if last is not None and last[-1] != MARK and head[:1] == MARK else state, head)
+        last = state[-1][1]
+        to, n = self.run(0 if last is not None and last[-1] != MARK and head[:1] == MARK else self.number(state), head)
+        return self.states[to], n
 
     def state_map(self, before: str, chunk: str) -> StateMap:
         """The map of a chunk, worked out for the state that the characters before it lead to."""
         if len(self.table) > self.table_size:
             self._reset_table()
-            self._pairs.clear()
         head, *more = self.words(chunk)
         rest, exit_ = 0, None
         if more:
-            exit_, rest = self.run(0, MARK + more[-1])
-            word = self.word
+            to, rest = self.run(0, MARK + more[-1])
+            exit_, word = self.states[to], self.word
             rest += sum([n if (n := self.memo.get(w)) is not None else word(w) for w in more[:-1]])
         out = StateMap(head, rest, exit_, {})
         entry = 0
         if before:
             first, *more = self.words(before)
             entry = self.run(0, MARK + more[-1])[0] if more else self.run(0, first)[0]
-        self.apply(out, entry)
+        self.apply(out, self.states[entry])
         return out
 
-    def apply(self, m: StateMap, entry: int) -> tuple[int, int]:
+    def apply(self, m: StateMap, entry: tuple) -> tuple[tuple, int]:
         """(exit state, tokens emitted) of a map from any state."""
         got = m.live.get(entry)
         if got is None:
@@ -189,21 +199,16 @@ class Transducer:
         """Tokens of a whole text from the maps of its chunks, combined pairwise."""
         while len(maps) > 1:
             maps = [self.compose(*maps[i : i + 2]) if i + 1 < len(maps) else maps[i] for i in range(0, len(maps), 2)]
-        return self.apply(maps[0], 0)[1]
+        return self.apply(maps[0], START)[1]
 
-    # -- states between workers ---------------------------------------------------------------------------------
-    def told(self, state: int | None) -> str | None:
-        return None if state is None else json.dumps(self.states[state])
 
-    def heard(self, told: str | None) -> int | None:
-        if told is None:
-            return None
-        state = tuple(tuple(x) for x in json.loads(told))
-        at = self.ids.get(state)
-        if at is None:
-            at = self.ids[state] = len(self.states)
-            self.states.append(state)
-        return at
+def told(state: tuple | None) -> str | None:
+    """A state on its way between workers."""
+    return None if state is None else json.dumps(state)
+
+
+def heard(state: str | None) -> tuple | None:
+    return None if state is None else tuple(tuple(x) for x in json.loads(state))
 
 
 def marked(text: str | None) -> str:
@@ -216,16 +221,16 @@ def chunks(text: str, size: int) -> Iterator[tuple[str, str]]:
         yield text[max(0, a - LOOK) : a], text[a : a + size]
 
 
-def shared_transducer(model_file: str) -> Transducer:
+def shared_transducer(model_file: str, table_size: int) -> Transducer:
     """One transducer for each Python worker: what it has compiled stays for its later tasks."""
-    return held(("transducer", model_file), lambda: Transducer(model_file))
+    return held(("transducer", model_file, table_size), lambda: Transducer(model_file, table_size=table_size))
 
 
-def token_counts(df: DataFrame, model_file: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 4096, chunk_chars: int = 1 << 16) -> DataFrame:
+def token_counts(df: DataFrame, model_file: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 4096, chunk_chars: int = 1 << 16, table_size: int = 600_000) -> DataFrame:
     """Per row: the id, n_bytes (UTF-8), n_tokens, over_limit (n_tokens > limit).
 
     A null text counts as empty: no bytes, no tokens. Null ids pass through; repeated rows are each counted; other
-    columns are not read. A text is the scan of its chunks' maps: one of a single chunk is done where it is read, the
+    columns are not read. A worker keeps about `table_size` transitions and compiles anew beyond. A text is the scan of its chunks' maps: one of a single chunk is done where it is read, the
     chunks of a longer one are spread over the cluster and only their maps come together.
     """
     small_batches(df.sparkSession)
@@ -236,7 +241,7 @@ def token_counts(df: DataFrame, model_file: str, id_col: str = "doc_id", text_co
         return pa.RecordBatch.from_arrays([ids, pa.array(size, pa.int64()), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())], names=schema.names)
 
     def single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fst = shared_transducer(model_file)
+        fst = shared_transducer(model_file, table_size)
         for b in batches:
             texts = b.column(1).to_pylist()
             n = [fst.scan([fst.state_map(*c) for c in chunks(marked(t), chunk_chars)]) if t else 0 for t in texts]
@@ -252,18 +257,18 @@ def token_counts(df: DataFrame, model_file: str, id_col: str = "doc_id", text_co
                     yield pa.RecordBatch.from_arrays([b.column(0).take(same), b.column(2).take(same), pa.array([len(t.encode())] * len(some), pa.int64()), pa.array(range(a, a + len(some)), pa.int32()), pa.array([x for x, _ in some], pa.string()), pa.array([x for _, x in some], pa.string())], names=cut_schema.names)
 
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fst = shared_transducer(model_file)
+        fst = shared_transducer(model_file, table_size)
         for b in batches:
             maps = [fst.state_map(x, y) for x, y in zip(b.column(4).to_pylist(), b.column(5).to_pylist())]
             pairs = [next(iter(m.live.items())) for m in maps]
-            told = [[m.head for m in maps], [m.rest for m in maps], [fst.told(m.exit) for m in maps], [fst.told(e) for e, _ in pairs], [fst.told(x) for _, (x, _) in pairs], [n for _, (_, n) in pairs]]
-            yield pa.RecordBatch.from_arrays([*b.columns[:4], *[pa.array(x, pa.int64() if k in (1, 5) else pa.string()) for k, x in enumerate(told)]], names=map_schema.names)
+            sent = [[m.head for m in maps], [m.rest for m in maps], [told(m.exit) for m in maps], [told(e) for e, _ in pairs], [told(x) for _, (x, _) in pairs], [n for _, (_, n) in pairs]]
+            yield pa.RecordBatch.from_arrays([*b.columns[:4], *[pa.array(x, pa.int64() if k in (1, 5) else pa.string()) for k, x in enumerate(sent)]], names=map_schema.names)
 
     def composed(t: pa.Table) -> pa.Table:
-        fst = shared_transducer(model_file)
+        fst = shared_transducer(model_file, table_size)
         t = t.sort_by("chunk")
         cols = [t[c].to_pylist() for c in ("head", "rest", "exit", "entry", "to", "n")]
-        maps = [StateMap(head, rest, fst.heard(exit_), {fst.heard(entry): (fst.heard(to), n)}) for head, rest, exit_, entry, to, n in zip(*cols)]
+        maps = [StateMap(head, rest, heard(exit_), {heard(entry): (heard(to), n)}) for head, rest, exit_, entry, to, n in zip(*cols)]
         ids = t.column(0).slice(0, 1).combine_chunks()
         return pa.Table.from_batches([rows(ids, t["n_bytes"].slice(0, 1).to_pylist(), [fst.scan(maps)])])
 

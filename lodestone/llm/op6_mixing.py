@@ -178,26 +178,32 @@ def rates(sums: list[float]) -> Column:
     return F.greatest(F.lit(0.0), reduce(lambda a, b: a + b, [F.lit(s) * F.col("p")[i] for i, s in enumerate(sums)], F.lit(1.0)))
 
 
-def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float], relative: bool = False, id_col: str = "doc_id", text_col: str = "text", sample: int = 6000, lang_col: str = "lang") -> tuple[DataFrame, list[str]]:
-    """(id, tokens, p, rate) for every row of docs, and the order of the domains in p.
+def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float], relative: bool = False, id_col: str = "doc_id", text_col: str = "text", sample: int = 6000, lang_col: str = "lang") -> tuple[DataFrame, list[str], dict[str, tuple[float, float]]]:
+    """(id, text_hash, tokens, p, rate) for every row of docs, the order of the domains in p, and of each domain the target of
+    its tokens and the total that the rates reach.
+
+    The two differ where a target is out of reach: posteriors are soft and rates are linear in them, so that a domain with
+    target 0 keeps what rows of other domains are believed to hold of it. text_hash: xxhash64 of the text; with the id it
+    tells rows apart, where ids are null or repeat.
 
     weights: each domain's share of all tokens, or with `relative` the factor on the tokens it has. A domain without a
     weight has target 0. A null or blank text has no tokens; its posterior comes from its length bin. Null ids and
     repeated rows each get a rate; of extra columns only `lang_col` is read, for the labelled sample; an empty table gives an empty result.
     """
     net = fit_domains(docs, labels, id_col, text_col, sample, lang_col=lang_col)
-    table = with_features(docs.select(F.col(id_col).alias("id__"), F.col(text_col).alias("text")))
-    table = settle(net.with_posterior(table.select("id__", "tokens", "feats")), "mix-posteriors")
+    table = with_features(docs.select(F.col(id_col).alias("id__"), F.xxhash64(text_col).alias("hash__"), F.col(text_col).alias("text")))
+    table = settle(net.with_posterior(table.select("id__", "hash__", "tokens", "feats")), "mix-posteriors")
     k = range(len(net.domains))
     total, *have = table.agg(F.sum("tokens"), *[F.sum(F.col("tokens") * F.col("p")[i]) for i in k]).first()
     goals = {d: weights.get(d, 0.0) * ((have[i] if relative else total) or 0.0) for i, d in zip(k, net.domains)}
-    sums, _ = descend(table, net.domains, goals)
-    return table.select(F.col("id__").alias(id_col), "tokens", "p", rates(sums).alias("rate")), net.domains
+    sums, reached = descend(table, net.domains, goals)
+    out = table.select(F.col("id__").alias(id_col), F.col("hash__").alias("text_hash"), "tokens", "p", rates(sums).alias("rate"))
+    return out, net.domains, {d: (goals[d], x) for d, x in zip(net.domains, reached)}
 
 
 def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, tokens, p_good, p_poor, p_toxic, rate for 80 % good, 18 % poor and 2 % toxic tokens."""
     docs, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
-    out, domains = mix(docs, labels, {"good": 0.80, "poor": 0.18, "toxic": 0.02})
+    out, domains, _ = mix(docs, labels, {"good": 0.80, "poor": 0.18, "toxic": 0.02})
     p = {d: F.col("p")[i] for i, d in enumerate(domains)}
     return out.select("doc_id", "tokens", *[p.get(d, F.lit(0.0)).alias(f"p_{d}") for d in ("good", "poor", "toxic")], "rate")

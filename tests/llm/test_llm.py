@@ -205,6 +205,8 @@ def test_op3_counts_are_the_librarys(spark, rng):
     fst = op3.Transducer(op3.model_path())
     for size in (1, 2, 7, 31):  # state maps compose wherever a chunk is cut
         assert [fst.scan([fst.state_map(*c) for c in op3.chunks(op3.marked(t), size)]) if t else 0 for t in texts[:200]] == [got[i].n_tokens for i in range(200)]
+        small = op3.Transducer(op3.model_path(), table_size=500)  # cleared again and again, between the maps of one text too
+        assert [small.scan([small.state_map(*c) for c in op3.chunks(op3.marked(t), size)]) if t else 0 for t in texts[:60]] == [got[i].n_tokens for i in range(60)]
         wrong = [[fst.state_map("", c) for _, c in op3.chunks(op3.marked(t), size)] for t in texts[:60] if t]  # entry states guessed wrong
         assert [fst.scan(m) for m in wrong] == [got[i].n_tokens for i, t in enumerate(texts[:60]) if t]
     for size in (5, 64, 3000):  # chunks on several tasks
@@ -317,7 +319,7 @@ def test_op6_meets_targets_and_knows_the_domains(spark, rng):
         labels.append((i + 2, 0 if kind == 1 else 1, int(kind == 2)))
         texts.append(t)
     d, lab = docs(spark, texts), spark.createDataFrame(labels + [(None, 1, 0), (3, None, 1)], "doc_id long, quality int, toxic int")
-    out, domains = op6.mix(d, lab, {"good": 0.6, "poor": 0.3, "toxic": 0.1})
+    out, domains, totals = op6.mix(d, lab, {"good": 0.6, "poor": 0.3, "toxic": 0.1})
     rows = out.collect()
     assert domains == ["good", "poor", "toxic"] and len(rows) == len(texts)
     total = sum(r.tokens for r in rows)
@@ -327,7 +329,7 @@ def test_op6_meets_targets_and_knows_the_domains(spark, rng):
     right = sum(int(np.argmax(r.p)) == [0, 1, 2][(r.doc_id - 2) % 3] for r in rows if r.doc_id >= 2)
     assert right / 300 > 0.95
     assert "Python" not in out._jdf.queryExecution().toString()
-    none, names = op6.mix(docs(spark, ["a"]), lab.limit(0), {"all": 1.0})
+    none, names, _ = op6.mix(docs(spark, ["a"]), lab.limit(0), {"all": 1.0})
     assert names == ["all"] and none.first().rate == pytest.approx(1.0)
     assert op6.mix(docs(spark, []), lab, {"good": 1.0})[0].count() == 0
 
@@ -610,6 +612,23 @@ def test_pipeline_mixing_keeps_good_documents_of_every_language(spark):
         assert stay[lang, "good"] > 0.97 and stay[lang, "toxic"] < 0.4
 
 
+def test_pipeline_mixing_judges_each_row_by_itself(spark):
+    import corpus_pipeline as cp
+
+    d = spark.read.parquet(f"{LARGER}/documents.parquet").dropDuplicates(["text"])
+    kept = cp.source_mixing(spark, d, LARGER).select("doc_id")
+    gone, stay = d.join(kept, "doc_id", "left_anti").orderBy("doc_id").limit(20).collect(), d.join(kept, "doc_id").orderBy("doc_id").limit(20).collect()
+    toxic = {r.doc_id for r in d.join(spark.read.parquet(f"{LARGER}/labels.parquet"), "doc_id").where("toxic = 1").collect()}
+    gone = [r for r in gone if r.doc_id in toxic]
+    assert len(gone) > 5
+    odd = [{**r.asDict(), "doc_id": None} for r in gone + stay] + [{**s.asDict(), "doc_id": g.doc_id, "text": s.text + " "} for s, g in zip(stay, gone)]
+    after = cp.source_mixing(spark, d.unionByName(spark.createDataFrame(odd, d.schema)), LARGER)
+    nameless = {r.text for r in after.where("doc_id is null").collect()}
+    assert nameless == {r.text for r in stay}
+    added = {s.text + " " for s, _ in zip(stay, gone)}
+    assert {r.text for r in after.join(spark.createDataFrame([(r.doc_id,) for r in gone], "doc_id long"), "doc_id").collect()} == added
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline as cp
 
