@@ -24,7 +24,7 @@ CONFIDENT = 0.8
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter (or text) go; a missing language is filled in."""
+    """Documents without a letter (or text) go; a missing language is filled in. Rows without an id, or that share one, are judged each by itself."""
     columns = docs.columns
     named = identify(docs, train(docs))
     return named.where(F.col("lang_pred") != UNDECIDED).withColumn("lang", F.coalesce("lang", "lang_pred")).select(columns)
@@ -48,20 +48,23 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are replaced by their kind in brackets; every document stays."""
+    """Secrets are replaced by their kind in brackets; every document stays, whatever its id."""
     return redact_secrets(docs).withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars"))).select(docs.columns)
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Confidently toxic documents go; confidently poor ones are kept by their rate and a hash of the id. All others stay."""
+    """Confidently toxic documents go; confidently poor ones are kept by their rate and a hash of id and text. All others stay.
+
+    Each row is judged by itself: rows without an id, or that share one, stay or go by their own text; equal rows go together.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    rated, domains = mix(docs, labels, FACTORS, relative=True)
+    rated, domains, _ = mix(docs, labels, FACTORS, relative=True)
     p = {d: F.col("p")[i] for i, d in enumerate(domains)}
     toxic, poor = p.get("toxic", F.lit(0.0)), p.get("poor", F.lit(0.0))
-    draw = F.pmod(F.xxhash64(F.lit("mix"), "doc_id"), F.lit(1_000_000)) / 1_000_000
+    draw = F.pmod(F.xxhash64(F.lit("mix"), "doc_id", "text_hash"), F.lit(1_000_000)) / 1_000_000
     thinned = (toxic + poor >= CONFIDENT) & (F.col("rate") < KEEP_FROM) & (draw >= F.col("rate"))
-    gone = rated.where((toxic >= CONFIDENT) | thinned).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    gone = rated.where((toxic >= CONFIDENT) | thinned).select(F.col("doc_id").alias("gone__"), "text_hash").distinct()
+    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("gone__")) & (F.xxhash64("text") == F.col("text_hash")), "left_anti").select(docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
