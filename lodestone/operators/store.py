@@ -165,3 +165,34 @@ def current_versions(documents: DataFrame, versions: DataFrame) -> DataFrame:
     """documents with the size of their current version; `0` where there is none."""
     v = versions.select(F.col("version_id").alias("current_version_id"), "version_id", "file_size_mb")
     return documents.join(v, "current_version_id", "left").withColumn("file_size_mb", F.coalesce("file_size_mb", F.lit("0")))
+
+
+def insert_documents(tables, new: DataFrame) -> int:
+    """Insert documents with their version and chunk in one commit of a versioned.TableSet; returns the version.
+
+    new: document_id, owner_id, family, fingerprint, content. A text that its owner has already, or that comes twice, is
+    skipped (the smallest id stays). The greatest id of a family becomes its active one; the others, and the one that was
+    active so far, are superseded by it, and so are their versions. Only rows that change are written.
+    """
+    with tables.transaction() as tx:
+        first = new.groupBy("owner_id", "fingerprint").agg(F.min("document_id").alias("document_id"))
+        rows = new.join(first.select("document_id"), "document_id", "left_semi")
+        if "versions" in tx.base.tables:
+            rows = rows.join(tx.base.read("versions").select("owner_id", "fingerprint"), ["owner_id", "fingerprint"], "left_anti")
+        tx.append("chunks", rows.select(F.col("document_id").alias("chunk_id"), "document_id", "content"))
+        added = rows.drop("content")
+        newest = added.groupBy("owner_id", "family").agg(F.max("document_id").alias("newest"))
+        same = F.col("owner_id").eqNullSafe(F.col("o__")) & F.col("family").eqNullSafe(F.col("f__"))
+        newest = newest.select(F.col("owner_id").alias("o__"), F.col("family").alias("f__"), "newest")
+        now = added.select("document_id", "owner_id", "family").join(newest, same)
+        if "documents" in tx.base.tables:
+            was = tx.base.read("documents").where("status = 'active'").select("document_id", "owner_id", "family")
+            now = now.unionByName(was.join(newest, same))
+        by = F.when(F.col("document_id") != F.col("newest"), F.col("newest"))
+        tx.merge("documents", now.select("document_id", "owner_id", "family", F.when(by.isNull(), "active").otherwise("superseded").alias("status"), by.alias("superseded_by")), keys=("document_id",))
+        changed = tx.staged_rows("documents").select("document_id", (F.col("status") == "active").alias("is_active"))
+        known = added.select("document_id", "owner_id", "fingerprint")
+        if "versions" in tx.base.tables:
+            known = known.unionByName(tx.base.read("versions").select("document_id", "owner_id", "fingerprint"))
+        tx.merge("versions", known.join(changed, "document_id"), keys=("document_id",))
+    return tx.version
