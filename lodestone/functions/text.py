@@ -139,27 +139,41 @@ def grades(raw: Column) -> Column:
     return F.when(found, F.from_json(F.substring(body, a, z - a + 1), "array<struct<chunk:int,score:double>>"))
 
 
-def json_object_udf():
-    """The first balanced {...} of a text, fences taken off; what follows an unclosed brace, or the text without one (pandas UDF: nesting)."""
-
-    def one(raw: str | None) -> str:
-        value = (raw or "").strip()
-        if value.startswith("```"):
-            value = value.replace("```json", "").replace("```", "").strip()
-        depth, start = 0, value.find("{")
-        if start < 0:
-            return value
-        for m in re.finditer(r'"(?:[^"\\]|\\.)*"|[{}]', value[start:], re.S):
-            depth += {"{": 1, "}": -1}.get(m[0], 0)
-            if depth == 0 and m[0] == "}":
-                return value[start : start + m.end()]
-        return value[start:]
-
-    @F.pandas_udf("string")
-    def extract(raw: pd.Series) -> pd.Series:
-        return raw.map(one)
-
-    return extract
+#: A whole string, one that is never closed, a brace, or what lies between them: all of a text, piece by piece.
+JSON_PIECE = r'(?s)"(?:[^"\\]|\\.)*(?:"|\\?\z)|[{}]|[^"{}]+'
+
+
+def json_object(raw: Column) -> Column:
+    """The first balanced {...} of a text, fences taken off; what follows an unclosed brace, or the text without one. Braces in strings do not count."""
+    value = F.regexp_replace(F.coalesce(raw, F.lit("")), r"^\s+|\s+$", "")
+    value = F.when(F.startswith(value, F.lit("```")), F.regexp_replace(F.regexp_replace(value, "```(json)?", ""), r"^\s+|\s+$", "")).otherwise(value)
+
+    def cut(text: Column) -> Column:
+        begin = F.substring(text, F.instr(text, "{"), F.length(text))
+        state = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("at"), F.lit(0).alias("stop"))
+
+        def step(s: Column, piece: Column) -> Column:
+            at, depth = s["at"] + F.length(piece), s["depth"] + F.when(piece == "{", 1).when(piece == "}", -1).otherwise(0)
+            closed = (piece == "}") & (depth == 0) & (s["stop"] == 0)
+            return F.struct(depth.alias("depth"), at.alias("at"), F.when(closed, at).otherwise(s["stop"]).alias("stop"))
+
+        stop = F.aggregate(F.regexp_extract_all(begin, F.lit(JSON_PIECE), F.lit(0)), state, step)["stop"]
+        return F.when(~F.contains(text, F.lit("{")), text).otherwise(let(stop, lambda n: F.when(n > 0, F.substring(begin, F.lit(1), n)).otherwise(begin)))
+
+    return let(value, cut)
+
+
+def json_repaired(raw: Column, stop_reason: Column) -> Column:
+    """The JSON of an answer, with missing closers added; null where it stays invalid, or was cut off at its most tokens and is asked for again."""
+    many = lambda text, c: F.length(text) - F.length(F.replace(text, F.lit(c), F.lit("")))
+    closers = lambda text, a, z: F.repeat(F.lit(z), F.greatest(F.lit(0), many(text, a) - many(text, z)))
+
+    def mend(text: Column) -> Column:
+        whole = F.concat(text, closers(text, "{", "}"), closers(text, "[", "]"))
+        valid = lambda x: F.try_parse_json(x).isNotNull() & (F.length(x) > 0)
+        return F.when(valid(text), text).when(F.coalesce(stop_reason, F.lit("")) == "max_tokens", F.lit(None)).when(valid(whole), whole)
+
+    return let(json_object(raw), mend)
 
 
 def name_similarity_udf():

@@ -73,3 +73,28 @@ def rerank_graded(graded: DataFrame, k: int = S.rerank_top) -> DataFrame:
     scored = graded.withColumn("blend", F.round(F.when((lone > 1) & F.col("relevance").isNotNull(), blend).otherwise(F.col("score")), 10))
     out = scored.select("query_id", "chunk_id", F.col("score").alias("fusion"), "relevance", F.col("blend").alias("score"))
     return top_ranked(out, k)
+
+
+def rerank_by_place(fused: DataFrame, answers: DataFrame, k: int = S.rerank_top, pool: int = S.fused_candidates) -> DataFrame:
+    """fused (query_id, chunk_id, score, rank) with a model's answers (query_id, raw: a JSON list of chunk numbers and scores) -> query_id, chunk_id, score, rank.
+
+    A grade belongs to the candidate whose rank is its number; numbers out of range are passed over. A candidate that is
+    graded twice counts twice, in the answer's order; one without a grade keeps its fusion score. Questions with one
+    candidate, or without a readable answer, keep the order of fusion.
+    """
+    from lodestone.functions.text import grades
+
+    few = fused.where(F.col("rank") <= pool)
+    told = answers.select("query_id", grades(F.col("raw")).alias("g")).where("g is not null")
+    many = few.groupBy("query_id").agg(F.count("*").alias("n")).where("n > 1")
+    told = told.join(many, "query_id", "left_semi")
+    each = told.select("query_id", F.posexplode("g").alias("place", "g")).select("query_id", "place", F.coalesce("g.chunk", F.lit(0)).alias("rank"), F.coalesce("g.score", F.lit(0.0)).alias("relevance"))
+    graded = each.join(few, ["query_id", "rank"])  # a number out of range meets no candidate
+    blend = F.col("relevance") / 10.0 * S.rerank_score_weight + F.col("score") * S.rerank_fusion_scale * S.rerank_fusion_weight
+    rows = graded.select("query_id", "chunk_id", F.round(blend, 10).alias("score"), "place")
+    rest = few.join(graded.select("query_id", "rank").distinct(), ["query_id", "rank"], "left_anti")
+    rest = rest.join(told.select("query_id", F.lit(True).alias("told")).distinct(), "query_id", "left")
+    kept = rest.select("query_id", "chunk_id", "score", (F.col("rank") + 1_000_000).alias("place"), "told")
+    order = Window.partitionBy("query_id").orderBy(F.desc_nulls_last(F.when(F.col("told"), F.col("score"))), "place")
+    both = rows.withColumn("told", F.lit(True)).unionByName(kept)
+    return both.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "chunk_id", "score", "rank")

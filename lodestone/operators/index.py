@@ -8,6 +8,8 @@ words of each file in folders by the file's hash, so that removing a file reads
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,19 +45,22 @@ def phrase_hits(phrases: DataFrame, postings: DataFrame) -> DataFrame:
     return whole.unionByName(starts.where("n = 1").select("phrase", "chunk_id"))
 
 
-def full_text(asked: DataFrame, postings: DataFrame, k: int = S.keyword_candidates, allowed: DataFrame | None = None) -> DataFrame:
+def full_text(asked: DataFrame, postings: DataFrame, k: int = S.keyword_candidates, allowed: DataFrame | Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """asked (query_id, term) -> query_id, chunk_id, score, rank. Terms are joined by "or"; the tokens of one term must stand next to each other.
 
     A chunk matches if it holds one of the terms. Its rank is the mean over the question's distinct tokens, those of
     phrases too, of 0.1 / 1.64493 times the sum of 1 / j**2 over the token's occurrences. allowed (chunk_id, and query_id
-    where it differs by question): the chunks that may be found; the others are left out before the k best are taken.
+    where it differs by question), or what makes such hits of all: the chunks that may be found; the others are left out
+    before the k best are taken.
     """
     parts = asked.select("query_id", tokens(F.col("term")).alias("phrase")).where(F.size("phrase") > 0).distinct()
     lexemes = parts.select("query_id", F.explode("phrase").alias("token")).distinct()
     count = lexemes.groupBy("query_id").agg(F.count("*").alias("terms"))
     met = postings.join(lexemes.select("token").distinct(), "token")
     hit = parts.join(phrase_hits(parts.select("phrase"), met), "phrase").select("query_id", "chunk_id").distinct()
-    if allowed is not None:
+    if callable(allowed):
+        hit = allowed(hit)
+    elif allowed is not None:
         hit = hit.join(allowed, [c for c in ("query_id", "chunk_id") if c in allowed.columns], "left_semi")
     falling = F.aggregate(F.sequence(F.lit(1), F.col("tf").cast("int")), F.lit(0.0), lambda a, j: a + 1.0 / (j * j))
     weighted = met.select("token", "chunk_id", (0.1 * falling / 1.64493).alias("w")).join(lexemes, "token")

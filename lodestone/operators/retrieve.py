@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from lodestone.config import SETTINGS as S
-from lodestone.operators import fusion, rules, search
+from lodestone.functions.text import tokens
+from lodestone.operators import fusion, index, rules, search
+from lodestone.sources.versioned import settle
 
 
 def keyword_channel(asked: DataFrame, chunks: DataFrame, k: int = S.keyword_candidates) -> DataFrame:
@@ -40,3 +42,71 @@ def retrieve(questions: DataFrame, chunks: DataFrame, vector_hits: DataFrame | N
         found["vector"] = vector_hits
     found = {name: owned_hits(hits, questions, chunks) for name, hits in found.items()}
     return fusion.fuse(found, intent, k).join(intent.select("query_id", "strategy"), "query_id").select("query_id", "strategy", "chunk_id", "score", "channels", "rank")
+
+
+def asked_postings(wanted: DataFrame, chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """wanted (token), chunks (chunk_id, content) -> positional postings of those tokens, and n and avgdl of all chunks (one row).
+
+    One scan splits the texts; the counts are observed while the postings are written.
+    """
+    seen = Observation()
+    split = chunks.select("chunk_id", tokens(F.col("content")).alias("ts")).select("chunk_id", "ts", F.size("ts").alias("dl"))
+    split = split.observe(seen, F.count_if(F.col("dl") > 0).alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).cast("long").alias("dl"))
+    each = split.select("chunk_id", "dl", F.posexplode("ts").alias("pos", "token")).join(wanted, "token", "left_semi")
+    postings = each.groupBy("token", "chunk_id", "dl").agg(F.count("*").alias("tf"), F.array_sort(F.collect_list("pos")).alias("positions"))
+    postings = settle(postings, "postings")
+    n, dl = seen.get["n"], seen.get["dl"]
+    return postings, chunks.sparkSession.createDataFrame([(n, dl / n if n else 0.0)], "n long, avgdl double")
+
+
+def retrieve_graded(questions: DataFrame, chunks: DataFrame, vector_hits: DataFrame | None = None, answers: DataFrame | None = None, k: int = S.rerank_top, pool: int = S.fused_candidates) -> tuple[DataFrame, DataFrame]:
+    """All of retrieval for a batch: classify, search four channels, fuse, rerank; and what each step found.
+
+    questions: query_id, q, asker, files (array, null: all), file_type. chunks: chunk_id, owner_id, file_id, file_type,
+    content, meta. vector_hits: query_id, chunk_id, rank of the nearest among allowed files. answers: a reranker's
+    replies (query_id, raw); without them, or without one for a question, the order of fusion stands.
+    BM25 scores chunks of the question's type only, by statistics of all, and is filtered by owner and files after its
+    best; full text, substrings and metadata search only what the asker owns and the list allows; vectors are filtered
+    by owner after their best. Returns (query_id, strategy, chunk_id, score, rank) and, of every question, strategy, kw,
+    sem, and the candidates of each channel, after fusion and after reranking.
+    """
+    intent = settle(rules.query_intent(questions), "intent")
+    who = intent.select("query_id", "asker", "files", F.col("file_type").alias("type__"))
+    facts = settle(chunks.select("chunk_id", "owner_id", "file_id", "file_type", "meta"), "chunk-facts")
+    asked = intent.select("query_id", F.posexplode("terms").alias("place", "term"))
+    mine = F.col("owner_id") == F.coalesce("asker", F.lit("anonymous"))
+    listed = F.col("files").isNull() | F.array_contains("files", F.col("file_id"))
+
+    def may(hits: DataFrame) -> DataFrame:
+        """Hits that the asker owns and the list of files allows."""
+        return hits.join(facts.drop("meta"), "chunk_id").join(who, "query_id").where(mine & listed).select(hits.columns)
+
+    words = index.question_tokens(intent)
+    wanted = words.select("token").unionByName(asked.select(F.explode(tokens(F.col("term"))).alias("token"))).distinct()
+    postings, totals = asked_postings(wanted, chunks)
+    frequency = postings.groupBy("token").agg(F.count("*").alias("df"))
+    typed = index.bm25_from(words, postings, frequency, totals, None).drop("rank").join(facts.select("chunk_id", "file_type"), "chunk_id").join(who, "query_id")
+    typed = typed.where(F.col("type__").isNull() | (F.col("type__") == F.col("file_type"))).select("query_id", "chunk_id", "score")
+    bm25 = may(search.top_ranked(typed, S.bm25_candidates))
+    fts = index.full_text(asked, postings, allowed=may)
+    like = may(search.term_hits(search.structured_terms(asked), chunks)).join(fts.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_anti")
+    have = fts.groupBy("query_id").agg(F.max("rank").alias("have"))
+    extra = search.top_ranked(like, S.keyword_candidates).join(have, "query_id", "left").withColumn("at", F.col("rank") + F.coalesce("have", F.lit(0))).where(F.col("at") <= S.keyword_candidates)
+    keyword = fts.select("query_id", "chunk_id", "rank", F.lit(False).alias("exact")).unionByName(extra.select("query_id", "chunk_id", F.col("at").alias("rank"), F.lit(True).alias("exact")))
+    hints = intent.select("query_id", F.explode("vendors").alias("hint"))
+    metadata = search.top_ranked(may(search.metadata_search(hints, facts, None).drop("rank")), S.metadata_candidates)
+    found = {"bm25": bm25, "keyword": keyword, "metadata": metadata}
+    if vector_hits is not None:
+        found["vector"] = may(vector_hits)
+    rest = {name: [c for c in ("exact",) if c in hits.columns] for name, hits in found.items()}
+    found = {name: settle(search.top_ranked(hits.select("query_id", "chunk_id", (-F.col("rank")).alias("score"), *rest[name]), None), f"channel-{name}") for name, hits in found.items()}
+    fused = settle(fusion.fuse(found, intent, pool), "fused")
+    answers = fused.select("query_id", F.lit("").alias("raw")).distinct() if answers is None else answers
+    ranked = settle(fusion.rerank_by_place(fused, answers, k, pool), "reranked")
+    counts = intent.select("query_id", "strategy", "kw", "sem")
+    for name, hits in {**{c: found.get(c) for c in ("vector", "bm25", "keyword", "metadata")}, "fused": fused, "reranked": ranked}.items():
+        if hits is None:
+            counts = counts.withColumn(name, F.lit(0).cast("long"))
+        else:
+            counts = counts.join(hits.groupBy("query_id").agg(F.count("*").alias(name)), "query_id", "left").fillna(0, [name])
+    return ranked.join(intent.select("query_id", "strategy"), "query_id").select("query_id", "strategy", "chunk_id", "score", "rank"), counts

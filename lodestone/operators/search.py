@@ -6,6 +6,8 @@ Ties go to the smaller chunk_id.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -16,6 +18,7 @@ from pyspark.sql import functions as F
 from lodestone.config import SETTINGS, STOP_ENGLISH
 from lodestone.functions.stem import with_stem
 from lodestone.functions.text import tokens
+from lodestone.sources.versioned import settle
 
 
 def top_ranked(hits: DataFrame, k: int | None, score: str = "score") -> DataFrame:
@@ -154,24 +157,47 @@ def full_text(asked: DataFrame, chunks: DataFrame, k: int = SETTINGS.keyword_can
     return top_ranked(ranked.where(F.col("score") >= SETTINGS.fts_min_rank), k)
 
 
+def grams_of(text: Column, n: int) -> Column:
+    """The distinct runs of n characters of a text, read in one pass."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)))
+
+
+def gram_candidates(terms: DataFrame, low: DataFrame, most: int = 2) -> DataFrame:
+    """terms (term), low (chunk_id, low) -> term, chunk_id of the texts that hold the term's `most` rarest runs of three characters.
+
+    Terms of one or two characters are such a run themselves. Only runs of asked terms leave the scan; a term that has one
+    which is nowhere is nowhere itself.
+    """
+    sized = terms.select("term").distinct().where(F.length("term") > 0).withColumn("n", F.least(F.lit(3), F.length("term")))
+    own = F.when(F.col("n") == 3, grams_of(F.col("term"), 3)).otherwise(F.array("term"))
+    grams = sized.select("term", "n", F.explode(own).alias("gram"))
+    asked = grams.select("gram", "n").distinct()
+    each = [low.select("chunk_id", F.explode(grams_of(F.col("low"), n)).alias("gram")).join(asked.where(F.col("n") == n).select("gram"), "gram") for n in (1, 2, 3)]
+    seen = settle(reduce(DataFrame.unionByName, each), "grams")
+    rated = grams.join(seen.groupBy("gram").agg(F.count("*").alias("df")), "gram", "left")
+    there = rated.groupBy("term").agg(F.min("df").alias("least"), F.count("*").alias("all"), F.count("df").alias("found")).where("found = all")
+    order = F.row_number().over(Window.partitionBy("term").orderBy("df", "gram"))
+    rarest = rated.join(there.select("term", "all"), "term").withColumn("place", order).where(F.col("place") <= most)
+    met = rarest.select("term", "gram", F.least(F.col("all"), F.lit(most)).alias("want")).join(seen, "gram")
+    return met.groupBy("term", "chunk_id", "want").agg(F.count("*").alias("have")).where("have = want").select("term", "chunk_id")
+
+
 def term_hits(asked: DataFrame, chunks: DataFrame) -> DataFrame:
     """asked (query_id, term) -> query_id, chunk_id, score: how many of a question's terms the text holds; LIKE wildcards have no meaning.
 
     A term of three words or more holds a whole word of every text that it is part of, so candidates are found by the
-    longest such word. Shorter terms have none and are tried on each text; a question's terms travel as one array row.
+    longest such word. Those of shorter terms are found by their rarest runs of three characters. Only candidates are read.
     """
     low = chunks.select("chunk_id", F.lower("content").alias("low"))
     terms = asked.select("query_id", F.lower("term").alias("term")).distinct()
     inner = F.slice(F.split("term", " "), 2, F.greatest(F.size(F.split("term", " ")) - 2, F.lit(0)))
     terms = terms.withColumn("word", F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"])
-    whole = F.length("word") > 0
-    keyed = terms.where(whole)
-    seen = low.select("chunk_id", F.explode(F.array_distinct(F.split("low", " "))).alias("word")).join(keyed, "word").select("query_id", "term", "chunk_id")
-    found = seen.join(low, "chunk_id").where(F.contains("low", F.col("term"))).groupBy("query_id", "chunk_id").agg(F.count("*").alias("score"))
-    lists = terms.where(~F.coalesce(whole, F.lit(False))).groupBy("query_id").agg(F.array_sort(F.collect_set("term")).alias("terms"))  # a question's terms
-    hits = F.size(F.filter("terms", lambda t: F.contains(F.col("low"), t)))
-    tried = low.join(lists, F.exists("terms", lambda t: F.contains(F.col("low"), t))).select("query_id", "chunk_id", hits.cast("long").alias("score"))
-    return found.unionByName(tried).groupBy("query_id", "chunk_id").agg(F.sum("score").alias("score"))
+    whole = F.coalesce(F.length("word") > 0, F.lit(False))
+    seen = low.select("chunk_id", F.explode(F.array_distinct(F.split("low", " "))).alias("word")).join(terms.where(whole), "word").select("query_id", "term", "chunk_id")
+    short = terms.where(~whole).select("query_id", "term")
+    met = short.join(gram_candidates(short, low), "term").select("query_id", "term", "chunk_id")
+    found = seen.unionByName(met).join(low, "chunk_id").where(F.contains("low", F.col("term")))
+    return found.groupBy("query_id", "chunk_id").agg(F.count("*").alias("score"))
 
 
 def substring_search(asked: DataFrame, chunks: DataFrame, k: int = SETTINGS.keyword_candidates) -> DataFrame:
@@ -190,6 +216,10 @@ def metadata_search(hints: DataFrame, chunks: DataFrame, k: int = SETTINGS.metad
     """hints (query_id, hint): chunks whose vendor, product or domain (JSON `meta`) holds a hint; all score 1."""
     fields = [F.lower(F.coalesce(F.get_json_object("meta", f"$.{f}"), F.lit(""))) for f in ("vendor", "product", "domain")]
     flat = chunks.select("chunk_id", *[f.alias(f"f{i}") for i, f in enumerate(fields)])
-    match = F.contains("f0", F.col("hint")) | F.contains("f1", F.col("hint")) | F.contains("f2", F.col("hint"))
-    found = flat.join(hints.select("query_id", F.lower("hint").alias("hint")).distinct(), match).select("query_id", "chunk_id", F.lit(1.0).alias("score")).distinct()
+    # Hints meet each combination of values once, of which there are few; chunks then join by their values.
+    names = [f"f{i}" for i in range(len(fields))]
+    values = flat.select(*names).distinct()
+    match = reduce(lambda a, b: a | b, [F.contains(n, F.col("hint")) for n in names])
+    met = values.join(hints.select("query_id", F.lower("hint").alias("hint")).distinct(), match).select("query_id", *names).distinct()
+    found = flat.join(met, names).select("query_id", "chunk_id", F.lit(1.0).alias("score"))
     return top_ranked(found, k)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.operators import index, store
+from lodestone.operators import index, knn, store
 from lodestone.plans.registry import query
 from lodestone.plans.search_queries import DOC_TOKENS, PHRASES, RANK, SCORES, _phrases
 from lodestone.sources.tables import chunks, questions, table
@@ -58,7 +58,7 @@ WITH d AS (SELECT doc_id, doc_id % 2 AS batch, lang, source, sha256(text) AS fp,
 u AS (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY lang, fp ORDER BY batch, doc_id) = 1),
 f AS (SELECT *, max(doc_id) OVER (PARTITION BY lang, source, batch) AS own, max(CASE WHEN batch = 1 THEN doc_id END) OVER (PARTITION BY lang, source) AS later FROM u),
 s AS (SELECT *, CASE WHEN doc_id <> own THEN own WHEN batch = 0 THEN later END AS superseded_by FROM f)
-SELECT doc_id AS document_id, lang AS owner_id, source AS family, CASE WHEN superseded_by IS NULL THEN 'active' ELSE 'superseded' END AS status, superseded_by, superseded_by IS NULL AS is_active, chars, CAST(2 AS BIGINT) AS at_version FROM s"""
+SELECT doc_id AS document_id, lang AS owner_id, source AS family, CASE WHEN superseded_by IS NULL THEN 'active' ELSE 'superseded' END AS status, coalesce(superseded_by, -1) AS superseded_by, superseded_by IS NULL AS is_active, chars, CAST(2 AS BIGINT) AS at_version FROM s"""
 
 
 @query(STORE_COMMIT)
@@ -78,4 +78,26 @@ def store_commit(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = now.read("chunks").groupBy("document_id").agg(F.sum(F.length("content").cast("long")).alias("chars"))
     versions = now.read("versions").select("document_id", "is_active")
     rows = now.read("documents").join(versions, "document_id").join(text, "document_id", "left")
-    return rows.select("document_id", "owner_id", "family", "status", "superseded_by", "is_active", "chars", F.lit(now.version).cast("long").alias("at_version"))
+    return rows.select("document_id", "owner_id", "family", "status", F.coalesce("superseded_by", F.lit(-1).cast("long")).alias("superseded_by"), "is_active", "chars", F.lit(now.version).cast("long").alias("at_version"))
+
+
+VECTOR_ACTIVE = """
+WITH cur AS (SELECT doc_id, source FROM documents QUALIFY doc_id = max(doc_id) OVER (PARTITION BY lang, sha256(text))),
+v AS (SELECT vec_id, source, CAST(embedding AS DOUBLE[]) AS e FROM embeddings JOIN cur ON doc_id = vec_id),
+q AS (SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS qe, CASE vec_id % 3 WHEN 0 THEN ['src1', 'src3', 'src5', 'src7'] END AS allowed, CASE vec_id % 3 WHEN 1 THEN ['src0', 'src2'] END AS banned FROM embeddings WHERE vec_id % 25 = 0),
+s AS (SELECT query_id, vec_id AS chunk_id, round(1 - list_cosine_similarity(qe, e), 6) + 0.0 AS score FROM q JOIN v ON (allowed IS NULL OR list_contains(allowed, source)) AND (banned IS NULL OR NOT list_contains(banned, source)))
+SELECT query_id, chunk_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score, chunk_id) AS INTEGER) AS rank FROM s QUALIFY rank <= 25"""
+
+
+@query(VECTOR_ACTIVE)
+def vector_active_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vector i stands for document i. Only the newest of equal texts of a language is active; a third of the questions allow four sources only, a third exclude two."""
+    e = table(spark, sf_dir, "embeddings")
+    d = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", F.sha2("text", 256).alias("fingerprint"))
+    newest = d.groupBy("lang", "fingerprint").agg(F.max("doc_id").alias("document_id"))
+    documents = newest.select("document_id", F.lit("active").alias("status"), F.col("document_id").alias("current_version_id"))
+    own = d.select(F.col("doc_id").alias("chunk_id"), F.col("doc_id").alias("document_id"), F.col("doc_id").alias("version_id"), F.col("source").alias("file_id"))
+    versions = d.select(F.col("doc_id").alias("version_id"), F.lit(True).alias("is_active"))
+    rows = store.searchable(e.select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("v")), own, documents, versions)
+    asks = e.where("vec_id % 25 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("v"), F.when(F.col("vec_id") % 3 == 0, F.array(*[F.lit(f"src{i}") for i in (1, 3, 5, 7)])).alias("only"), F.when(F.col("vec_id") % 3 == 1, F.array(F.lit("src0"), F.lit("src2"))).alias("never"))
+    return knn.nearest(asks, knn.build(rows.select("chunk_id", "file_id", "v"), 64, pivots=32))

@@ -9,7 +9,9 @@ from lodestone.config import HALLUCINATION_PHRASES, REFUSAL_PHRASES, STOP_CONFID
 from lodestone.operators import rules, validate
 from lodestone.plans.registry import query
 from lodestone.plans.search_queries import TOKENS, sql_list
+from lodestone.sources import readers
 from lodestone.sources.tables import EXCHANGES, exchanges, messages, questions, table
+from lodestone.sources.versioned import shared_folder
 
 
 def _lit(s: str) -> str:
@@ -159,20 +161,34 @@ def validation_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
     return validate.validate(_cases(spark, sf_dir)).select("case_id", "verdict", "passed", F.round("final_confidence", 6).alias("final_confidence"))
 
 
-SUITE = "cases AS (SELECT *, 0.0::DOUBLE AS top_score, false AS superseded FROM (VALUES " + ", ".join(f"({i}, {_lit(q)}, {_lit(a)}, {_lit(c)}, {str(p).lower()}, {_lit(x)})" for i, q, a, c, p, x in validate.EVAL_CASES) + ") t(case_id, q, answer, ctx, expected_pass, expected_issue))"
+#: Every exchange as a case; what is expected of it is made from its id.
+SUITE = f"{EXCHANGES}, cases AS (SELECT case_id, q, answer, ctx, case_id % 3 <> 0 AS expected_pass, CASE WHEN case_id % 3 = 0 AND case_id % 4 = 0 THEN 'grounding' ELSE '' END AS expected_issue, 0.0::DOUBLE AS top_score, false AS superseded FROM exchanges)"
 CORRECT = "(verdict = 'pass') = expected_pass AND (expected_issue = '' OR contains(concat_ws('; ', CASE WHEN len(fabricated) > 0 THEN 'fabricated specifics' END, CASE WHEN grounding < 0.25 THEN 'grounding below threshold' END), expected_issue))"
 
 
 @query(f"WITH {SUITE}, {VALID} SELECT case_id, round(confidence, 6) AS confidence, round(grounding, 6) AS grounding, verdict = 'pass' AS passed, expected_pass, {CORRECT} AS correct FROM v4")
 def eval_suite(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return validate.run_suite(validate.eval_cases(spark)).select("case_id", F.round("confidence", 6).alias("confidence"), F.round("grounding", 6).alias("grounding"), "passed", "expected_pass", "correct")
+    return _suite(spark, sf_dir).select("case_id", F.round("confidence", 6).alias("confidence"), F.round("grounding", 6).alias("grounding"), "passed", "expected_pass", "correct")
 
 
-@query(f"WITH {SUITE}, {VALID} SELECT CAST(count(*) AS BIGINT) AS cases, CAST(sum(CAST({CORRECT} AS INTEGER)) AS BIGINT) AS correct, round(avg(CAST({CORRECT} AS INTEGER)), 6) AS accuracy FROM v4")
+def _suite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("case_id")
+    cases = exchanges(spark, sf_dir).withColumns({"expected_pass": k % 3 != 0, "expected_issue": F.when((k % 3 == 0) & (k % 4 == 0), "grounding").otherwise("")})
+    return validate.run_suite(cases)
+
+
+@query(f"WITH {SUITE}, {VALID} SELECT CAST(count(*) AS BIGINT) AS cases, CAST(sum(CAST({CORRECT} AS INTEGER)) AS BIGINT) AS correct, round(avg(CAST({CORRECT} AS INTEGER)), 6) AS accuracy, CAST(count(*) FILTER (WHERE case_id % 10 = 1) AS BIGINT) AS broken FROM v4")
 def eval_log_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = validate.run_suite(validate.eval_cases(spark))
-    ok = F.col("correct").cast("int")
-    return df.agg(F.count("*").alias("cases"), F.sum(ok).alias("correct"), F.round(F.avg(ok), 6).alias("accuracy"))
+    """Every exchange is validated and logged, by a run that is written twice; lines of another writer, some of them broken off or blank, lie between. Accuracy is that of the records read back."""
+    path = shared_folder(spark, "eval-log")
+    done = _suite(spark, sf_dir)
+    records = done.select(F.col("q").alias("query"), "answer", F.col("final_confidence").alias("confidence"), "passed", F.split("issues", "; ").alias("issues"), F.when(F.col("correct"), "right").otherwise("wrong").alias("model"))
+    for _ in range(2):
+        readers.write_eval_log(records, path, run="one")
+    rest = exchanges(spark, sf_dir).where("case_id % 10 = 1").select(F.explode(F.array(F.lit('{"query": "broken off'), F.lit("  "))).alias("value"))
+    rest.write.text(f"{path}/run=two")
+    log = readers.scan_eval_log(spark, path).select((F.col("model") == "right").cast("int").alias("ok"), F.col("broken").isNotNull().cast("long").alias("broken"))
+    return log.agg(F.sum(1 - F.col("broken")).alias("cases"), F.sum("ok").alias("correct"), F.round(F.avg("ok"), 6).alias("accuracy"), F.sum("broken").alias("broken"))
 
 
 @query(f"WITH {CASES}, {VALID} SELECT bucket, CAST(count(*) AS BIGINT) AS cases FROM (SELECT CASE WHEN round(confidence, 9) >= 0.8 THEN 'High' WHEN round(confidence, 9) >= 0.6 THEN 'Good' WHEN round(confidence, 9) >= 0.4 THEN 'Medium' ELSE 'Low' END AS bucket FROM v3) GROUP BY bucket")

@@ -99,7 +99,18 @@ def model_grades(spark: SparkSession, sf_dir: str) -> DataFrame:
 def json_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
     body = F.format_string('{"n": %s, "s": "} \\" {", "o": {}}', F.col("doc_id").cast("string"))
     raw = _by_id(F.col("doc_id") % 5, body, F.concat(F.lit("```json\n"), body, F.lit("\n```")), F.concat(F.lit("Here: "), body, F.lit(" and {more}")), F.lit(" none "), F.format_string('x {"open": {"n": %s', F.col("doc_id").cast("string")))
-    return table(spark, sf_dir, "labels").select("doc_id", fn.json_object_udf()(raw).alias("found"))
+    return table(spark, sf_dir, "labels").select("doc_id", fn.json_object(raw).alias("found"))
+
+
+@query("""WITH r AS (SELECT doc_id, doc_id % 6 AS k, CASE WHEN quality = 0 THEN 'max_tokens' ELSE 'end_turn' END AS stop FROM labels)
+SELECT doc_id, CASE k WHEN 0 THEN '{"n": ' || doc_id || '}' WHEN 1 THEN CASE WHEN stop <> 'max_tokens' THEN '{"open": {"n": ' || doc_id || '}}' END WHEN 2 THEN NULL
+  WHEN 3 THEN NULL WHEN 4 THEN NULL ELSE '{"a": "x} y"}' END AS mended FROM r""")
+def json_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers that are whole, cut off inside an object, cut off after a string with a brace (braces are counted plainly, so it stays invalid), cut off inside a string, without an object, and with words after it; quality 0 = cut off at the most tokens."""
+    n = F.col("doc_id").cast("string")
+    raw = _by_id(F.col("doc_id") % 6, F.format_string('Here: {"n": %s} end', n), F.format_string('{"open": {"n": %s', n), F.lit('{"a": "b", "l": {"x": "}"'), F.lit('{"a": "x} y'), F.lit(" none "), F.lit('```json\n{"a": "x} y"} {"b": 1}\n```'))
+    stop = F.when(F.col("quality") == 0, "max_tokens").otherwise("end_turn")
+    return table(spark, sf_dir, "labels").select("doc_id", fn.json_repaired(raw, stop).alias("mended"))
 
 
 @query("SELECT p_partkey AS id, p_brand || '/X|' || p_type || '/X|' || p_brand || '/Y' AS entities FROM part")

@@ -63,11 +63,24 @@ def read_docx(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select(F.col("_metadata.file_name").alias("name"), "content").mapInPandas(paragraphs, "name string, order int, style string, text string")
 
 
-def write_eval_log(df: DataFrame, path: str, answer_chars: int = 1000) -> None:
-    """Append records as JSON lines, answers cut."""
-    df.withColumn("answer", F.substring("answer", 1, answer_chars)).write.mode("append").json(path)
+def write_eval_log(df: DataFrame, path: str, answer_chars: int = 1000, run: str | None = None) -> None:
+    """Append records as JSON lines, answers cut. With `run` they lie in a folder of that run, and writing the run again replaces them."""
+    out = df.withColumn("answer", F.substring("answer", 1, answer_chars)).write
+    out.mode("append").json(path) if run is None else out.mode("overwrite").json(f"{path}/run={run}")
+
+
+def scan_eval_log(spark: SparkSession, path: str) -> DataFrame:
+    """The records of a JSON-lines log of any number of runs, plus broken: the line that is no record, else null. Blank lines count as nothing; a log that is not there is empty."""
+    from lodestone.sources.versioned import Files
+
+    files = Files(spark, path)
+    if not files.fs.exists(files.path(path)):
+        return spark.createDataFrame([], f"{EVAL_SCHEMA}, broken string")
+    lines = spark.read.option("recursiveFileLookup", True).text(path).where(F.length(F.trim("value")) > 0)
+    told = F.from_json("value", f"{EVAL_SCHEMA}, broken string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "broken"})
+    return lines.select(told.alias("r")).select("r.*")
 
 
 def read_eval_log(spark: SparkSession, path: str) -> DataFrame:
     """Records of a JSON-lines log; blank and broken lines are dropped."""
-    return spark.read.schema(EVAL_SCHEMA).option("mode", "DROPMALFORMED").json(path)
+    return scan_eval_log(spark, path).where("broken is null").drop("broken")

@@ -180,7 +180,7 @@ def test_streams(spark, tmp_path):
 
 def test_json_of_answers(spark):
     raws = ['{"a": {"b": "}"}} x', '```json\n{"a": 1}\n```', "none", 'x {"a": "\\"}"', None, '{"a": "b\\" }", "c": {}}', ""]
-    got = col(spark, raws, fn.json_object_udf())
+    got = col(spark, raws, fn.json_object)
     assert got == ['{"a": {"b": "}"}}', '{"a": 1}', "none", '{"a": "\\"}"', "", '{"a": "b\\" }", "c": {}}', ""]
     g = col(spark, ['[{"chunk": 1, "score": 8}]', "```json\n[{\"chunk\": 2}]\n``` [", "] [", None], fn.grades)
     assert [None if x is None else [tuple(y) for y in x] for x in g] == [[(1, 8.0)], [(2, None)], None, None]
@@ -266,3 +266,78 @@ def test_text_windows_equal_loop(spark):
         for r in parse.text_windows(spark.createDataFrame(rows, "doc_id int, line_no long, line string"), size, most, overlap).orderBy("doc_id", "window_no").collect():
             got.setdefault(r.doc_id, []).append(r.text)
         assert got == {d: loop(ls, size, most, overlap) for d, ls in docs.items()}
+
+
+def test_json_that_was_cut_off(spark):
+    raws = ['{"a": "x} y', '{"a": {"b": [1, 2', '{"a": [1, {"b": 2', '{"a": 1}', 'x {"a": "\\\\"} }', None, '{"a": "\\', "{" * 3]
+    assert col(spark, raws, fn.json_object) == ['{"a": "x} y', '{"a": {"b": [1, 2', '{"a": [1, {"b": 2', '{"a": 1}', '{"a": "\\\\"}', "", '{"a": "\\', "{{{"]
+    # closers are counted plainly and braces come before brackets, so an open list inside an object stays broken
+    assert col(spark, raws, lambda c: fn.json_repaired(c, F.lit("end_turn"))) == [None, None, None, '{"a": 1}', '{"a": "\\\\"}', None, None, None]
+    assert col(spark, ['{"a": {"b": 1', '{"a": 1}'], lambda c: fn.json_repaired(c, F.lit("end_turn"))) == ['{"a": {"b": 1}}', '{"a": 1}']
+    assert col(spark, ['{"a": {"b": 1', '{"a": 1}'], lambda c: fn.json_repaired(c, F.lit("max_tokens"))) == [None, '{"a": 1}']
+
+
+def test_grades_by_place(spark):
+    fused = spark.createDataFrame([(q, 10 * q + r, 0.05 - r / 1000, r) for q in (1, 2, 3) for r in range(1, 5)] + [(4, 99, 0.01, 1)], "query_id long, chunk_id long, score double, rank int")
+    answers = spark.createDataFrame([(1, '[{"chunk": 4, "score": 9}, {"chunk": 7, "score": 10}, {"chunk": 0, "score": 10}, {"chunk": 4, "score": 1}, {"chunk": 2}]'), (2, "cannot say"), (4, '[{"chunk": 1, "score": 1}]')], "query_id long, raw string")
+    got = {}
+    for r in fusion.rerank_by_place(fused, answers, k=6).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.chunk_id, round(r.score, 6)))
+    blend = lambda grade, rank: round(grade / 10 * 0.7 + (0.05 - rank / 1000) * 9, 6)
+    assert got[1] == sorted([(14, blend(9, 4)), (14, blend(1, 4)), (12, blend(0, 2)), (11, 0.049), (13, 0.047)], key=lambda x: -x[1])
+    assert [c for c, _ in got[2]] == [21, 22, 23, 24] and [c for c, _ in got[3]] == [31, 32, 33, 34] and got[4] == [(99, 0.01)]
+
+
+def test_substrings_by_runs_of_three(spark):
+    import random
+
+    rng = random.Random(2)
+    texts = ["".join(rng.choice("aB1.-é ") for _ in range(rng.randrange(0, 60))) for _ in range(120)] + [None, "", "10.0.0.1", "x\n10.0.0.1"]
+    terms = ["a", "1.", "b1.", "10.0.0.1", "É-", "zzz", "", "a b", "b a b", "1-1-1", "0.0"]
+    chunks = spark.createDataFrame(list(enumerate(texts)), "chunk_id long, content string")
+    asked = spark.createDataFrame([(q, t) for q in (1, 2) for t in terms[q:]], "query_id long, term string")
+    got = {(r.query_id, r.chunk_id): r.score for r in search.term_hits(asked, chunks).collect()}
+    want = {(q, i): n for q in (1, 2) for i, t in enumerate(texts) if (n := sum(x != "" and x.lower() in (t or "").lower() for x in set(terms[q:])))}
+    assert got == want
+    assert "NestedLoop" not in search.term_hits(asked, chunks)._jdf.queryExecution().toString()
+
+
+def test_eval_log_of_two_runs(spark, tmp_path):
+    p = str(tmp_path / "log")
+    assert readers.read_eval_log(spark, p).count() == 0  # not there yet
+    rows = spark.createDataFrame([(f"q{i}", "a", 0.5, True, ["x"], "m") for i in range(5)], readers.EVAL_SCHEMA)
+    for _ in range(2):
+        readers.write_eval_log(rows, p, run="r1")  # a run that is written again replaces itself
+    readers.write_eval_log(rows.limit(1), p, run="r2")
+    (tmp_path / "log" / "run=r2" / "other.json").write_text('\n{"query": \nnot json\n   \n')
+    log = readers.scan_eval_log(spark, p)
+    assert log.where("broken is null").count() == 6 and {r.broken for r in log.where("broken is not null").collect()} == {'{"query": ', "not json"}
+    assert readers.read_eval_log(spark, p).columns == rows.columns
+
+
+def test_nearest_skips_blocks_without_loss(spark):
+    import numpy as np
+
+    from lodestone.operators import knn
+
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(20, 16)) * 5
+    x = np.concatenate([c + rng.normal(size=(60, 16)) * 0.3 for c in centres])
+    x[7] = x[8]
+    vectors = spark.createDataFrame([(i, f"f{i % 7}", v.tolist()) for i, v in enumerate(x)] + [(5000, "f1", None), (5001, "f1", [0.0] * 16), (5002, "f1", [1.0]), (5003, "f1", [float("nan")] * 16)], "chunk_id long, file_id string, v array<double>")
+    asked = [(i, x[i * 50].tolist(), ["f1", "f2"] if i % 3 == 0 else None, ["f3"] if i % 3 == 1 else None) for i in range(24)]
+    queries = spark.createDataFrame([*asked, (100, [1.0] * 16, ["none"], None), (101, None, None, None)], "query_id long, v array<double>, only array<string>, never array<string>")
+    for metric in ("cosine", "l2"):
+        blocks = knn.build(vectors, 16, metric, pivots=30, row_block=25)
+        got = {}
+        for r in knn.nearest(queries, blocks, k=10, query_block=7).orderBy("query_id", "rank").collect():
+            got.setdefault(r.query_id, []).append((r.chunk_id, r.score))
+        for q, v, only, never in asked:
+            d = search._distances(np.array([v]), x, metric)[0]
+            may = [i for i in range(len(x)) if (only is None or f"f{i % 7}" in only) and (never is None or f"f{i % 7}" not in never)]
+            assert got[q] == [(i, d[i]) for i in sorted(may, key=lambda i: (d[i], i))[:10]]
+        assert set(got) == set(range(24))
+        plain = queries.where("only is null and v is not null").withColumn("far", F.lit(0.05 if metric == "cosine" else 1.0))
+        visited = knn.visits(plain, blocks.at, 10, False).count() + knn.visits(plain, blocks.at, 10, True).count()
+        assert visited < 0.3 * plain.count() * int(blocks.at.subs.sum())  # most blocks are never visited
+    assert knn.nearest(queries, knn.build(vectors.limit(0), 16)).count() == 0
