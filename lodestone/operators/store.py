@@ -196,3 +196,12 @@ def insert_documents(tables, new: DataFrame) -> int:
             known = known.unionByName(tx.base.read("versions").select("document_id", "owner_id", "fingerprint"))
         tx.merge("versions", known.join(changed, "document_id"), keys=("document_id",))
     return tx.version
+
+
+def remove_documents(tables, gone: DataFrame, names: list[str], key: str = "document_id") -> int:
+    """Remove the rows of the documents in `gone` from all the named tables of a versioned.TableSet in one commit; returns the version."""
+    with tables.transaction() as tx:
+        left = delete_documents(gone, key, **{n: tx.base.read(n) for n in names})
+        for name, df in left.items():
+            tx.replace(name, df, by=tuple(tx.base.tables[name]["by"]))
+    return tx.version

@@ -11,6 +11,7 @@ from lodestone.functions.text import terms, tokens, truncate
 from lodestone.operators import context, fusion, rules, search
 from lodestone.plans.registry import query
 from lodestone.sources.tables import chunks, messages, questions, table
+from lodestone.sources.versioned import settle
 
 TOKENS = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}_]+')"
 
@@ -258,7 +259,7 @@ def rerank_by_place(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("query_id")
     body = F.format_string('Grades: [{"chunk": 2, "score": 9}, {"chunk": %s, "score": %s}, {"score": 10}, {"chunk": 1, "score": 4.5}, {"chunk": 2, "score": 3}]', (k % 20).cast("string"), (k % 11).cast("string"))
     answers = questions(spark, sf_dir).select("query_id", F.when(k % 7 == 0, "no list").otherwise(body).alias("raw"))
-    return fusion.rerank_by_place(_fused(spark, sf_dir), answers)
+    return fusion.rerank_by_place(settle(_fused(spark, sf_dir), "fused"), answers)
 
 
 @query(f"WITH {EVERY} SELECT query_id, chunk_id, score, rank FROM fused WHERE rank <= 6")
