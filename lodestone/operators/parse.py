@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -102,16 +104,54 @@ def chunk_type(heading: Column, section_type: Column, types: Column) -> Column:
     )
 
 
-def _split_points(lengths: Column, most: int, least: int) -> Column:
-    """Group number of each block of a section: a new group where a block would pass `most` characters and the group has `least`."""
-    start = F.struct(F.lit(0).cast("long").alias("chars"), F.lit(0).alias("g"), F.array().cast("array<int>").alias("out"))
+def section_breaks(lengths: np.ndarray, most: int, least: int) -> np.ndarray:
+    """Group number of each block of a section: a new group where a block would pass `most` characters and the group has `least`.
 
-    def step(acc: Column, n: Column) -> Column:
-        new = (acc["chars"] + n > most) & (acc["chars"] >= least)
-        g = acc["g"] + new.cast("int")
-        return F.struct((F.when(new, F.lit(0).cast("long")).otherwise(acc["chars"]) + n + 2).alias("chars"), g.alias("g"), F.concat(acc["out"], F.array(g)).alias("out"))
-
-    return F.aggregate(lengths, start, step, lambda acc: acc["out"])
+    Characters before a block grow along a group, so its end is the first place where both hold, found by two searches in
+    the prefix sums: as many steps as there are groups, not blocks.
+    """
+    before = np.concatenate([[0], np.cumsum(lengths + 2)])
+    ends, g, first = before[1:] - 2, np.zeros(len(lengths), np.int32), 0
+    while first < len(lengths):
+        past = max(np.searchsorted(ends, before[first] + most, "right"), np.searchsorted(before[:-1], before[first] + least, "left"), first)
+        g[past:] += 1
+        if past == first:  # only where least is 0
+            past = max(np.searchsorted(ends, before[first] + most, "right"), first + 1)
+            g[past:] += past < len(g)
+        first = past
+    return g
+
+
+def window_runs(lengths: np.ndarray, size: int, most: int, overlap: int) -> list[tuple[int, int]]:
+    """(first, last) of each run of lines; a run ends by the first of two bounds, one of them found in the prefix sums."""
+    before, n, out, first, begun = np.concatenate([[0], np.cumsum(lengths)]), len(lengths), [], 0, 0
+    while first < n:
+        # `begun` lines of the run were handed over by the one before; a run ends with a line of its own
+        last = min(first + size - 1, int(np.searchsorted(before[1:], before[first] + most, "left")))
+        last = max(last, first + begun)
+        if last >= n:
+            out.append((first, n - 1))
+            break
+        out.append((first, last))
+        keeps = last - first + 1 > overlap
+        first, begun = (last - overlap + 1, overlap) if keeps else (last + 1, 0)
+    return out
+
+
+def _group_udf(most: int, least: int):
+    @F.pandas_udf("array<int>")
+    def groups(lengths: pd.Series) -> pd.Series:
+        return lengths.map(lambda x: section_breaks(np.asarray(x, np.int64), most, least))
+
+    return groups
+
+
+def _run_udf(size: int, most: int, overlap: int):
+    @F.pandas_udf("array<struct<first:int,last:int>>")
+    def runs(lengths: pd.Series) -> pd.Series:
+        return lengths.map(lambda x: [{"first": a, "last": z} for a, z in window_runs(np.asarray(x, np.int64), size, most, overlap)])
+
+    return runs
 
 
 def build_chunks(block_rows: DataFrame, most: int | None = S.chunk_max_chars, least: int = S.chunk_min_chars) -> DataFrame:
@@ -122,17 +162,20 @@ def build_chunks(block_rows: DataFrame, most: int | None = S.chunk_max_chars, le
     """
     w = Window.partitionBy("doc_id").orderBy("block_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = block_rows.withColumn("part", F.sum((F.col("type") == "heading").cast("int")).over(w)).where("type != 'heading'")
-    items = F.array_sort(F.collect_list(F.struct("block_no", "type", "text")))
-    per = rows.groupBy("doc_id", "part").agg(items.alias("items"), F.max("heading").alias("heading"))
+    heading = rows.groupBy("doc_id", "part").agg(F.max("heading").alias("heading"))
     if most is None:
-        groups = F.transform("items", lambda x: F.lit(0))
+        rows = rows.withColumn("g", F.lit(0))
     else:
-        groups = _split_points(F.transform("items", lambda x: F.length(x["text"]).cast("long")), max(most, 6000), least)
-    per = per.withColumn("items", F.arrays_zip(F.col("items").alias("b"), groups.alias("g")))
-    per = per.select("doc_id", "part", "heading", "items", F.explode(F.array_distinct(F.transform("items", lambda x: x["g"]))).alias("g"))
-    own = F.filter("items", lambda x: x["g"] == F.col("g"))
-    body = F.array_join(F.transform(own, lambda x: x["b"]["text"]), "\n\n")
-    per = per.select("doc_id", "part", "g", "heading", F.regexp_replace(body, r"^\s+|\s+$", "").alias("body"), F.transform(own, lambda x: x["b"]["type"]).alias("types")).where("body != ''")
+        # Only the lengths of a section come together; its texts stay rows.
+        order = F.row_number().over(Window.partitionBy("doc_id", "part").orderBy("block_no")) - 1
+        rows = rows.withColumn("place", order)
+        sized = rows.groupBy("doc_id", "part").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", F.length("text").cast("long").alias("n")))), lambda x: x["n"]).alias("ns"))
+        told = sized.where(F.size("ns") > 1).select("doc_id", "part", F.posexplode(_group_udf(max(most, 6000), least)("ns")).alias("place", "g"))
+        rows = rows.join(told, ["doc_id", "part", "place"], "left").withColumn("g", F.coalesce("g", F.lit(0)))
+    own = F.array_sort(F.collect_list(F.struct("block_no", "type", "text")))
+    per = rows.groupBy("doc_id", "part", "g").agg(own.alias("items")).join(heading, ["doc_id", "part"])
+    body = F.array_join(F.transform("items", lambda x: x["text"]), "\n\n")
+    per = per.select("doc_id", "part", "g", "heading", F.regexp_replace(body, r"^\s+|\s+$", "").alias("body"), F.transform("items", lambda x: x["type"]).alias("types")).where("body != ''")
     text = F.when(F.length(F.coalesce("heading", F.lit(""))) > 0, F.concat(F.lit("["), F.col("heading"), F.lit("]\n\n"), F.col("body"))).otherwise(F.col("body"))
     per = match_section(per)
     n = F.row_number().over(Window.partitionBy("doc_id").orderBy("part", "g")) - 1
@@ -155,30 +198,17 @@ def text_windows(lines: DataFrame, size: int = 80, most: int = 6000, overlap: in
 
     A run of more than `overlap` lines gives its last ones to the next run; a shorter one gives none. What is left at the
     end is a run too, also where it only repeats lines. doc_id, window_no, first_line, lines, text; null lines are empty.
-    Where a run ends depends on all runs before it, so one document's lines are folded in one row.
+    Where a run ends depends on all runs before it, so the lengths of a document's lines come together, and only they.
     """
-    rows = lines.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("line_no", F.coalesce("line", F.lit("")).alias("line")))).alias("ls"))
-    size_of = F.transform("ls", lambda x, i: (F.length(x["line"]) + (i < F.size("ls") - 1).cast("int")).cast("long"))
-    rows = rows.withColumn("ns", size_of)
-    run = lambda first, last: F.struct(first.cast("int").alias("first"), last.cast("int").alias("last"))
-    start = F.struct(F.lit(0).alias("i"), F.lit(0).alias("first"), F.lit(0).cast("long").alias("chars"), F.array().cast("array<struct<first:int,last:int>>").alias("out"))
-
-    def step(acc: Column, n: Column) -> Column:
-        i, count, chars = acc["i"], acc["i"] - acc["first"] + 1, acc["chars"] + n
-        full = (count >= size) | (chars >= most)
-        keeps = full & (count > overlap)
-        kept = F.aggregate(F.slice("ns", i - overlap + 2, F.lit(overlap)), F.lit(0).cast("long"), lambda a, x: a + x) if overlap else F.lit(0).cast("long")
-        first = F.when(keeps, i - overlap + 1).when(full, i + 1).otherwise(acc["first"])
-        left = F.when(keeps, kept).when(full, F.lit(0).cast("long")).otherwise(chars)
-        out = F.when(full, F.concat(acc["out"], F.array(run(acc["first"], i)))).otherwise(acc["out"])
-        return F.struct((i + 1).alias("i"), first.cast("int").alias("first"), left.alias("chars"), out.alias("out"))
-
-    last = F.size("ls") - 1
-    ended = F.aggregate("ns", start, step, lambda acc: F.when(acc["first"] <= last, F.concat(acc["out"], F.array(run(acc["first"], last)))).otherwise(acc["out"]))
-    each = rows.select("doc_id", "ls", F.posexplode(ended).alias("window_no", "w"))
-    own = F.slice("ls", F.col("w.first") + 1, F.col("w.last") - F.col("w.first") + 1)
-    first_line = F.get(F.col("ls"), F.col("w.first"))["line_no"]
-    return each.select("doc_id", F.col("window_no").cast("long").alias("window_no"), first_line.alias("first_line"), F.size(own).cast("long").alias("lines"), F.array_join(F.transform(own, lambda x: x["line"]), "\n").alias("text"))
+    placed = lines.select("doc_id", "line_no", F.coalesce("line", F.lit("")).alias("line"), (F.row_number().over(Window.partitionBy("doc_id").orderBy("line_no")) - 1).alias("place"))
+    per = placed.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("place", F.length("line").cast("long").alias("n")))).alias("ls"))
+    sizes = F.transform("ls", lambda x, i: x["n"] + (i < F.size("ls") - 1).cast("long"))
+    runs = per.select("doc_id", F.posexplode(_run_udf(size, most, overlap)(sizes)).alias("window_no", "w"))
+    at = runs.select("doc_id", F.col("window_no").cast("long").alias("window_no"), F.explode(F.sequence("w.first", "w.last")).alias("place"))
+    own = F.array_sort(F.collect_list(F.struct("place", "line_no", "line")))
+    each = at.join(placed, ["doc_id", "place"]).groupBy("doc_id", "window_no").agg(own.alias("ls"))
+    return each.select("doc_id", "window_no", F.get("ls", F.lit(0))["line_no"].alias("first_line"), F.size("ls").cast("long").alias("lines"), F.array_join(F.transform("ls", lambda x: x["line"]), "\n").alias("text"))
+
 
 
 def rollup(chunk_rows: DataFrame) -> DataFrame:

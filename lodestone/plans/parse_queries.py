@@ -62,9 +62,22 @@ def section_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parse.build_chunks(parse.blocks(page_lines(spark, sf_dir)), most=None)
 
 
-@query()
+#: Documents as lines that end at a stop or a bar, every second one a bullet.
+DOC_LINES = """
+dlines AS (SELECT doc_id, string_split(regexp_replace(text, '([.|])\\s', '\\1' || chr(1), 'g'), chr(1)) AS ls FROM documents),
+dsplit AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) - 1 AS line_no FROM dlines),
+page_lines AS (SELECT doc_id, CAST(line_no AS BIGINT) AS line_no, CASE WHEN line_no % 2 = 1 THEN '- ' || line ELSE line END AS line FROM dsplit)"""
+#: The fold itself, block by block.
+FOLD = """
+ci AS (SELECT *, row_number() OVER (PARTITION BY doc_id, part ORDER BY block_no) AS i, CAST(length(text) AS BIGINT) AS n FROM c0 WHERE type <> 'heading'),
+fold AS (SELECT doc_id, part, i, n + 2 AS chars, 0 AS g FROM ci WHERE i = 1 UNION ALL
+  SELECT c.doc_id, c.part, c.i, CASE WHEN f.chars + c.n > 6000 AND f.chars >= 200 THEN 0 ELSE f.chars END + c.n + 2, g + CASE WHEN f.chars + c.n > 6000 AND f.chars >= 200 THEN 1 ELSE 0 END FROM fold f JOIN ci c ON c.doc_id = f.doc_id AND c.part = f.part AND c.i = f.i + 1)"""
+FOLDED = CHUNKS.replace("FROM c0 WHERE type <> 'heading' GROUP BY doc_id, part)", "FROM ci JOIN fold USING (doc_id, part, i) GROUP BY doc_id, part, g)").replace("c1 AS (SELECT doc_id, part,", f"{FOLD.strip()},\nc1 AS (SELECT doc_id, part, g,").replace("ORDER BY part) - 1", "ORDER BY part, g) - 1")
+
+
+@query(f"WITH RECURSIVE {DOC_LINES}, {TYPED}, {BLOCKS}, {FOLDED} SELECT doc_id, chunk_no, heading, section, chunk_type, text, CAST(greatest(1, length(text) // 4) AS INTEGER) AS token_estimate FROM section_chunks")
 def char_fold_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """With splits inside long sections: a fold whose resets depend on what came before (held against a loop in tests)."""
+    """With splits inside long sections, where a new chunk depends on all that came before it."""
     lines = table(spark, sf_dir, "documents").select(F.col("doc_id"), F.posexplode(F.split("text", r"(?<=[.|])\s")).alias("line_no", "line"))
     odd = lines.select("doc_id", F.col("line_no").cast("long").alias("line_no"), F.when(F.col("line_no") % 2 == 1, F.concat(F.lit("- "), "line")).otherwise(F.col("line")).alias("line"))
     return parse.build_chunks(parse.blocks(odd))

@@ -341,3 +341,49 @@ def test_nearest_skips_blocks_without_loss(spark):
         visited = knn.visits(plain, blocks.at, 10, False).count() + knn.visits(plain, blocks.at, 10, True).count()
         assert visited < 0.3 * plain.count() * int(blocks.at.subs.sum())  # most blocks are never visited
     assert knn.nearest(queries, knn.build(vectors.limit(0), 16)).count() == 0
+
+
+def test_segmentation_equals_its_loops_and_is_linear():
+    import random
+    import time
+
+    import numpy as np
+
+    def breaks(ns, most, least):
+        chars, g, out = 0, 0, []
+        for n in ns:
+            if chars + n > most and chars >= least:
+                chars, g = 0, g + 1
+            chars += n + 2
+            out.append(g)
+        return out
+
+    def runs(ns, size, most, overlap):
+        out, held = [], []
+        for i, n in enumerate(ns):
+            held.append(i)
+            if len(held) >= size or sum(ns[j] for j in held) >= most:
+                out.append((held[0], held[-1]))
+                held = held[len(held) - overlap :] if len(held) > overlap else []
+        return out + ([(held[0], held[-1])] if held else [])
+
+    rng = random.Random(6)
+    for _ in range(400):
+        ns = [rng.choice([0, 1, 5, 40, 90]) for _ in range(rng.randrange(0, 60))]
+        for most, least in ((50, 20), (10, 1), (200, 60), (30, 100)):
+            assert parse.section_breaks(np.array(ns, np.int64), most, least).tolist() == breaks(ns, most, least)
+        for size, most, overlap in ((8, 60, 2), (5, 1000, 0), (80, 25, 10), (4, 50, 3)):
+            assert parse.window_runs(np.array(ns, np.int64), size, most, overlap) == runs(ns, size, most, overlap)
+    long = np.array([rng.randrange(0, 120) for _ in range(1_000_000)], np.int64)
+    began = time.time()
+    assert len(parse.window_runs(long, 80, 6000, 10)) > 10_000 and parse.section_breaks(long, 6000, 200)[-1] > 9_000
+    assert time.time() - began < 20
+
+
+def test_a_document_of_many_lines(spark):
+    lines = spark.range(200_000).select(F.lit(1).alias("doc_id"), F.col("id").alias("line_no"), F.concat(F.lit("line "), F.col("id").cast("string")).alias("line"))
+    got = parse.text_windows(lines).agg(F.count("*").alias("n"), F.sum("lines").alias("lines"), F.max("lines").alias("most")).first()
+    assert got.most == 80 and got.lines == 200_000 + (got.n - 1) * 10
+    blocks = lines.select("doc_id", F.col("line_no").alias("block_no"), F.lit("paragraph").alias("type"), F.col("line").alias("text"), F.lit(None).cast("string").alias("heading"))
+    sizes = parse.build_chunks(blocks).agg(F.count("*").alias("n"), F.max(F.length("text")).alias("most")).first()
+    assert sizes.n > 400 and sizes.most <= 6000
