@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Forest, components, settle, spread
+from .common import components, settle, spread
 from .op4_ann import usable
 
 
@@ -71,8 +71,19 @@ def sure_bits(key: np.ndarray, window: int, starts: bool, ends: bool) -> np.ndar
     return 1 + np.maximum(left, right)
 
 
+def unite(own: np.ndarray, x: np.ndarray, y: np.ndarray) -> None:
+    """Join the components of x and y, pair by pair; own: of each item the least of its component, kept so."""
+    while True:
+        a, b = own[x], own[y]
+        if (a == b).all():
+            return
+        np.minimum.at(own, np.maximum(a, b), np.minimum(a, b))
+        while (up := own[own]).tobytes() != own.tobytes():
+            own[:] = up
+
+
 def _window_pairs(ordered: DataFrame, window: int, near: float, one_bit: float) -> DataFrame:
-    """(a, b, null) for pairs within the angle, a forest a task; (node, null, log of the chance that its window missed a partner at the threshold)."""
+    """(a, b, null) for pairs within the angle, of each window step those that join two components of the task; (node, null, log of the chance that its window missed a partner at the threshold)."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(list(batches)) if (batches := list(batches)) else None
@@ -82,18 +93,23 @@ def _window_pairs(ordered: DataFrame, window: int, near: float, one_bit: float)
         p, d, label = t["p"].to_numpy(), t["d"].to_numpy(), t["label"].to_numpy()
         key, node = t["key"].to_numpy(), t["node"].to_numpy()
         change = np.flatnonzero((np.diff(p) != 0) | (np.diff(d) != 0) | (label[1:] != label[:-1])) + 1
-        forest, chance = Forest(), np.zeros(len(p))
+        # Rows of one node stand for it in every pass: components are those of nodes.
+        (_, item), pairs, chance = np.unique(node, return_inverse=True), [], np.zeros(len(p))
+        own = np.arange(int(item.max()) + 1)
         for a, z in zip([0, *change.tolist()], [*change.tolist(), len(p)]):
             v = np.frombuffer(b"".join(t["unit"].slice(a, z - a).to_pylist()), "<f4").reshape(z - a, -1)
             for s in range(1, min(window, z - a - 1) + 1):
-                for i in np.flatnonzero(np.einsum("ij,ij->i", v[s:], v[:-s]) >= near).tolist():
-                    forest.join(int(node[a + i]), int(node[a + i + s]))
+                i = a + np.flatnonzero(np.einsum("ij,ij->i", v[s:], v[:-s]) >= near)
+                i = i[own[item[i]] != own[item[i + s]]]
+                if len(i):
+                    pairs.append(np.stack([node[i], node[i + s]]))
+                    unite(own, item[i], item[i + s])
             bits = sure_bits(key[a:z], window, a > 0, z < len(p))
             chance[a:z] = np.where(bits > 64, 0.0, np.log1p(-np.minimum(one_bit ** bits.astype(float), 1 - 1e-12)))
-        a, b = zip(*forest.pairs) if forest.pairs else ((), ())
+        a, b = np.concatenate(pairs, axis=1) if pairs else ((), ())
         none = pa.nulls(len(node))
         yield pa.RecordBatch.from_arrays([t["node"].combine_chunks(), t["label"].combine_chunks(), t["d"].combine_chunks(), none.cast(pa.int64()), pa.array(chance)], names=names)
-        if a:
+        if len(a):
             none = pa.nulls(len(a))
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), none.cast(pa.string()), none.cast(pa.int32()), pa.array(b, pa.int64()), none.cast(pa.float64())], names=names)
 
@@ -161,7 +177,7 @@ def _block_links(members: DataFrame, cosine: float) -> DataFrame:
     """
 
     def task(t: pa.Table) -> pa.Table:
-        forest, nodes, links = Forest(), [], []
+        pairs, nodes, links = [], [], []
         grp = t["grp"].to_numpy()
         order = np.argsort(grp, kind="stable")
         cuts = [0, *(np.flatnonzero(np.diff(grp[order])) + 1).tolist(), len(order)]
@@ -174,7 +190,7 @@ def _block_links(members: DataFrame, cosine: float) -> DataFrame:
             v = v / np.linalg.norm(v, axis=1, keepdims=True)
             left = np.flatnonzero(side != 1)
             right = left if side[0] == 2 else np.flatnonzero(side == 1)
-            both = np.zeros(len(at), np.int64)
+            both, own = np.zeros(len(at), np.int64), np.arange(len(at))  # own: the component of each row so far
             for i in range(0, len(left), 512):
                 some = left[i : i + 512]
                 hit = v[some] @ v[right].T >= cosine
@@ -184,12 +200,15 @@ def _block_links(members: DataFrame, cosine: float) -> DataFrame:
                 if right is not left:
                     both[right] += mult[some] @ hit
                 for x, row in zip(some.tolist(), hit):
-                    for y in right[np.flatnonzero(row)].tolist():
-                        if forest.up.get(int(node[x])) is None or forest.root(int(node[x])) != forest.root(int(node[y])):
-                            forest.join(int(node[x]), int(node[y]))
+                    linked = right[row]
+                    others = own[linked]
+                    # one pair for each component that x joins, however many rows of it are linked
+                    for c in np.unique(others[others != own[x]]).tolist():
+                        pairs.append((int(node[x]), int(node[linked[np.argmax(others == c)]])))
+                        own[own == c] = own[x]
             nodes += node.tolist()
             links += both.tolist()
-        a, b = zip(*forest.pairs) if forest.pairs else ((), ())
+        a, b = zip(*pairs) if pairs else ((), ())
         return pa.table({"a": pa.array([*nodes, *a], pa.int64()), "b": pa.array([None] * len(nodes) + list(b), pa.int64()), "links": pa.array([*links, *[None] * len(a)], pa.int64())})
 
     return members.groupBy("task").applyInArrow(task, "a long, b long, links long")

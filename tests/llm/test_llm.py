@@ -142,6 +142,18 @@ def test_op1_sure_bits_keep_partners_in_the_window(rng):
     assert (op1.sure_bits(key, 8, False, True)[:8] == 65).all() and (op1.sure_bits(key[:5], 8, True, True) == 0).all()
 
 
+def test_op1_large_cluster_takes_seconds(spark):
+    """20,000 near copies: every row links with every other one, which no loop over pairs could count in time."""
+    import time
+
+    rng = np.random.default_rng(3)
+    v = rng.normal(size=16) + rng.normal(size=(20_000, 16)) * 0.01
+    df = spark.createDataFrame([(i, x, 1) for i, x in enumerate(v.tolist())], "vec_id long, embedding array<double>, label int")
+    began = time.time()
+    got = op1.near_duplicate_vectors(df).agg(F.min("n_links").alias("least"), F.max("component_id").alias("c"), F.sum(F.col("kept").cast("int")).alias("kept")).first()
+    assert (got.least, got.c, got.kept) == (19_999, 0, 1) and time.time() - began < 120
+
+
 # -- 2 ----------------------------------------------------------------------------------------------------------------
 def test_op2_ids_are_the_librarys_and_bins_are_gapless(spark, rng):
     from tokenizers import Tokenizer
@@ -214,6 +226,16 @@ def test_op3_counts_are_the_librarys(spark, rng):
     assert op3.token_counts(docs(spark, []), op3.model_path()).count() == 0
 
 
+def test_op3_table_that_is_cleared_inside_a_batch(spark):
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=op3.model_path())
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").orderBy(F.desc("n_chars")).limit(60)
+    got = op3.token_counts(d, op3.model_path(), chunk_chars=5000, table_size=3000).collect()
+    want = {r.doc_id: len(sp.encode(r.text)) for r in d.collect()}
+    assert {r.doc_id: r.n_tokens for r in got} == want
+
+
 # -- 4 ----------------------------------------------------------------------------------------------------------------
 def test_op4_recall_ties_and_odd_vectors(spark, rng):
     v = rng.normal(size=(1500, 24)).astype(np.float32)
@@ -309,6 +331,26 @@ def test_op5_finds_every_form_of_key():
         assert op5.confirmed_spans(plain) == []
 
 
+def test_op4_recall_where_collisions_decide(spark):
+    """Five blocks of 4,096 rows and more; less than 0.3 of a block is verified."""
+    rng = np.random.default_rng(7)
+    v = np.concatenate([rng.normal(size=(10_240, 64)), rng.normal(size=(100, 64))[rng.integers(0, 100, 10_240)] + rng.normal(size=(10_240, 64))])
+    df = spark.createDataFrame(list(enumerate(v.tolist())), "vec_id long, embedding array<double>")
+    by = collections.defaultdict(set)
+    for r in op4.nearest(df, F.col("vec_id") % 200 == 0).collect():
+        by[r.query_id].add(r.vec_id)
+    hit = 0
+    for q, found in by.items():
+        s = v @ v[q]
+        s[q] = -np.inf
+        hit += len(found & set(np.argsort(-s)[:20].tolist()))
+    assert len(by) == 103 and hit / (20 * len(by)) >= 0.95
+    top = np.linalg.norm(v, axis=1).max()
+    index = op4.CollisionIndex(v[::5], top, 128, 4)
+    asked = v[:2000:100] * (top / np.linalg.norm(v[:2000:100], axis=1))[:, None]
+    assert np.mean([len(c) for c in index.candidates(asked, 600, 115, 1.0, 1.02)]) < 0.3 * 4096
+
+
 # -- 6 ----------------------------------------------------------------------------------------------------------------
 def test_op6_meets_targets_and_knows_the_domains(spark, rng):
     bad = "scum trash idiot".split()
