@@ -10,9 +10,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def wide(df: DataFrame, key: str) -> DataFrame:
+    """Rows of a scan with fewer parts than the session has cores, dealt out by key, so that work on texts uses all cores.
+
+    A small file is often one row group, which is one task however many splits there are. Scans of many files, as any large
+    table is, stay as they are: no shuffle is added to them.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if len(df.inputFiles()) < cores else df
+
+
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """chunk_id, owner_id (language), source, content."""
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("lang").alias("owner_id"), "source", F.col("text").alias("content"))
+    return wide(table(spark, sf_dir, "documents"), "doc_id").select(F.col("doc_id").alias("chunk_id"), F.col("lang").alias("owner_id"), "source", F.col("text").alias("content"))
 
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,7 +31,7 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("session_id"), "turn", "role", F.col("text").alias("content"))
+    return wide(table(spark, sf_dir, "conversations"), "conv_id").select(F.col("conv_id").alias("session_id"), "turn", "role", F.col("text").alias("content"))
 
 
 def exchanges(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,7 +80,7 @@ replace(replace(replace(replace(replace(
 
 def page_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, line_no (from 0), line (right-trimmed): the text of every page."""
-    p = table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), page_text(F.col("html")).alias("t"))
+    p = wide(table(spark, sf_dir, "pages"), "page_id").select(F.col("page_id").alias("doc_id"), page_text(F.col("html")).alias("t"))
     lines = p.select("doc_id", F.posexplode(F.split("t", "\n")).alias("line_no", "line"))
     return lines.select("doc_id", F.col("line_no").cast("long").alias("line_no"), F.regexp_replace("line", r"[ \t\r]+$", "").alias("line"))
 
