@@ -4,9 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
-from difflib import SequenceMatcher
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -176,14 +174,54 @@ def json_repaired(raw: Column, stop_reason: Column) -> Column:
     return let(json_object(raw), mend)
 
 
-def name_similarity_udf():
-    """Ratio of matching blocks of two names (pandas UDF: Spark has no such function); 0 if either is empty."""
-    @F.pandas_udf("double")
-    def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
-        def one(x: str | None, y: str | None) -> float:
-            x, y = (x or "").strip().lower(), (y or "").strip().lower()
-            return SequenceMatcher(None, x, y).ratio() if x and y else 0.0
+def _longest_block(a: Column, b: Column, seg: Column) -> Column:
+    """Of arrays of characters, within seg (al, ah, bl, bh; ends excluded): n, i, j of the longest run that both have; the first in a, then in b, of equal ones."""
+    none = F.struct(F.lit(0).alias("n"), F.lit(0).alias("i"), F.lit(0).alias("j"))
+    start = F.struct(F.array().cast("array<int>").alias("row"), none.alias("best"))
 
-        return pd.Series([one(x, y) for x, y in zip(a, b)], dtype="float64")
+    def line(acc: Column, i: Column) -> Column:
+        # lengths of the equal runs that end at i and at each place of b; places are told as negatives, so that the greatest is the first
+        row = F.transform(F.sequence(seg["bl"], seg["bh"] - 1), lambda j: F.when(F.get(a, i) == F.get(b, j), F.coalesce(F.get(acc["row"], j - seg["bl"] - 1), F.lit(0)) + 1).otherwise(0))
+        return let(row, lambda r: F.struct(r.alias("row"), F.greatest(acc["best"], F.array_max(F.transform(r, lambda n, at: F.struct(n.alias("n"), (n - i - 1).alias("i"), (n - seg["bl"] - at - 1).alias("j"))))).alias("best")))
 
-    return similarity
+    found = F.aggregate(F.sequence(seg["al"], seg["ah"] - 1), start, line, lambda acc: acc["best"])
+    return let(found, lambda f: F.struct(f["n"].alias("n"), F.abs(f["i"]).alias("i"), F.abs(f["j"]).alias("j")))
+
+
+def matching_characters(a: Column, b: Column) -> Column:
+    """Characters in matching blocks of two arrays of characters: the longest common run, then the same to its left and to its right."""
+    seg = lambda al, ah, bl, bh: F.struct(al.cast("int").alias("al"), ah.cast("int").alias("ah"), bl.cast("int").alias("bl"), bh.cast("int").alias("bh"))
+    start = F.struct(F.array(seg(F.lit(0), F.size(a), F.lit(0), F.size(b))).alias("todo"), F.lit(0).alias("n"))
+
+    def step(acc: Column, _: Column) -> Column:
+        def found(top: Column) -> Column:
+            def split(f: Column) -> Column:
+                left, right = seg(top["al"], f["i"], top["bl"], f["j"]), seg(f["i"] + f["n"], top["ah"], f["j"] + f["n"], top["bh"])
+                more = F.filter(F.array(left, right), lambda s: (f["n"] > 0) & (s["al"] < s["ah"]) & (s["bl"] < s["bh"]))
+                return F.struct(F.concat(F.slice(acc["todo"], 1, F.size(acc["todo"]) - 1), more).alias("todo"), (acc["n"] + f["n"]).alias("n"))
+
+            return let(_longest_block(a, b, top), split)
+
+        return F.when(F.size(acc["todo"]) == 0, acc).otherwise(let(F.element_at(acc["todo"], -1), found))
+
+    # every search but one at the end of each branch takes a character away
+    rounds = F.sequence(F.lit(1), 2 * F.least(F.size(a), F.size(b)) + 1)
+    return F.when((F.size(a) > 0) & (F.size(b) > 0), F.aggregate(rounds, start, step, lambda acc: acc["n"])).otherwise(0)
+
+
+def name_similarity(a: Column, b: Column, least: float = 0.0) -> Column:
+    """Twice the characters in matching blocks over all characters of two names, case and outer blanks ignored; 0 if either is empty, or if it is sure to be below `least`.
+
+    Most pairs are told apart by bounds: the shorter name's length, then the characters that both have, each as often as
+    it stands in both. Only what passes is matched.
+    """
+    chars = lambda c: F.filter(F.split(F.lower(F.trim(F.coalesce(c, F.lit("")))), ""), lambda x: x != "")
+
+    def rated(two: Column) -> Column:
+        x, y = two["a"], two["b"]
+        share = lambda n: 2.0 * n / (F.size(x) + F.size(y))
+        both = F.aggregate(F.array_distinct(x), F.lit(0), lambda n, c: n + F.least(F.size(F.filter(x, lambda k: k == c)), F.size(F.filter(y, lambda k: k == c))))
+        empty = (F.size(x) == 0) | (F.size(y) == 0)
+        return F.when(empty | (share(F.least(F.size(x), F.size(y))) < least), 0.0).when(share(both) < least, 0.0).otherwise(share(matching_characters(x, y)))
+
+    return let(F.struct(chars(a).alias("a"), chars(b).alias("b")), rated)

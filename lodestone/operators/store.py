@@ -71,11 +71,11 @@ def delete_documents(gone: DataFrame, key: str, **tables: DataFrame) -> dict[str
     return {name: t.join(ids, key, "left_anti") for name, t in tables.items()}
 
 
-def version_candidates(names: DataFrame, recent: DataFrame, similarity: Column, least: float = 0.60, top: int = 8) -> DataFrame:
-    """names (query_id, owner_id, name) against the owner's recent (owner_id, chunk_id, other): pairs alike enough, best first."""
+def version_candidates(names: DataFrame, recent: DataFrame, alike: DataFrame, least: float = 0.60, top: int = 8) -> DataFrame:
+    """names (query_id, owner_id, name) against the owner's recent (owner_id, chunk_id, other): pairs alike enough, best first. alike: name, other, score."""
     from lodestone.operators.search import top_ranked
 
-    pairs = names.join(recent, "owner_id").withColumn("score", F.round(similarity, 4))
+    pairs = names.join(recent, "owner_id").join(alike, ["name", "other"]).withColumn("score", F.round("score", 4))
     return top_ranked(pairs.where(F.col("score") >= least).select("query_id", "chunk_id", "score"), top)
 
 

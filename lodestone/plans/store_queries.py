@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestone.functions.text import name_similarity_udf
+from lodestone.functions.text import name_similarity
 from lodestone.operators import store
 from lodestone.plans.registry import query
 from lodestone.sources.tables import messages, table
+from lodestone.sources.versioned import settle
 
 
 def _versions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -177,13 +178,30 @@ def update_allowed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.update_where(c, F.col("c_acctbal") < 0, ("status", "c_acctbal"), status=F.lit("error"), c_acctbal=F.lit(0.0))
 
 
-@query()
+#: Matching blocks by recursion: of every open pair of pieces the longest common run, then what lies left and right of it.
+NAME_PAIRS = """
+r AS (SELECT p_brand AS owner_id, p_partkey AS chunk_id, p_name AS other FROM part QUALIFY row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey DESC) <= 24),
+pr AS (SELECT p_partkey AS query_id, chunk_id, lower(trim(p_name, ' ')) AS a, lower(trim(other, ' ')) AS b FROM part JOIN r ON owner_id = p_brand),
+di AS (SELECT DISTINCT a, b FROM pr WHERE length(a) > 0 AND length(b) > 0 AND 2.0 * least(length(a), length(b)) / (length(a) + length(b)) >= 0.6),
+sg AS (SELECT a, b, a AS x, b AS y, 0 AS n FROM di UNION ALL
+  SELECT a, b, unnest([x[:m.i - 1], x[m.i + m.n:]]) AS x, unnest([y[:m.j - 1], y[m.j + m.n:]]) AS y, unnest([m.n, 0]) AS n FROM
+    (SELECT a, b, x, y, list_reduce([{'n': CAST(0 AS BIGINT), 'i': CAST(1 AS BIGINT), 'j': CAST(1 AS BIGINT)}] || flatten(list_transform(range(1, length(x) + 1), lambda i: list_transform(range(1, length(y) + 1), lambda j:
+        {'n': len(list_filter(range(1, least(length(x) - i, length(y) - j) + 2), lambda k: substr(x, i, k) = substr(y, j, k))), 'i': i, 'j': j}))),
+        lambda p, q: CASE WHEN q.n > p.n OR (q.n = p.n AND (q.i < p.i OR (q.i = p.i AND q.j < p.j))) THEN q ELSE p END) AS m
+     FROM sg WHERE x <> '' AND y <> '') WHERE m.n > 0),
+ma AS (SELECT a, b, sum(n) AS n FROM sg GROUP BY a, b),
+cs AS (SELECT query_id, chunk_id, round(2.0 * n / (length(a) + length(b)), 4) AS score FROM pr JOIN ma USING (a, b))"""
+
+
+@query(f"WITH RECURSIVE {NAME_PAIRS} SELECT query_id, chunk_id, CAST(score AS DOUBLE) AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS INTEGER) AS rank FROM cs WHERE score >= 0.6 QUALIFY rank <= 8")
 def version_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """part = documents, brand = owner: names against the 24 newest of the same owner (no SQL: block-matching ratio)."""
+    """part = documents, brand = owner: names against the 24 newest of the same owner. Equal pairs of names are matched once."""
     p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("query_id"), F.col("p_brand").alias("owner_id"), F.col("p_name").alias("name"))
-    newest = F.row_number().over(Window.partitionBy("owner_id").orderBy(F.desc("query_id")))
+    newest = F.row_number().over(Window.partitionBy("owner_id").orderBy(F.desc("query_id")))  # 24 a task are kept before the shuffle
     recent = p.withColumn("n", newest).where("n <= 24").select("owner_id", F.col("query_id").alias("chunk_id"), F.col("name").alias("other"))
-    return store.version_candidates(p, recent, name_similarity_udf()(F.col("name"), F.col("other")))
+    pairs = p.join(recent, "owner_id").select("name", "other").distinct().withColumn("score", name_similarity(F.col("name"), F.col("other"), 0.6))
+    alike = settle(pairs.where("score >= 0.59"), "alike")  # rounding comes later
+    return store.version_candidates(p, recent, alike)
 
 
 _VERSIONED = "d AS (SELECT o_orderkey AS document_id, CASE WHEN o_orderstatus = 'P' THEN 'superseded' ELSE 'active' END AS status, cur FROM orders LEFT JOIN (SELECT l_orderkey, max(l_partkey) AS cur FROM lineitem WHERE l_linenumber > 1 GROUP BY 1) ON l_orderkey = o_orderkey)"

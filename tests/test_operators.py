@@ -387,3 +387,18 @@ def test_a_document_of_many_lines(spark):
     blocks = lines.select("doc_id", F.col("line_no").alias("block_no"), F.lit("paragraph").alias("type"), F.col("line").alias("text"), F.lit(None).cast("string").alias("heading"))
     sizes = parse.build_chunks(blocks).agg(F.count("*").alias("n"), F.max(F.length("text")).alias("most")).first()
     assert sizes.n > 400 and sizes.most <= 6000
+
+
+def test_name_similarity_equals_matching_blocks(spark):
+    import random
+    from difflib import SequenceMatcher
+
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcA é") for _ in range(rng.randrange(0, 16)))
+    pairs = [(word(), word()) for _ in range(250)] + [("Backup SOP v2", "backup sop v3"), (None, "a"), ("", ""), ("same", "SAME "), ("ab" * 6, "ba" * 6)]
+    df = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)], "i int, a string, b string")
+    low = lambda s: (s or "").strip(" ").lower()
+    want = [SequenceMatcher(None, low(a), low(b), autojunk=False).ratio() if low(a) and low(b) else 0.0 for a, b in pairs]
+    assert [r[0] for r in df.orderBy("i").select(fn.name_similarity(F.col("a"), F.col("b"))).collect()] == pytest.approx(want)
+    cut = [r[0] for r in df.orderBy("i").select(fn.name_similarity(F.col("a"), F.col("b"), 0.6)).collect()]
+    assert [c for c in cut if c >= 0.6] == pytest.approx([w for w in want if w >= 0.6]) and all(c in (0.0, pytest.approx(w)) for c, w in zip(cut, want))
