@@ -16,6 +16,11 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(TOKEN), F.lit(0))
 
 
+def strip(text: Column) -> Column:
+    """Without white space at both ends, line ends and tabs too (Spark's trim takes off blanks only)."""
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value) with value worked out once a row, also where body uses it inside another lambda."""
     return F.get(F.transform(F.array(value), body), F.lit(0))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lodestone.config import SETTINGS as S
 from lodestone.config import STOP_INTENT
-from lodestone.functions.text import tokens
+from lodestone.functions.text import strip, tokens
 
 # The patterns decide the results. All are written for Java's and RE2's syntax alike.
 KEYWORD_PATTERNS = (
@@ -70,7 +70,7 @@ def hits(q: Column, patterns: tuple[str, ...]) -> Column:
 
 def query_intent(questions: DataFrame, q: str = "q") -> DataFrame:
     """questions with kw, sem, strategy, terms (array), vendors (array). A null or blank question is `mixed` without scores."""
-    t = F.trim(F.coalesce(F.col(q), F.lit("")))
+    t = strip(F.coalesce(F.col(q), F.lit("")))
     found = [F.regexp_extract_all(t, F.lit(p), F.lit(0)) for p in KEYWORD_PATTERNS]
     df = questions.withColumn("matches__", F.flatten(F.array(*found))).withColumn("words__", F.filter(F.split(t, r"\s+"), lambda w: F.length(w) > 0))
     kw_hits, sem_hits = F.size("matches__"), hits(t, SEMANTIC_PATTERNS)
@@ -81,7 +81,7 @@ def query_intent(questions: DataFrame, q: str = "q") -> DataFrame:
     df = df.withColumn("kw", score(F.col("kwh__"), S.keyword_hit)).withColumn("sem", score(F.col("semh__"), S.semantic_hit))
     keyword = (F.col("kw") >= S.keyword_threshold) & (F.col("kw") > F.col("sem"))
     semantic = (F.col("sem") >= S.semantic_threshold) & (F.col("sem") > F.col("kw"))
-    exact = F.filter(F.transform("matches__", lambda m: F.regexp_replace(F.trim(m), '^"+|"+$', "")), lambda m: F.length(m) >= 2)
+    exact = F.filter(F.transform("matches__", lambda m: F.regexp_replace(strip(m), '^"+|"+$', "")), lambda m: F.length(m) >= 2)
     stop = F.array(*[F.lit(w) for w in STOP_INTENT])
     content = F.filter(tokens(t), lambda w: (F.length(w) > 2) & ~F.array_contains(stop, w))
     vendors = F.array_sort(F.array_distinct(F.regexp_extract_all(F.lower(t), F.lit(VENDORS), F.lit(0))))
@@ -92,7 +92,7 @@ def query_intent(questions: DataFrame, q: str = "q") -> DataFrame:
 
 def complexity(q: Column, confidence: Column, sources: Column, chars: Column) -> Column:
     """0 to 1; see `tier`."""
-    t = F.trim(F.coalesce(q, F.lit("")))
+    t = strip(F.coalesce(q, F.lit("")))
     part = lambda p, each, most=1.0: F.least(F.lit(most), hits(t, p) * each)
     documents = F.least(F.lit(1.0), F.greatest(F.lit(0.0), (sources - 1) * 0.3))
     raw = (
@@ -108,7 +108,7 @@ def tier(score: Column) -> Column:
 
 def signals(q: Column, confidence: Column, sources: Column, chars: Column) -> Column:
     """array<struct<value, name>> of the five signals of `complexity`, in its order."""
-    t = F.trim(F.coalesce(q, F.lit("")))
+    t = strip(F.coalesce(q, F.lit("")))
     part = lambda p, each: F.least(F.lit(1.0), hits(t, p) * each)
     values = (("multi_step", part(STEP_PATTERNS, 0.4)), ("reasoning", part(REASONING_PATTERNS, 0.35)), ("context_size", F.least(F.lit(1.0), chars / 20000.0)), ("low_confidence", F.greatest(F.lit(0.0), 1.0 - confidence)), ("multi_doc", F.least(F.lit(1.0), F.greatest(F.lit(0.0), (sources - 1) * 0.3))))
     return F.array(*[F.struct(F.round(v.cast("double"), 6).alias("value"), F.lit(n).alias("name")) for n, v in values])

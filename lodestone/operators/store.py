@@ -31,6 +31,13 @@ def duplicates_by_hash(versions: DataFrame) -> DataFrame:
     return versions.groupBy("owner_id", "fingerprint").agg(F.count("*").alias("copies"), F.max("document_id").alias("newest_id")).where("copies > 1")
 
 
+def newest_duplicates(versions: DataFrame) -> DataFrame:
+    """owner_id, fingerprint, copies, newest_id, uploaded_at: of equal contents of an owner the version that came in last (ties to the larger id)."""
+    last = F.max(F.struct("uploaded_at", "document_id"))
+    per = versions.groupBy("owner_id", "fingerprint").agg(F.count("*").alias("copies"), last.alias("r"))
+    return per.select("owner_id", "fingerprint", "copies", F.col("r.document_id").alias("newest_id"), F.col("r.uploaded_at").alias("uploaded_at"))
+
+
 def orphans(chunks: DataFrame, documents: DataFrame, versions: DataFrame) -> DataFrame:
     """Chunks without their document or without their version."""
     known = documents.select("document_id", F.lit(True).alias("d__")).distinct()
@@ -111,8 +118,10 @@ def owned(rows: DataFrame, asked: DataFrame, key: str) -> DataFrame:
 
 
 def valid_questions(df: DataFrame, q: str = "q", most: int = 1000) -> DataFrame:
-    """Questions of 1 to `most` characters that are not blank, trimmed."""
-    return df.where(F.length(q).between(1, most)).withColumn(q, F.trim(q)).where(F.length(q) > 0)
+    """Questions of 1 to `most` characters that are not white space only, without white space at both ends."""
+    from lodestone.functions.text import strip
+
+    return df.where(F.length(q).between(1, most)).withColumn(q, strip(F.col(q))).where(F.length(q) > 0)
 
 
 def valid_feedback(df: DataFrame, most: int = 1200) -> DataFrame:

@@ -52,3 +52,21 @@ def cascade_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     was, now = tables.snapshot(1), tables.snapshot()
     counts = [was.read(n).agg(F.count("*").alias("before")).crossJoin(now.read(n).agg(F.count("*").alias("after"))).select(F.lit(n).alias("name"), "before", (F.col("before") - F.col("after")).alias("removed")) for n in rows]  # one row each
     return reduce(DataFrame.unionByName, counts)
+
+
+@query("""SELECT o_custkey AS owner_id, o_orderstatus AS fingerprint, CAST(count(*) AS BIGINT) AS copies, arg_max(o_orderkey, (o_orderdate, o_orderkey)) AS newest_id, max(o_orderdate) AS uploaded_at
+FROM orders GROUP BY ALL""")
+def duplicate_newest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """orders = versions, old ones too: of each owner and fingerprint the one that came in last by time, ties to the larger id."""
+    v = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("owner_id"), F.col("o_orderstatus").alias("fingerprint"), F.col("o_orderkey").alias("document_id"), F.col("o_orderdate").alias("uploaded_at"))
+    return store.newest_duplicates(v)
+
+
+@query("""WITH k AS (SELECT doc_id % 7 <> 2 AS has_document, doc_id % 11 <> 5 AS has_version FROM documents)
+SELECT CAST(count(*) AS BIGINT) AS before, CAST(count(*) FILTER (WHERE has_document AND has_version) AS BIGINT) AS after, CAST(count(*) FILTER (WHERE NOT (has_document AND has_version)) AS BIGINT) AS purged FROM k""")
+def purge_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many chunks a purge of orphans takes: before, after, and the difference."""
+    ids = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("doc_id").alias("document_id"), F.col("doc_id").alias("version_id"))
+    left = store.purge_orphans(ids, ids.where("document_id % 7 <> 2"), ids.where("version_id % 11 <> 5"))
+    n = lambda df, c: df.agg(F.count("*").alias(c))
+    return n(ids, "before").crossJoin(n(left, "after")).withColumn("purged", F.col("before") - F.col("after"))  # one row each

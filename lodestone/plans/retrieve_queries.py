@@ -28,11 +28,11 @@ qt AS (SELECT query_id, token, count(*) AS qtf FROM (SELECT query_id, unnest({TO
 bs AS (SELECT query_id, tf.doc_id AS chunk_id, round(sum(qtf * ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / greatest(avgdl, 1)))), 6) AS score FROM tf JOIN qt USING (token) JOIN df USING (token) JOIN dl ON dl.doc_id = tf.doc_id CROSS JOIN cs GROUP BY query_id, tf.doc_id),
 bm0 AS (SELECT query_id, chunk_id, {RANK} FROM bs JOIN oc ON oc.doc_id = chunk_id JOIN oq USING (query_id) WHERE kind IS NULL OR kind = type QUALIFY rank <= 20),
 bm AS (SELECT query_id, chunk_id, bm0.rank FROM bm0 JOIN oc ON oc.doc_id = chunk_id JOIN oq USING (query_id) WHERE {MAY}),
-i1 AS (SELECT query_id, trim(q, ' ') AS t FROM oq),
+i1 AS (SELECT query_id, regexp_replace(q, '^[[:space:]]+|[[:space:]]+$', '', 'g') AS t FROM oq),
 i2 AS (SELECT query_id, {rule_queries.MATCHES} AS m, {rule_queries._hits("t", rules.SEMANTIC_PATTERNS)} AS sh, len(list_filter(regexp_split_to_array(t, '\s+'), lambda w: length(w) > 0)) AS words, {TOKENS.format("t")} AS ts, t FROM i1),
 i3 AS (SELECT *, words <= 3 AND len(m) = 0 AND sh = 0 AS short FROM i2),
 i4 AS (SELECT *, CASE WHEN short THEN 0.4::DOUBLE ELSE round(least(1.0::DOUBLE, len(m) * 0.25::DOUBLE), 6) END AS kw, CASE WHEN short THEN 0.4::DOUBLE ELSE round(least(1.0::DOUBLE, sh * 0.3::DOUBLE), 6) END AS sem,
-  list_filter(list_transform(m, lambda x: regexp_replace(trim(x, ' '), '^"+|"+$', '', 'g')), lambda x: length(x) >= 2) AS exact,
+  list_filter(list_transform(m, lambda x: regexp_replace(regexp_replace(x, '^[[:space:]]+|[[:space:]]+$', '', 'g'), '^"+|"+$', '', 'g')), lambda x: length(x) >= 2) AS exact,
   list_filter(ts, lambda w: length(w) > 2 AND NOT list_contains(['the','a','an','is','are','to','for','of','in','on','how','what','when','where','why','do','does','can','i','me','my','you','your','please','tell','about','and','or','not','this','that','with','from','it','be','was','were','been','have','has'], w)) AS content FROM i3),
 intent AS (SELECT query_id, kw, sem, CASE WHEN kw >= 0.6 AND kw > sem THEN 'keyword' WHEN sem >= 0.6 AND sem > kw THEN 'semantic' ELSE 'mixed' END AS strategy, (CASE WHEN len(exact) > 0 THEN exact ELSE content END)[1:20] AS terms,
   list_distinct(regexp_extract_all(lower(t), '\b(?:aws|kubernetes)\b')) AS vendors FROM i4),

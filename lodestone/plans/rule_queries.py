@@ -34,12 +34,12 @@ def _hits(t: str, patterns: tuple[str, ...]) -> str:
     return "(" + " + ".join(f"CAST(regexp_matches({t}, {_lit(p)}) AS INTEGER)" for p in patterns) + ")"
 
 
-INTENT = f"""{ASKED}, i0 AS (SELECT query_id, trim(coalesce(q, ''), ' ') AS t FROM asked),
+INTENT = f"""{ASKED}, i0 AS (SELECT query_id, regexp_replace(coalesce(q, ''), '^[[:space:]]+|[[:space:]]+$', '', 'g') AS t FROM asked),
 i1 AS (SELECT query_id, t, {MATCHES} AS m, {_hits("t", rules.SEMANTIC_PATTERNS)} AS sh, len(list_filter(regexp_split_to_array(t, '\\s+'), lambda w: length(w) > 0)) AS words FROM i0),
 i2 AS (SELECT *, words <= 3 AND len(m) = 0 AND sh = 0 AS short FROM i1),
 i3 AS (SELECT *, CASE WHEN t = '' THEN 0.5::DOUBLE WHEN short THEN 0.4::DOUBLE ELSE round(least(1.0::DOUBLE, len(m) * 0.25::DOUBLE), 6) END AS kw, CASE WHEN t = '' THEN 0.5::DOUBLE WHEN short THEN 0.4::DOUBLE ELSE round(least(1.0::DOUBLE, sh * 0.3::DOUBLE), 6) END AS sem FROM i2),
 intent AS (SELECT *, CASE WHEN t = '' THEN 'mixed' WHEN kw >= 0.6 AND kw > sem THEN 'keyword' WHEN sem >= 0.6 AND sem > kw THEN 'semantic' ELSE 'mixed' END AS strategy,
-  list_filter(list_transform(m, lambda x: regexp_replace(trim(x, ' '), '^"+|"+$', '', 'g')), lambda x: length(x) >= 2) AS exact, list_filter({TOKENS.format("t")}, lambda w: length(w) > 2 AND NOT list_contains({sql_list(STOP_INTENT)}, w)) AS content FROM i3)"""
+  list_filter(list_transform(m, lambda x: regexp_replace(regexp_replace(x, '^[[:space:]]+|[[:space:]]+$', '', 'g'), '^"+|"+$', '', 'g')), lambda x: length(x) >= 2) AS exact, list_filter({TOKENS.format("t")}, lambda w: length(w) > 2 AND NOT list_contains({sql_list(STOP_INTENT)}, w)) AS content FROM i3)"""
 
 
 @query(f"WITH {INTENT} SELECT query_id, kw, sem, strategy FROM intent")
@@ -52,12 +52,12 @@ def extracted_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.query_intent(_asked(spark, sf_dir)).select("query_id", F.array_join("terms", "|").alias("terms"))
 
 
-@query(f"WITH {ASKED} SELECT query_id, array_to_string(list_sort(list_distinct(regexp_extract_all(lower(trim(coalesce(q, ''), ' ')), {_lit(rules.VENDORS)}))), '|') AS vendors FROM asked")
+@query(f"WITH {ASKED} SELECT query_id, array_to_string(list_sort(list_distinct(regexp_extract_all(lower(regexp_replace(coalesce(q, ''), '^[[:space:]]+|[[:space:]]+$', '', 'g')), {_lit(rules.VENDORS)}))), '|') AS vendors FROM asked")
 def vendor_hints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.query_intent(_asked(spark, sf_dir)).select("query_id", F.array_join("vendors", "|").alias("vendors"))
 
 
-SCORE = f"""{ASKED}, x0 AS (SELECT query_id, trim(coalesce(q, ''), ' ') AS t, (abs(query_id) % 11) / 10.0::DOUBLE AS rc, abs(query_id) % 6 AS sources, abs(query_id) % 25 * 1000 AS chars FROM asked),
+SCORE = f"""{ASKED}, x0 AS (SELECT query_id, regexp_replace(coalesce(q, ''), '^[[:space:]]+|[[:space:]]+$', '', 'g') AS t, (abs(query_id) % 11) / 10.0::DOUBLE AS rc, abs(query_id) % 6 AS sources, abs(query_id) % 25 * 1000 AS chars FROM asked),
 x1 AS (SELECT *, greatest(0.0::DOUBLE, least(1.0::DOUBLE, least(1.0::DOUBLE, {_hits("t", rules.STEP_PATTERNS)} * 0.4::DOUBLE) * 0.30::DOUBLE + least(1.0::DOUBLE, {_hits("t", rules.REASONING_PATTERNS)} * 0.35::DOUBLE) * 0.25::DOUBLE + least(1.0::DOUBLE, chars / 20000.0::DOUBLE) * 0.15::DOUBLE
   + greatest(0.0::DOUBLE, 1.0::DOUBLE - rc) * 0.20::DOUBLE + least(1.0::DOUBLE, greatest(0.0::DOUBLE, (sources - 1) * 0.3::DOUBLE)) * 0.10::DOUBLE - least(0.4::DOUBLE, {_hits("t", rules.SIMPLE_PATTERNS)} * 0.15::DOUBLE))) AS score FROM x0),
 cx AS (SELECT *, CASE WHEN round(score, 9) < 0.30 THEN 'simple' WHEN round(score, 9) > 0.70 THEN 'complex' ELSE 'moderate' END AS tier FROM x1)"""

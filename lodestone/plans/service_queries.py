@@ -20,10 +20,10 @@ def _by_id(k, *values):
     return out.otherwise(values[-1])
 
 
-@query("WITH r AS (SELECT item_id AS query_id, CASE item_id % 5 WHEN 0 THEN '   ' WHEN 1 THEN '  ' || text || ' ' WHEN 2 THEN repeat(text || ' ', 8) WHEN 3 THEN '' ELSE text END AS q FROM benchmark) SELECT query_id, trim(q, ' ') AS q FROM r WHERE length(q) BETWEEN 1 AND 1000 AND length(trim(q, ' ')) > 0")
+@query("WITH r AS (SELECT item_id AS query_id, CASE item_id % 5 WHEN 0 THEN ' ' || chr(9) || chr(10) WHEN 1 THEN chr(10) || ' ' || text || ' ' || chr(9) WHEN 2 THEN repeat(text || ' ', 8) WHEN 3 THEN '' ELSE text END AS q FROM benchmark) SELECT query_id, regexp_replace(q, '^[[:space:]]+|[[:space:]]+$', '', 'g') AS q FROM r WHERE length(q) BETWEEN 1 AND 1000 AND length(regexp_replace(q, '^[[:space:]]+|[[:space:]]+$', '', 'g')) > 0")
 def valid_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Questions made blank, padded, long or empty by their id."""
-    q = _by_id(F.col("query_id") % 5, F.lit("   "), F.concat(F.lit("  "), "q", F.lit(" ")), F.repeat(F.concat("q", F.lit(" ")), F.lit(8)), F.lit(""), F.col("q"))
+    q = _by_id(F.col("query_id") % 5, F.lit(" \t\n"), F.concat(F.lit("\n "), "q", F.lit(" \t")), F.repeat(F.concat("q", F.lit(" ")), F.lit(8)), F.lit(""), F.col("q"))
     return store.valid_questions(questions(spark, sf_dir).withColumn("q", q))
 
 
@@ -307,11 +307,11 @@ bm AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER
 
 
 @query("WITH " + ORCHESTRATED.replace("\\\\", "\\") + f"""
-i1 AS (SELECT query_id, trim(q, ' ') AS t FROM oq),
+i1 AS (SELECT query_id, regexp_replace(q, '^[[:space:]]+|[[:space:]]+$', '', 'g') AS t FROM oq),
 i2 AS (SELECT query_id, {rule_queries.MATCHES} AS m, {rule_queries._hits("t", rules.SEMANTIC_PATTERNS)} AS sh, len(list_filter(regexp_split_to_array(t, '\\s+'), lambda w: length(w) > 0)) AS words, regexp_extract_all(lower(t), '[\\p{{L}}\\p{{N}}_]+') AS ts, t FROM i1),
 i3 AS (SELECT *, words <= 3 AND len(m) = 0 AND sh = 0 AS short FROM i2),
 i4 AS (SELECT *, CASE WHEN short THEN 0.4::DOUBLE ELSE round(least(1.0::DOUBLE, len(m) * 0.25::DOUBLE), 6) END AS kw, CASE WHEN short THEN 0.4::DOUBLE ELSE round(least(1.0::DOUBLE, sh * 0.3::DOUBLE), 6) END AS sem,
-  list_filter(list_transform(m, lambda x: regexp_replace(trim(x, ' '), '^"+|"+$', '', 'g')), lambda x: length(x) >= 2) AS exact,
+  list_filter(list_transform(m, lambda x: regexp_replace(regexp_replace(x, '^[[:space:]]+|[[:space:]]+$', '', 'g'), '^"+|"+$', '', 'g')), lambda x: length(x) >= 2) AS exact,
   list_filter(ts, lambda w: length(w) > 2 AND NOT list_contains(['the','a','an','is','are','to','for','of','in','on','how','what','when','where','why','do','does','can','i','me','my','you','your','please','tell','about','and','or','not','this','that','with','from','it','be','was','were','been','have','has'], w)) AS content FROM i3),
 intent AS (SELECT query_id, CASE WHEN kw >= 0.6 AND kw > sem THEN 'keyword' WHEN sem >= 0.6 AND sem > kw THEN 'semantic' ELSE 'mixed' END AS strategy, (CASE WHEN len(exact) > 0 THEN exact ELSE content END)[1:20] AS terms,
   list_distinct(regexp_extract_all(lower(t), '\\b(?:aws|kubernetes)\\b')) AS vendors FROM i4),

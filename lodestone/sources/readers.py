@@ -63,6 +63,31 @@ def read_docx(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select(F.col("_metadata.file_name").alias("name"), "content").mapInPandas(paragraphs, "name string, order int, style string, text string")
 
 
+def read_files(spark: SparkSession, path: str) -> DataFrame:
+    """name, suffix, place, style, text of every file under path, by its suffix: pages of PDF, paragraphs of DOCX, lines of all others.
+
+    Only the readers whose files are there are planned, so PDF and DOCX need their libraries only where such files lie.
+    """
+    from functools import reduce
+
+    names = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select(F.col("_metadata.file_name").alias("name"))
+    suffix = F.lower(F.regexp_extract("name", r"\.([^.]*)$", 1))
+    known = F.when(suffix.isin("pdf", "docx"), suffix).otherwise("")
+    there = {r.kind for r in names.select(known.alias("kind")).distinct().collect()}  # three kinds at most
+    parts = []
+    if "" in there:
+        plain = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True).select(F.col("_metadata.file_name").alias("name"), F.col("value").alias("text"))
+        plain = lines_of(plain.where(known == ""))
+        parts.append(plain.select(F.col("doc_id").alias("name"), F.col("line_no").alias("place"), F.lit(None).cast("string").alias("style"), F.col("line").alias("text")))
+    if "pdf" in there:
+        parts.append(read_pdf(spark, f"{path}/*.pdf").select("name", F.col("page").cast("long").alias("place"), F.lit(None).cast("string").alias("style"), "text"))
+    if "docx" in there:
+        parts.append(read_docx(spark, f"{path}/*.docx").select("name", F.col("order").cast("long").alias("place"), "style", "text"))
+    if not parts:
+        return spark.createDataFrame([], "name string, suffix string, place long, style string, text string")
+    return reduce(DataFrame.unionByName, parts).select("name", suffix.alias("suffix"), "place", "style", "text")
+
+
 def write_eval_log(df: DataFrame, path: str, answer_chars: int = 1000, run: str | None = None) -> None:
     """Append records as JSON lines, answers cut. With `run` they lie in a folder of that run, and writing the run again replaces them."""
     out = df.withColumn("answer", F.substring("answer", 1, answer_chars)).write

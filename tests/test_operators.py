@@ -402,3 +402,12 @@ def test_name_similarity_equals_matching_blocks(spark):
     assert [r[0] for r in df.orderBy("i").select(fn.name_similarity(F.col("a"), F.col("b"))).collect()] == pytest.approx(want)
     cut = [r[0] for r in df.orderBy("i").select(fn.name_similarity(F.col("a"), F.col("b"), 0.6)).collect()]
     assert [c for c in cut if c >= 0.6] == pytest.approx([w for w in want if w >= 0.6]) and all(c in (0.0, pytest.approx(w)) for c, w in zip(cut, want))
+
+
+def test_files_by_their_suffix(spark, tmp_path):
+    (tmp_path / "a.TXT").write_text("one\ntwo")
+    (tmp_path / "sub").mkdir()
+    (tmp_path / "sub" / "b.md").write_text("# head")
+    (tmp_path / "noext").write_text("x")
+    got = {(r.name, r.suffix, r.place, r.text) for r in readers.read_files(spark, str(tmp_path)).collect()}
+    assert got == {("a.TXT", "txt", 0, "one"), ("a.TXT", "txt", 1, "two"), ("b.md", "md", 0, "# head"), ("noext", "", 0, "x")}
