@@ -364,6 +364,9 @@ def test_op6_meets_targets_and_knows_the_domains(spark, rng):
     out, domains, totals = op6.mix(d, lab, {"good": 0.6, "poor": 0.3, "toxic": 0.1})
     rows = out.collect()
     assert domains == ["good", "poor", "toxic"] and len(rows) == len(texts)
+    assert all(reached == pytest.approx(goal, rel=1e-3) for goal, reached in totals.values())
+    none_of_it = op6.mix(d, lab, {"good": 1.0, "poor": 0.5, "toxic": 0.0}, relative=True)[2]
+    assert none_of_it["toxic"][0] == 0 and 0 <= none_of_it["toxic"][1] < 0.1 * sum(r.tokens * r.p[2] for r in rows)  # soft posteriors keep a little
     total = sum(r.tokens for r in rows)
     for k, share in enumerate((0.6, 0.3, 0.1)):
         assert sum(r.tokens * r.rate * r.p[k] for r in rows) / total == pytest.approx(share, abs=1e-3)
