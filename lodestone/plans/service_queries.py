@@ -1,4 +1,4 @@
-"""Queries of the service's smaller operators; their SQL spells its constants out on its own."""
+"""Queries of the service's smaller operators. Their SQL takes patterns, word lists and labels from the same fixed values as the operators; goldens in tests hold those."""
 
 from __future__ import annotations
 
