@@ -199,7 +199,7 @@ def version_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("query_id"), F.col("p_brand").alias("owner_id"), F.col("p_name").alias("name"))
     newest = F.row_number().over(Window.partitionBy("owner_id").orderBy(F.desc("query_id")))  # 24 a task are kept before the shuffle
     recent = p.withColumn("n", newest).where("n <= 24").select("owner_id", F.col("query_id").alias("chunk_id"), F.col("name").alias("other"))
-    pairs = p.join(recent, "owner_id").select("name", "other").distinct().withColumn("score", name_similarity(F.col("name"), F.col("other"), 0.6))
+    pairs = p.select("owner_id", "name").distinct().join(recent, "owner_id").select("name", "other").distinct().withColumn("score", name_similarity(F.col("name"), F.col("other"), 0.6))
     alike = settle(pairs.where("score >= 0.59"), "alike")  # rounding comes later
     return store.version_candidates(p, recent, alike)
 
