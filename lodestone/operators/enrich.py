@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.config import SETTINGS as S
+from lodestone.functions.text import let
 from lodestone.sources.versioned import settle
 
 #: What a reply must look like: {"document": {...}, "chunks": [{"chunk_index": 1, ...}, ...]}. Items stay JSON until they are matched.
@@ -30,14 +31,20 @@ def _told(asked: DataFrame, call: Callable[[Column, Column], Column], name: str)
     items with the same number the last counts.
     """
     replied = settle(asked.withColumn("reply", call(F.col("document_id"), F.col("items"))), name)
-    items = F.from_json("reply", REPLY)["chunks"]
-    number = lambda x: F.get_json_object(x, "$.chunk_index").try_cast("int")
     own = F.transform("items", lambda i: i["chunk_index"].cast("int"))
-    good = F.filter(items, lambda x: number(x).isNotNull() & F.array_contains(own, number(x)))
-    # later items of a number replace earlier ones
-    last = F.filter(good, lambda x, i: ~F.exists(F.slice(good, i + 2, F.size(good)), lambda y: number(y) == number(x)))
-    found = F.map_from_entries(F.transform(last, lambda x: F.struct(number(x).alias("k"), x.alias("v"))))
-    return replied.withColumn("found", F.when(F.size(good) > 0, found)).drop("reply")
+
+    def numbered(asked_for: Column) -> Column:
+        told = F.transform(F.from_json("reply", REPLY)["chunks"], lambda x: F.struct(F.get_json_object(x, "$.chunk_index").try_cast("int").alias("k"), x.alias("v")))
+        return F.filter(told, lambda x: x["k"].isNotNull() & F.array_contains(asked_for, x["k"]))
+
+    def last(good: Column) -> Column:
+        """Later items of a number replace earlier ones."""
+        ks = lambda at: F.transform(F.slice(good, at + 2, F.size(good)), lambda y: y["k"])
+        kept = F.filter(good, lambda x, at: ~F.array_contains(ks(at), x["k"]))
+        return F.when(F.size(good) > 0, F.map_from_entries(kept))
+
+    # each value is worked out once a row: a reply is parsed once, an item's number read once
+    return replied.withColumn("found", let(let(own, numbered), last)).drop("reply")
 
 
 def extract(chunks: DataFrame, call: Callable[[Column, Column], Column], size: int = S.chunk_batch) -> DataFrame:
