@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.functions.text import tokens
 from lodestone.operators import index, knn, store
 from lodestone.plans.registry import query
 from lodestone.plans.search_queries import DOC_TOKENS, PHRASES, RANK, SCORES, _phrases
-from lodestone.sources.tables import chunks, questions, table
+from lodestone.sources.tables import chunks, questions, table, wide
 from lodestone.sources.versioned import TableSet, shared_folder
 
 #: Positions are those of the context sentence and the text as one; only the newest of equal texts of a language may be found.
@@ -30,13 +31,14 @@ SELECT query_id, chunk_id, score, {RANK} FROM sc WHERE score >= 0.01 QUALIFY ran
 @query(FTS_PHRASE)
 def fts_phrase(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Phrases of four words of each question and of its source, over context and text, in current versions."""
-    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "lang", "source", "text")
+    d = wide(table(spark, sf_dir, "documents"), "doc_id").select(F.col("doc_id").alias("chunk_id"), "lang", "source", "text")
     context = F.concat_ws(" ", F.lit("from"), "source", F.lit("in"), "lang", F.coalesce("text", F.lit("")))
     current = d.groupBy("lang", F.sha2("text", 256)).agg(F.max("chunk_id").alias("chunk_id")).select("chunk_id")
     qs = questions(spark, sf_dir)
     source = qs.select("query_id", F.concat(F.lit("SRC"), (F.col("query_id") % 20).cast("string"), F.lit("-in-en")).alias("term"))
     asked = _phrases(spark, sf_dir).unionByName(source).unionByName(qs.select("query_id", F.lit("no such phrase").alias("term")))
-    return index.full_text(asked, index.positional(d, context), allowed=current)
+    wanted = asked.select(F.explode(tokens(F.col("term"))).alias("token")).distinct()
+    return index.full_text(asked, index.asked_postings(wanted, d, context), allowed=current)
 
 
 @query(f"""WITH corpus AS (SELECT doc_id, lang, CASE source WHEN 'src2' THEN text || ' again' ELSE text END AS text FROM documents WHERE source <> 'src1'),
